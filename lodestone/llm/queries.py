@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import piece_codec, token_count
+from lodestone.llm import lsm_dedup, piece_codec, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,13 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsm_dedup.repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op9_lsm_dedup)}
 
 
 def oracle_sql() -> dict:
