@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import lsm_dedup, piece_codec, suffix_dedup, token_count
+from lodestone.llm import lsm_dedup, piece_codec, quality, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsm_dedup.repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -31,7 +35,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op9_lsm_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op9_lsm_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
