@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import lsm_dedup, piece_codec, quality, suffix_dedup, token_count
+from lodestone.llm import decontaminate, jaccard, lsm_dedup, piece_codec, quality, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsm_dedup.repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -35,7 +43,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op9_lsm_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op5_jaccard_join, op7_decontaminate, op9_lsm_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:

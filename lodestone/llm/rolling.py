@@ -74,9 +74,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word (no blank, no byte 9 to 13), and the n + 1 offsets of the rows in the words."""
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word (no blank, no byte 9 to 13; or ``inside``), and the n + 1 offsets of the rows in the words."""
+    if inside is None:
+        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.zeros(len(raw), bool)
