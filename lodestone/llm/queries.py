@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import decontaminate, jaccard, lsm_dedup, piece_codec, quality, suffix_dedup, token_count
+from lodestone import session
+from lodestone.llm import decontaminate, idfile, jaccard, lsm_dedup, piece_codec, quality, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = session.scratch_path(spark, "id-files")
+    idfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return idfile.checksums(idfile.read(spark, path))
+
+
 def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lsm_dedup.repeated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -43,7 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op5_jaccard_join, op7_decontaminate, op9_lsm_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op5_jaccard_join, op7_decontaminate, op8_id_files, op9_lsm_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
