@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone import session
-from lodestone.llm import decontaminate, idfile, jaccard, lsm_dedup, piece_codec, quality, suffix_dedup, token_count
+from lodestone.llm import decontaminate, idfile, jaccard, lm_score, lsm_dedup, piece_codec, quality, suffix_dedup, token_count, urls
+
+
+#: The rules that the URL query applies.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +29,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op5_jaccard_join, op7_decontaminate, op8_id_files, op9_lsm_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_lm_score, op7_decontaminate, op8_id_files, op9_lsm_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
