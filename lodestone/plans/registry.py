@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestone.plans import catalog, data_queries, graph_queries  # noqa: F401  (they register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalog.SQL)
