@@ -7,7 +7,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _TABLES: dict[int, np.ndarray] = {}
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,41 +19,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _base(seed: int) -> int:
-    return int(mix(np.array([seed * 7919 + 13], U64))[0]) | 1
+#: An odd number; its powers serve all hashes, which differ by the values they sum.
+BASE = 0x9D39247E33776D41
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers, modulo 2**64, of the seed's odd base and of its inverse."""
-    have = _POWERS.get(seed)
-    if have is None or len(have[0]) < n:
-        base = _base(seed)
-        size = max(n, 1 << 16)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, modulo 2**64, of the base and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n + n // 8, 1 << 16)
         out = []
-        for b in (base, pow(base, -1, 1 << 64)):
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, U64(b))
             p[0] = 1
             out.append(np.cumprod(p, dtype=U64))
-        have = _POWERS[seed] = (out[0], out[1])
-    return have
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
 
 
 def byte_values(seed: int) -> np.ndarray:
     if seed not in _TABLES:
-        _TABLES[seed] = mix(np.arange(1, 257, dtype=U64) * U64(_base(seed + 1000)))
+        _TABLES[seed] = mix(np.arange(1, 257, dtype=U64) * mix(np.array([seed + 1000], U64)))
     return _TABLES[seed]
 
 
 def prefix_sums(values: np.ndarray, seed: int) -> np.ndarray:
-    """P with P[j] - P[i] = sum of values[t] * base**t for i <= t < j."""
+    """P with P[j] - P[i] = sum of scrambled values[t] * base**t for i <= t < j; seeds make unrelated sums."""
+    return _sums(mix(values ^ U64(seed * 0x5851F42D4C957F2D & (1 << 64) - 1)))
+
+
+def byte_sums(raw: np.ndarray, seed: int) -> np.ndarray:
+    return _sums(byte_values(seed)[raw])
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(seed, len(values) + 1)[0][: len(values)], out=out[1:])
+    values *= powers(len(values) + 1)[0][: len(values)]
+    np.cumsum(values, out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, seed: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span, the same wherever the span stands; the length counts."""
-    inverse = powers(seed, len(sums))[1]
+    inverse = powers(len(sums))[1]
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -62,7 +69,7 @@ def window_hash(sums: np.ndarray, seed: int, size: int) -> np.ndarray:
     n = len(sums) - size
     if n <= 0:
         return np.empty(0, U64)
-    return mix((sums[size:] - sums[:n]) * powers(seed, len(sums))[1][:n])
+    return mix((sums[size:] - sums[:n]) * powers(len(sums))[1][:n])
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +97,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None =
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return span_hash(prefix_sums(byte_values(seed)[raw], seed), seed, starts, ends)
+    return span_hash(byte_sums(raw, seed), seed, starts, ends)
 
 
 def owners(grams: np.ndarray, width: int) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,15 +19,30 @@ PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Twice: what the Python side lets go in the first pass is garbage for the JVM in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``bucketed`` that nothing reads any more."""
+    for table in tables:
+        name, path = table.written
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        session.drop_path(table.sparkSession, path)
 
 
 def partitions(df: DataFrame) -> int:
-    """As many partitions as the scan of ``df`` has, so they keep their size as the input grows."""
-    spark = df.sparkSession
-    return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 1)
+    """As many partitions as the scan of ``df`` has, so they keep their size as the input grows.
+
+    Not fewer than Spark's shuffles have: below that it would deal the buckets out again.
+    """
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,13 +53,19 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([press.compress(t.as_buffer()) for t in part.column("text")], pa.binary())], schema=PACKED)
 
 
-def bucketed(df: DataFrame, label: str, n: int, key: str, order: list[str]) -> DataFrame:
-    """Write ``df`` to the shared folder in ``n`` files by the hash of ``key``; joins on it need no exchange."""
+def bucketed(df: DataFrame, label: str, n: int, key: str, order: list[str], dealt: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder in ``n`` buckets by the hash of ``key``; joins on it need no exchange.
+
+    ``dealt``: the rows lie in such buckets already.
+    """
     spark = df.sparkSession
-    name = f"lodestone_{label}_{uuid.uuid4().hex}"
-    df.repartition(n, key).sortWithinPartitions(*order).write.format("parquet").bucketBy(n, key).sortBy(*order).option("path", session.scratch_path(spark, label)).saveAsTable(name)
+    name, path = f"lodestone_{label}_{uuid.uuid4().hex}", session.scratch_path(spark, label)
+    rows = df if dealt else df.repartition(n, key)
+    rows.sortWithinPartitions(*order).write.format("parquet").bucketBy(n, key).sortBy(*order).option("path", path).saveAsTable(name)
     release(spark)
-    return spark.table(name)
+    table = spark.table(name)
+    table.written = (name, path)
+    return table
 
 
 def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -53,13 +75,21 @@ def stage(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     return bucketed(rows.mapInArrow(pack, "doc_id long, packed binary"), "docs", n, "doc_id", ["doc_id"]), n
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of record batches by the size of ``packed``, with their texts."""
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of record batches of about ``limit`` bytes of text, with their texts."""
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for part in by_bytes(batches, limit, "packed"):
-        yield part, [press.decompress(x) for x in part.column("packed").to_pylist()]
+    for batch in batches:
+        packed = batch.column("packed").to_pylist()
+        sizes, at, held = [zstandard.frame_content_size(x) for x in packed], 0, 0
+        for i, size in enumerate(sizes):
+            if held and held + size > limit:
+                yield batch.slice(at, i - at), [press.decompress(x) for x in packed[at:i]]
+                at, held = i, 0
+            held += size
+        if at < batch.num_rows:
+            yield batch.slice(at), [press.decompress(x) for x in packed[at:]]
 
 
 def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

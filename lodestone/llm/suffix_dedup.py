@@ -12,7 +12,9 @@ suffixes agree on ``lead`` bytes at least, so
    sample), so a bucket holds neighbours; each bucket is sorted by multikey quicksort, the
    common prefixes of neighbours rule out starts, and the strings left are compared;
 4. a group of suffixes with equal leading bytes that touches a bucket's edge may go on in
-   the next one: its strings are also compared across buckets.
+   the next one. Across buckets first the bytes that ``BLOCK`` strings in a row have in
+   common are compared, one row for all of them; strings of blocks that meet others there
+   are then compared one by one.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from lodestone.llm.arrowtext import record
 
 ANCHORS = pa.schema([("lead", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("n", pa.int32())])
 SUFFIXES = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_())])
-FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_())])
+BLOCK = 16
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -39,7 +42,7 @@ def anchors(staged: DataFrame, size: int, width: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in staging.unpacked(batches):
             raw, rows = staging.joined_bytes(texts)
-            sums = [rolling.prefix_sums(rolling.byte_values(k)[raw], k) for k in (11, 12)]
+            sums = [rolling.byte_sums(raw, k) for k in (11, 12)]
             owner = rolling.owners(rolling.window_hash(sums[0], 11, gram), width)
             starts = np.flatnonzero(rolling.inside_rows(rows, min(len(owner), len(raw)), size))
             if not len(starts):
@@ -102,8 +105,8 @@ def common_prefixes(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def compare_bucket(rows: dict, size: int, lead: int) -> tuple[np.ndarray, ...]:
-    """Of one bucket: starts that repeat in it, and one row for each different string of its edge groups."""
+def compare_bucket(rows: dict, size: int, lead: int) -> tuple[tuple, tuple]:
+    """Of one bucket: starts that repeat in it, and of its edge groups a row for each block of starts that may go on repeating beyond."""
     order = multikey_quicksort(rows["suffix"])
     suffix = [rows["suffix"][i] for i in order]
     before = [rows["before"][i] for i in order]
@@ -123,18 +126,33 @@ def compare_bucket(rows: dict, size: int, lead: int) -> tuple[np.ndarray, ...]:
     start = np.arange(len(each)) - np.repeat(np.cumsum(left) - left, left)
     raw, at = staging.joined_bytes([b + s for b, s in zip(before, suffix)])
     pos = at[each] + start
-    h1, h2 = (rolling.window_hash(rolling.prefix_sums(rolling.byte_values(k)[raw], k), k, size)[pos] for k in (13, 14))
+    h1, h2 = (rolling.window_hash(rolling.byte_sums(raw, k), k, size)[pos] for k in (13, 14))
     by = np.lexsort((h2, h1))
     same = np.r_[False, (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])]
     run = np.cumsum(~same) - 1
-    times = np.bincount(run, minlength=1) if len(by) else np.zeros(1, np.int64)
     again = np.zeros(len(by), bool)
-    again[by] = times[run] > 1
-    first = np.zeros(len(by), bool)
-    first[by] = ~same
+    if len(by):
+        again[by] = np.bincount(run)[run] > 1
     hit = again & single[each]
-    send = first & edge[each]
-    return (doc_id[each][hit], lo[each][hit] + start[hit]), (h1[send].view(np.int64), h2[send].view(np.int64), doc_id[each][send], lo[each][send] + start[send], single[each][send])
+    repeats = (doc_id[each][hit], lo[each][hit] + start[hit])
+    # Edge groups: blocks of starts, aligned to the anchor so that equal strings lie in equal blocks.
+    here = np.flatnonzero(edge[each])
+    code = each[here] * 4096 + (offset[each[here]] - start[here]) // BLOCK
+    codes, back = np.unique(code, return_inverse=True)
+    if not len(codes):
+        empty = np.empty(0, np.int64)
+        return repeats, (empty, empty, empty, empty, empty, empty.astype(bool))
+    count_in, first_start = np.bincount(back), np.full(len(codes), 1 << 40)
+    np.minimum.at(first_start, back, start[here])
+    open_in = np.zeros(len(codes), bool)
+    open_in[back[single[each[here]] & ~again[here]]] = True
+    member = codes // 4096
+    core = at[member] + offset[member] - codes % 4096 * BLOCK
+    c1, c2 = (rolling.span_hash(rolling.byte_sums(raw, k), k, core, core + size - BLOCK + 1).view(np.int64) for k in (13, 14))
+    _, leaders = np.unique(np.stack([c1, c2]), axis=1, return_index=True)
+    send = open_in.copy()
+    send[leaders] = True
+    return repeats, (c1[send], c2[send], doc_id[member][send], (lo[member] + first_start)[send], count_in[send], open_in[send])
 
 
 def runs(doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,17 +169,40 @@ def compare(sorted_suffixes: DataFrame, size: int, lead: int) -> DataFrame:
         if not held.num_rows:
             return
         rows = {c: held.column(c).to_pylist() if c in ("suffix", "before") else held.column(c).to_numpy() for c in held.column_names}
-        (ids, starts), (h1, h2, edge_ids, edge_starts, single) = compare_bucket(rows, size, lead)
+        (ids, starts), (h1, h2, edge_ids, edge_starts, counts, single) = compare_bucket(rows, size, lead)
         ids, starts, count = runs(ids, starts)
         if len(ids):
-            yield record(FOUND, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), ids, starts.astype(np.int32), count.astype(np.int32))
+            yield record(FOUND, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), ids, starts.astype(np.int32), count.astype(np.int32), np.ones(len(ids), bool))
         if len(h1):
-            yield record(FOUND, h1, h2, edge_ids, edge_starts.astype(np.int32), single.astype(np.int32))
+            yield record(FOUND, h1, h2, edge_ids, edge_starts.astype(np.int32), counts.astype(np.int32), single)
 
-    return sorted_suffixes.mapInArrow(bucket, "h1 long, h2 long, doc_id long, lo int, n int")
+    return sorted_suffixes.mapInArrow(bucket, "h1 long, h2 long, doc_id long, lo int, n int, single boolean")
 
 
-def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, width: int = 256, gram: int = 24, bucket_bytes: int = 8 << 20) -> DataFrame:
+def strings(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFrame:
+    """Hashes of every string of the chosen starts (doc_id, lo, n, single), a row each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in staging.unpacked(batches):
+            raw, rows = staging.joined_bytes(texts)
+            (lo, row), (count, _), (single, _) = (staging.flat(part, c) for c in ("lo", "n", "single"))
+            each = np.repeat(np.arange(len(lo)), count)
+            pos = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            at = rows[row[each]] + pos
+            h1, h2 = (rolling.span_hash(rolling.byte_sums(raw, k), k, at, at + size).view(np.int64) for k in (13, 14))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row[each]]
+            yield record(FOUND, h1, h2, ids, pos.astype(np.int32), np.ones(len(pos), np.int32), single[each].astype(bool))
+
+    return staging.with_lists(staged, chosen, n, "inner").mapInArrow(emit, "h1 long, h2 long, doc_id long, lo int, n int, single boolean")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Of rows with two hashes those that another row has too."""
+    times = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return rows.join(times.hint("merge"), ["h1", "h2"], "left_semi")
+
+
+def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 400, width: int = 256, gram: int = 24, bucket_bytes: int = 3 << 20) -> DataFrame:
     """Per document: bytes, bytes and maximal runs that go because a string of ``size`` over them starts elsewhere too, and the bytes left.
 
     Null, empty and short texts have no such string. Rows without an id take no part. Rows
@@ -171,11 +212,12 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     staged, n = staging.stage(docs, id_col, text_col)
     lead = size - width
     spark = docs.sparkSession
-    marked = staging.bucketed(anchors(staged, size, width, gram), "anchors", n, "lead", ["lead", "c1", "c2"])
-    marked = marked.withColumn("times", F.count(F.lit(1)).over(W.partitionBy("lead", "c1", "c2"))).withColumn("rank", F.row_number().over(W.partitionBy("lead", "c1", "c2").orderBy("doc_id", "lo")))
+    found = staging.bucketed(anchors(staged, size, width, gram), "anchors", n, "lead", ["lead", "c1", "c2"])
+    marked = found.withColumn("times", F.count(F.lit(1)).over(W.partitionBy("lead", "c1", "c2"))).withColumn("rank", F.row_number().over(W.partitionBy("lead", "c1", "c2").orderBy("doc_id", "lo")))
     same_lead = W.partitionBy("lead")
     marked = marked.withColumn("open", (F.min("c1").over(same_lead) != F.max("c1").over(same_lead)) & (F.min("times").over(same_lead) == 1))
     marked = session.stored(marked.filter("times > 1 or open").select("doc_id", "lo", "p", "n", "times", "rank", "open"), "classes")
+    staging.discard(found)
     whole = marked.filter("times > 1").select("doc_id", "lo", "n")
     chosen = marked.filter("rank = 1 and open").select("doc_id", "lo", "p", "n", (F.col("times") == 1).alias("single"))
     cut = session.stored(suffixes(staged, n, chosen, size), "suffixes")
@@ -183,9 +225,9 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     total = cut.agg(F.sum(F.length("suffix") + F.length("before"))).first()[0] or 0
     found = session.stored(compare(cut.repartitionByRange(max(1, total // bucket_bytes), "suffix"), size, lead), "found")
     staging.release(spark)
-    edges = found.filter("h1 is not null")
-    across = edges.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    met = edges.filter("n = 1").join(across.hint("merge"), ["h1", "h2"]).select("doc_id", "lo", F.lit(1).alias("n"))
+    blocks = session.stored(shared(found.filter("h1 is not null")).select("doc_id", "lo", "n", "single"), "blocks")
+    met = session.stored(shared(strings(staged, n, blocks, size)).filter("single").select("doc_id", "lo", "n"), "met")
+    staging.release(spark)
     spans = whole.unionByName(found.filter("h1 is null").select("doc_id", "lo", "n")).unionByName(met)
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
