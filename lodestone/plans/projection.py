@@ -28,15 +28,9 @@ def project(spark: SparkSession, sf_dir: str, min_quantity: float = 0.0) -> Grap
     parts = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
     suppliers = t("supplier").select("s_suppkey", "s_name")
     by_part = large.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    mentions = (
-        large.select(text("material", "l_partkey").alias("entity_id"), "chunk_id")
-        .unionByName(large.select(text("process", "l_suppkey").alias("entity_id"), "chunk_id"))
-        .unionByName(by_part.select(text("experiment", "p_brand").alias("entity_id"), "chunk_id"))
-        .unionByName(by_part.select(text("publication", "p_type").alias("entity_id"), "chunk_id"))
-        .unionByName(orders.select(text("expert", "o_custkey").alias("entity_id"), "chunk_id"))
-        .unionByName(orders.select(text("property", "o_orderpriority").alias("entity_id"), "chunk_id"))
-        .distinct()
-    )
+    ids = lambda *columns: F.explode(F.array(*columns)).alias("entity_id")
+    of_lines = by_part.select(ids(text("material", "l_partkey"), text("process", "l_suppkey"), text("experiment", "p_brand"), text("publication", "p_type")), "chunk_id")
+    mentions = of_lines.unionByName(orders.select(ids(text("expert", "o_custkey"), text("property", "o_orderpriority")), "chunk_id")).distinct()
     counts = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_mentions"))
     kind = F.when(F.col("l_returnflag") == "N", USES).when(F.col("l_returnflag") == "A", PRODUCES).when(F.col("l_quantity") >= 49, CONTRADICTS)
     supply = lines.withColumn("type", kind).filter("type is not null").groupBy(text("process", "l_suppkey").alias("source_id"), text("material", "l_partkey").alias("target_id"), "type")
