@@ -8,8 +8,9 @@ prefixes. The work goes down in steps:
 1. equal sets collapse into one node;
 2. nodes with equal prefixes and sizes collapse into one group, and its members are
    verified against its first node: those that link make a unit, the others stand alone;
-3. units that share a prefix shingle meet if sizes and positions allow the threshold:
-   every one with the first of its shingle's list, and all with all in short lists;
+3. units that share a prefix shingle meet if sizes, positions and the number of shared
+   prefix shingles allow the threshold: every one with the first of its shingle's list,
+   and all with all in short lists;
 4. pairs are verified on whole sets. Where two units on a list are not in one class by
    then, they are verified too, unless the distances to the list's first exclude a link
    (Jaccard distance is a metric). Units whose first nodes are near but not linked are
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone import session
 from lodestone.llm import rolling, staging
@@ -81,6 +82,12 @@ def frequent(staged: DataFrame, k: int, hot_least: int, hot_limit: int) -> np.nd
     return np.sort(seen.filter(f"not total and times >= {least}").select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
+def digest(values: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that stand for a sequence of hashes."""
+    mixed = rolling.mix(values + np.arange(1, len(values) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed.sum(), rolling.mix(mixed ^ np.uint64(77)).sum()
+
+
 def prefixes(staged: DataFrame, hot, k: int, percent: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in staging.unpacked(batches):
@@ -97,13 +104,12 @@ def prefixes(staged: DataFrame, hot, k: int, percent: int) -> DataFrame:
                 else:
                     head = s[:take]
                 heads.append(head.view(np.int64))
-                place = np.arange(1, n + 1, dtype=np.uint64)
-                mixed = rolling.mix(s + place * np.uint64(0x9E3779B97F4A7C15))
-                digests.append((mixed.sum(), rolling.mix(mixed ^ np.uint64(77)).sum()))
-            ids = part.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([d[i] for d in digests], np.uint64).view(np.int64)) for i in (0, 1)), pa.array([h.tolist() for h in heads], pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "head"])
+                digests.append((*digest(s), *digest(head)))
+            ends = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([d[i] for d in digests], np.uint64).view(np.int64)) for i in range(4)), lists], ["doc_id", "n", "d1", "d2", "g1", "g2", "head"])
 
-    return staged.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, head array<long>")
+    return staged.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, head array<long>")
 
 
 def node_sets(staged: DataFrame, n: int, nodes: DataFrame, k: int) -> DataFrame:
@@ -114,7 +120,7 @@ def node_sets(staged: DataFrame, n: int, nodes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], ["node", "s"])
 
     rows = staged.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return staging.bucketed(rows.select("doc_id", "packed").mapInArrow(sets, "node long, s binary"), "sets", n, "node", ["node"])
+    return staging.bucketed(rows.select("doc_id", "packed").mapInArrow(sets, "node long, s binary"), "sets", n, "node", ["node"], dealt=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,6 +155,26 @@ def jaccard_distance():
     return F.expr("1.0D - common / (na + nb - common)")
 
 
+def common_least(percent: int, n1: str, n2: str) -> str:
+    """Shingles that two sets of these sizes must share to link."""
+    return f"ceil({percent} * ({n1} + {n2}) / {100.0 + percent} - 1e-9)"
+
+
+def enough_shared(percent: int, shared: str):
+    """Whether two units can link by the prefix shingles they share.
+
+    Of the prefix that ends first all common shingles are in the other prefix too, and no
+    more than n minus the common ones may be missing there. ``shared`` counts those on
+    short lists; on long lists they share no more than the fewer such shingles of the two.
+    """
+    need = [f"take_{x} - (n_{x} - {common_least(percent, 'n_a', 'n_b')})" for x in "ab"]
+    return F.expr(f"{shared} + least(long_a, long_b) >= least({need[0]}, {need[1]})")
+
+
+def id_repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, short_list: int = 32, hot_least: int = 16, hot_limit: int = 4_000_000) -> DataFrame:
     """Per document: size of its set, its class (least id reachable by links, itself included).
 
@@ -159,61 +185,62 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     spark = docs.sparkSession
     staged, n = staging.stage(docs, id_col, text_col)
     hot = spark.sparkContext.broadcast(frequent(staged, k, hot_least, hot_limit))
-    every = session.stored(prefixes(staged, hot, k, percent), "prefixes")
-    full = every.filter("n > 0 and doc_id is not null")
-    nodes = session.stored(full.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "head")).alias("first")).select("n", "d1", "d2", F.col("first.doc_id").alias("node"), F.col("first.head").alias("head")).withColumn("g", F.xxhash64("n", "head")).withColumn("g2", F.hash("head", "n")), "nodes")
+    every = staging.bucketed(prefixes(staged, hot, k, percent), "prefixes", n, "doc_id", ["doc_id"], dealt=True)
+    nodes = session.stored(every.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2", "g1", "g2").agg(F.min("doc_id").alias("node")), "nodes")
+    grouped = nodes.groupBy("n", "g1", "g2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
+    members = session.stored(nodes.join(grouped.hint("merge"), ["n", "g1", "g2"]).select("node", "n", "first", "members"), "members")
     staging.release(spark)
-    grouped = nodes.groupBy("g", "g2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
-    members = nodes.select("node", "n", "g", "g2", "head").join(grouped.hint("merge"), ["g", "g2"])
-    members = session.stored(members.select("node", "n", "first", "members", "head"), "members")
-
-    # Lists of the groups' first nodes by prefix shingle; only lists of two or more matter.
-    postings = members.filter("node = first").select("first", "n", F.posexplode("head").alias("pos", "t"))
-    lists = postings.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("first").alias("head")).filter("size > 1")
-    postings = session.stored(postings.join(lists.hint("merge"), "t").select("t", "first", "n", "pos", "size", "head"), "postings")
-    staging.release(spark)
-
-    asked = postings.select(F.col("first").alias("node")).distinct()
-    asked = asked.unionByName(members.filter("members > 1").select("node")).distinct()
-    asked = asked.unionByName(members.filter("members > 1").join(asked.select(F.col("node").alias("first")), "first", "left_semi").select("node")).distinct()
-    sets = node_sets(staged, n, session.stored(asked, "asked"), k)
 
-    inside = session.stored(verified(members.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), sets), "inside")
-    apart = inside.filter(~linked(percent)).select(F.col("a").alias("first"), F.col("b").alias("unit"))
+    # Members against their group's first. One that doesn't link stands on the group's lists as a unit of its own.
+    crowd = members.filter("members > 1")
+    crowd_sets = node_sets(staged, n, session.stored(crowd.select("node"), "crowd"), k)
+    inside = session.stored(verified(crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), crowd_sets), "inside")
     reach = inside.filter(linked(percent)).groupBy("a").agg(F.max(jaccard_distance()).alias("reach")).withColumnRenamed("a", "unit")
-
-    # A node that doesn't link with its group's first stands on the same lists as a unit of its own.
-    alone = postings.drop("head").join(apart, "first").select("t", "unit", "n", "pos", "size")
-    units = postings.select("t", F.col("first").alias("unit"), "n", "pos", "size").unionByName(alone)
-    groups_apart = members.join(apart.select("first").distinct(), "first", "left_semi").filter("node = first").select(F.explode("head").alias("t"), F.col("first").alias("unit"), "n").withColumn("pos", F.lit(0)).withColumn("size", F.lit(2).cast("long"))
-    apart_rows = members.select(F.col("node").alias("unit"), "n", "head", "first").join(apart, ["first", "unit"]).select(F.explode("head").alias("t"), "unit", "n").withColumn("pos", F.lit(0)).withColumn("size", F.lit(2).cast("long"))
-    units = units.unionByName(groups_apart).unionByName(apart_rows).groupBy("t", "unit").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    pivots = units.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("unit").alias("pivot"), F.min(F.struct("unit", "n", "pos")).alias("p"))
-    units = session.stored(units.join(pivots.hint("merge"), "t").join(reach, "unit", "left").fillna(0.0, ["reach"]), "units")
+    alone = inside.filter(~linked(percent)).select(F.col("b").alias("unit"))
+    units = members.filter("node = first").select(F.col("node").alias("unit")).unionByName(alone)
+
+    # Lists of units by prefix shingle; only lists of two or more matter.
+    heads = every.join(units.withColumnRenamed("unit", "doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"]) if id_repeats(every) else every.join(units.withColumnRenamed("unit", "doc_id").hint("merge"), "doc_id")
+    postings = heads.select(F.col("doc_id").alias("unit"), (F.col("n") * (1 << 31) + F.size("head")).alias("sizes"), F.posexplode("head").alias("pos", "t"))
+    on_list = W.partitionBy("t")
+    postings = postings.withColumn("size", F.count(F.lit(1)).over(on_list)).filter("size > 1").withColumn("p", F.min(F.struct("unit", "sizes", "pos")).over(on_list))
+    lists = session.stored(postings.select("t", "unit", F.shiftright("sizes", 31).alias("n"), (F.col("sizes") % (1 << 31)).alias("take"), "pos", "size", F.col("p.unit").alias("pivot"), F.shiftright("p.sizes", 31).alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "lists")
+    staging.release(spark)
+    facts = lists.groupBy("unit").agg(F.max("n").alias("n"), F.max("take").alias("take"), F.sum((F.col("size") > short_list).cast("long")).alias("long"))
+    facts = session.stored(facts.join(reach, "unit", "left").fillna(0.0, ["reach"]), "facts")
 
     def may_link(n1: str, p1: str, n2: str, p2: str):
-        least = f"ceil({percent} * ({n1} + {n2}) / {100.0 + percent} - 1e-9)"
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and 1 + least({n1} - {p1}, {n2} - {p2}) - 1 + least({p1}, {p2}) >= {least}")
-
-    star = units.filter("unit != pivot").filter(may_link("n", "pos", "p.n", "p.pos")).select(F.col("pivot").alias("a"), F.col("unit").alias("b"))
-    left = units.filter(f"size between 3 and {short_list}").select("t", F.col("unit").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    right = units.filter(f"size between 3 and {short_list}").select("t", F.col("unit").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    short = left.join(right.hint("merge"), "t").filter("a < b").filter(may_link("n1", "p1", "n2", "p2")).select("a", "b")
-    first_pairs = session.stored(star.unionByName(short).distinct(), "pairs")
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and least({n1} - {p1}, {n2} - {p2}) + least({p1}, {p2}) >= {common_least(percent, n1, n2)}")
+
+    star = lists.filter("unit != pivot").filter(may_link("n", "pos", "pivot_n", "pivot_pos")).select(F.col("pivot").alias("a"), F.col("unit").alias("b"), (F.col("size") == 2).cast("long").alias("shared"))
+    few = lists.filter(f"size between 3 and {short_list}")
+    left, right = (few.select("t", F.col("unit").alias(u), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for u, x in (("a", 1), ("b", 2)))
+    short = left.join(right.hint("merge"), "t").filter("a < b").filter(may_link("n1", "p1", "n2", "p2")).select("a", "b", F.lit(1).cast("long").alias("shared"))
+    met = star.unionByName(short).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    for side in "ab":
+        met = met.join(facts.select(F.col("unit").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "take", "long"))), side)
+    first_pairs = session.stored(met.filter(enough_shared(percent, "shared")).select("a", "b"), "pairs")
+    staging.release(spark)
+    asked = first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))).distinct()
+    sets = node_sets(staged, n, session.stored(asked, "asked"), k)
     known = session.stored(verified(first_pairs, sets), "verified")
     staging.release(spark)
     links = inside.filter(linked(percent)).select("a", "b").unionByName(known.filter(linked(percent)).select("a", "b"))
     classes = components(links)
 
     # Long lists: units in different classes, unless the distances to the list's first exclude a link.
-    long = units.filter(f"size > {short_list}").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    long = lists.filter(f"size > {short_list}").select("t", "unit", "pos", "pivot").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     mixed = long.groupBy("t").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("t")
     distance = known.select(F.col("a").alias("pivot"), F.col("b").alias("unit"), jaccard_distance().alias("d"))
-    long = session.stored(long.join(mixed.hint("merge"), "t", "left_semi").join(distance, ["pivot", "unit"], "left").select("t", "unit", "n", "pos", "component", "d", "reach"), "long")
-    tell = lambda x: long.select("t", *(F.col(c).alias(f"{c}{x}") for c in ("unit", "n", "pos", "component", "d", "reach")))
+    long = session.stored(long.join(mixed.hint("merge"), "t", "left_semi").join(facts, "unit").join(distance, ["pivot", "unit"], "left").select("t", "unit", "n", "take", "long", "pos", "component", "d", "reach"), "long")
+    tell = lambda x: long.select("t", *(F.col(c).alias(f"{c}_{x}") for c in ("unit", "n", "take", "long", "pos", "component", "d", "reach")))
     gap = 1 - percent / 100 + 1e-9
-    late = tell(1).join(tell(2).hint("merge"), "t").filter("component1 < component2").filter(may_link("n1", "pos1", "n2", "pos2")).filter(f"coalesce(abs(d1 - d2) <= {gap} + reach1 + reach2, true)")
-    late = session.stored(late.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "late")
+    # What they share on short lists has been counted: a pair not met there shares long lists only.
+    late = tell("a").join(tell("b").hint("merge"), "t").filter("component_a < component_b").filter(may_link("n_a", "pos_a", "n_b", "pos_b")).filter(enough_shared(percent, "0")).filter(f"coalesce(abs(d_a - d_b) <= {gap} + reach_a + reach_b, true)")
+    late = session.stored(late.select(F.least("unit_a", "unit_b").alias("a"), F.greatest("unit_a", "unit_b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "late")
+    if not late.isEmpty():
+        asked = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()
+        sets = node_sets(staged, n, session.stored(asked, "asked"), k)
     late_known = session.stored(verified(late, sets), "late-verified")
     links = links.unionByName(late_known.filter(linked(percent)).select("a", "b"))
 
@@ -233,6 +260,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     two = one.join(inner.select(F.col("unit").alias("b"), F.col("node").alias("y"), F.col("r").alias("ry")), "b", "left").withColumn("y", F.coalesce("y", "b")).fillna(0.0, ["ry"])
     more = session.stored(two.filter(f"d <= {gap} + rx + ry and not (x = a and y = b)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "members-met")
     if not more.isEmpty():
+        asked = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+        sets = node_sets(staged, n, session.stored(asked, "asked"), k)
         now = components(links.unionByName(verified(more, sets).filter(linked(percent)).select("a", "b")))
     result = every.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").join(now, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
