@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lodestone import session
 from lodestone.llm import rolling, staging
 from lodestone.llm.arrowtext import record
 
-RUN = "fp long, cls long, cls2 long, doc_id long, lo int, n int"
-RUN_ARROW = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
-WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("old", pa.bool_())])
+RUN = "fp long, cls long, doc_id long, lo int, n int"
+RUN_ARROW = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("old", pa.bool_()), ("again", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -60,14 +61,19 @@ def anchors(staged: DataFrame, size: int, gram: int) -> DataFrame:
             doc = np.searchsorted(rows, lo, side="right") - 1
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             shape = rolling.mix((owner[first] - lo).astype(np.uint64) * np.uint64(4099))
-            classes = [(rolling.span_hash(s, k, lo, hi + size) ^ shape).view(np.int64) for s, k in ((sums, 3), (sums2, 4))]
-            yield record(RUN_ARROW, grams[owner[first]].view(np.int64), *classes, ids[doc].astype(np.int64), (lo - rows[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32))
+            # Rows are told apart by both: the fingerprint is by one family of hashes, the class by another.
+            classes = (rolling.span_hash(sums2, 4, lo, hi + size) ^ shape).view(np.int64)
+            yield record(RUN_ARROW, grams[owner[first]].view(np.int64), classes, ids[doc].astype(np.int64), (lo - rows[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32))
 
     return staged.filter("doc_id is not null").mapInArrow(find, RUN)
 
 
 def windows(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFrame:
-    """Two hashes of every window that the chosen anchors own, from the texts."""
+    """Two hashes of every window that the chosen anchors own, from the texts.
+
+    Of equal windows in one slice of documents (they come in order) the first one counts
+    and the others are marked ``again``, so a frequent window is a row a slice later on.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in staging.unpacked(batches):
@@ -78,10 +84,17 @@ def windows(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFram
             each = np.repeat(np.arange(len(lo)), count)
             pos = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             at = rows[row[each]] + pos
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield record(WINDOWS, h1[at].view(np.int64), h2[at].view(np.int64), ids[row[each]], pos.astype(np.int32), old[each].astype(bool))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row[each]]
+            h1, h2, old = h1[at].view(np.int64), h2[at].view(np.int64), old[each].astype(bool)
+            by = np.lexsort((pos, ids, h2, h1))
+            h1, h2, ids, pos, old = h1[by], h2[by], ids[by], pos[by], old[by]
+            same = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
+            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+            again = same & ((ids != ids[first]) | (pos != pos[first]))
+            keep = ~(again & old)
+            yield record(WINDOWS, h1[keep], h2[keep], ids[keep], pos[keep].astype(np.int32), old[keep], again[keep])
 
-    return staging.with_lists(staged, chosen.select("doc_id", "lo", "n", "old"), n, "inner").mapInArrow(emit, "h1 long, h2 long, doc_id long, pos int, old boolean")
+    return staging.with_lists(staged, chosen.select("doc_id", "lo", "n", "old"), n, "inner").mapInArrow(emit, "h1 long, h2 long, doc_id long, pos int, old boolean, again boolean")
 
 
 class FingerprintIndex:
@@ -94,33 +107,42 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """Index a batch; returns (doc_id, lo, n): runs of window starts that repeat something earlier."""
         new = staging.bucketed(anchors(batch, self.size, self.gram), "run", self.buckets, "fp", ["fp", "cls", "doc_id", "lo"])
-        history = reduce(DataFrame.unionByName, self.runs) if len(self.runs) > 1 else self.runs[0] if self.runs else None
-        marked = new.withColumn("rank", F.row_number().over(W.partitionBy("fp", "cls", "cls2").orderBy("doc_id", "lo")))
-        if history is None:
-            marked = marked.withColumn("known", F.lit(False)).withColumn("met", F.lit(False))
-        else:
-            old = history.select("fp", "cls", "cls2", F.lit(True).alias("known"))
-            met = history.select("fp").distinct().withColumn("met", F.lit(True))
-            marked = marked.join(old.hint("merge"), ["fp", "cls", "cls2"], "left").join(met.hint("merge"), "fp", "left").fillna(False, ["known", "met"])
+        history = [r.filter("fresh") for r in self.runs]
+        marked = new.withColumn("rank", F.row_number().over(W.partitionBy("fp", "cls").orderBy("doc_id", "lo")))
+        marked = marked.withColumn("known", F.lit(False)).withColumn("met", F.lit(False))
+        for past in history:
+            same = past.select("fp", "cls", F.lit(True).alias("same"))
+            near = past.select("fp").distinct().withColumn("near", F.lit(True))
+            marked = marked.join(same.hint("merge"), ["fp", "cls"], "left").join(near.hint("merge"), "fp", "left")
+            marked = marked.withColumn("known", F.col("known") | F.coalesce("same", F.lit(False))).withColumn("met", F.col("met") | F.coalesce("near", F.lit(False))).drop("same", "near")
         fresh = (F.col("rank") == 1) & ~F.col("known")
         kinds = W.partitionBy("fp")
         marked = marked.withColumn("mixed", F.min("cls").over(kinds) != F.max("cls").over(kinds))
-        run = staging.bucketed(marked.select("fp", "cls", "cls2", "doc_id", "lo", "n", fresh.alias("fresh"), (F.col("mixed") | F.col("met")).alias("unsure"), "met"), "marked", self.buckets, "fp", ["fp", "cls"])
-        whole = run.filter("not fresh").select("doc_id", "lo", "n")
+        run = staging.bucketed(marked.select("fp", "cls", "doc_id", "lo", "n", fresh.alias("fresh"), (F.col("mixed") | F.col("met")).alias("unsure"), "met"), "marked", self.buckets, "fp", ["fp", "cls"], dealt=True)
+        staging.discard(new)
+        whole = session.stored(run.filter("not fresh").select("doc_id", "lo", "n"), "whole")
         chosen = run.filter("fresh and unsure").select("doc_id", "lo", "n", F.lit(False).alias("old"))
-        if history is not None:
-            asked = run.filter("fresh and met").select("fp").distinct()
-            chosen = chosen.unionByName(history.join(asked.hint("merge"), "fp", "left_semi").select("doc_id", "lo", "n", F.lit(True).alias("old")))
-        found = windows(self.staged, self.buckets, chosen, self.size)
-        first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-        again = found.filter("not old").join(first.hint("merge"), ["h1", "h2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-        self.runs.append(run.filter("fresh").select("fp", "cls", "cls2", "doc_id", "lo", "n"))
+        asked = run.filter("fresh and met").select("fp").distinct()
+        for past in history:
+            chosen = chosen.unionByName(past.join(asked.hint("merge"), "fp", "left_semi").select("doc_id", "lo", "n", F.lit(True).alias("old")))
+        found = session.stored(windows(self.staged, self.buckets, chosen, self.size), "windows")
+        staging.release(self.staged.sparkSession)
+        place = W.partitionBy("h1", "h2").orderBy("doc_id", "pos")
+        later = found.filter("not again").withColumn("first", F.first(F.struct("doc_id", "pos")).over(place)).filter("not old").filter(F.struct("doc_id", "pos") > F.col("first"))
+        again = session.stored(found.filter("again").select("doc_id", "pos").unionByName(later.select("doc_id", "pos")).select("doc_id", F.col("pos").alias("lo"), F.lit(1).alias("n")), "again")
+        session.drop_path(self.staged.sparkSession, found.path)
+        staging.release(self.staged.sparkSession)
+        self.runs.append(run)
         if len(self.runs) >= self.fan_in:
             self.compact()
-        return [whole, again.select("doc_id", F.col("pos").alias("lo"), F.lit(1).alias("n"))]
+        return [whole, again]
 
     def compact(self) -> None:
-        self.runs = [staging.bucketed(reduce(DataFrame.unionByName, self.runs), "run", self.buckets, "fp", ["fp", "cls"])]
+        """One run of all: the runs lie in the same buckets, so each task merges its own and nothing moves."""
+        kept = reduce(DataFrame.unionByName, [r.filter("fresh") for r in self.runs])
+        merged = staging.bucketed(kept, "run", self.buckets, "fp", ["fp", "cls"], dealt=True)
+        staging.discard(*self.runs)
+        self.runs = [merged]
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20, gram: int = 6, batches: int = 2, fan_in: int = 2) -> DataFrame:
