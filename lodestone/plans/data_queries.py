@@ -383,3 +383,41 @@ def A12_cards(spark, sf_dir):
     deep = F.concat_ws("/", "p_brand", "p_type")
     folders = part.select(F.col("p_brand").alias("card")).unionByName(part.filter("p_size > 40").select(deep.alias("card"))).distinct()
     return corpus.cards(part.select(F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("path")), folders)
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id FROM embeddings WHERE vec_id IN (0, 1, 2)")
+def K7_self_match(spark, sf_dir):
+    """The nearest neighbour of a stored vector is the chunk itself."""
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("").alias("doc_id"), "embedding")
+    found = [vector.vector_search(chunks, list(r.embedding), 1).select("chunk_id") for r in chunks.filter("chunk_id in ('0', '1', '2')").collect()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998")
+def D19_between_years(spark, sf_dir):
+    from lodestone.plans import answers
+
+    return answers.between_years(table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")), 1996, 1998)
+
+
+@query("SELECT row_ord, key, node, n FROM (SELECT l_orderkey AS row_ord, lower(p_name) AS key, 'material:' || trim(regexp_replace(lower(arg_min(p_name, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))), '[^a-z0-9]+', '-', 'g'), '-') AS node, 1::BIGINT AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, lower(p_name))")
+def F5_endpoints(spark, sf_dir):
+    rows = build.entity_rows(_extractions(spark, sf_dir), Thesaurus()).filter("type = 'Material'")
+    return build.endpoints(rows)
+
+
+@query("SELECT doc_id, n_chars, lang FROM documents WHERE lang = 'de'")
+def A7_typed_jsonl(spark, sf_dir):
+    """Written as JSON lines and read again with a fixed schema; a damaged line would fail the read."""
+    path = session.scratch_path(spark, "jsonl")
+    table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang").write.json(path)
+    return spark.read.schema("doc_id long, n_chars long, lang string").option("mode", "FAILFAST").json(path).filter("lang = 'de'")
+
+
+@query("SELECT p_partkey AS catalog_id, p_size + 1 AS n FROM part")
+def B4_swap_in(spark, sf_dir):
+    """A table rewritten from itself."""
+    path = session.scratch_path(spark, "swap")
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("catalog_id"), F.col("p_size").alias("n")).write.parquet(path)
+    upsert.swap_in(spark.read.parquet(path).withColumn("n", F.col("n") + 1), path)
+    return spark.read.parquet(path)

@@ -209,3 +209,64 @@ def B14_self_check(spark, sf_dir):
 @query(sql(" SELECT id FROM g_entities WHERE type = 'Process' AND is_tech_solution"))
 def E9_tech_solutions(spark, sf_dir):
     return project(spark, sf_dir).of_type("Process").filter("is_tech_solution").select("id")
+
+
+@query(sql(" SELECT id, name FROM g_entities WHERE contains(lower(name), 'ring') OR contains(lower(coalesce(name_en, '')), 'ring') OR contains(lower(name), 'economy') OR contains(lower(coalesce(name_en, '')), 'economy')"))
+def D1_named(spark, sf_dir):
+    return gr.named(project(spark, sf_dir).entities, ["ring", "economy"]).select("id", "name")
+
+
+@query(sql(" SELECT count(*) AS n_empty FROM g_entities WHERE false"))
+def D1_no_terms(spark, sf_dir):
+    return gr.named(project(spark, sf_dir).entities, []).agg(F.count(F.lit(1)).alias("n_empty"))
+
+
+@query(sql(" SELECT doc_id, y FROM (SELECT doc_id, CASE WHEN year % 2 = 0 THEN year END AS y FROM g_documents) WHERE y IS NULL OR y >= 1998"))
+def D3_year_from(spark, sf_dir):
+    rows = project(spark, sf_dir).documents.select("doc_id", F.when(F.col("year") % 2 == 0, F.col("year")).alias("y"))
+    return rows.filter(gr.year_from("y", 1998))
+
+
+@query(sql(f", {_DS} SELECT e.id, doc_geographies, len(string_split(doc_ids, ',')) AS n_docs FROM g_entities e JOIN ds ON ds.id = e.id WHERE type IN ('Publication', 'Property', 'Process')"))
+def D5_document_sets(spark, sf_dir):
+    g = project(spark, sf_dir)
+    return gr.document_sets(g, g.of_type("Publication", "Property", "Process")).select("id", F.array_join("doc_geographies", ",").alias("doc_geographies"), F.size("doc_ids").cast("long").alias("n_docs"))
+
+
+@query(sql(_GAP + " SELECT material_id, count(*) AS n_gaps, count(*) FILTER (n_sources = 0) AS n_unseen, max(n_sources) AS most FROM cells GROUP BY 1"))
+def D8_gap_pairs(spark, sf_dir):
+    rows = templates.gap_matrix(project(spark, sf_dir), MATERIALS, PROCESSES, None)
+    return rows.groupBy("material_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.count_if(F.col("n_sources") == 0).alias("n_unseen"), F.max("n_sources").alias("most"))
+
+
+@query(sql(_GAP + " SELECT material_name, process_id, material_id FROM cells QUALIFY row_number() OVER (PARTITION BY material_name ORDER BY n_sources, mm + pm DESC, material_name, process_name, material_id, process_id) <= 3"))
+def F1_cap_per_material(spark, sf_dir):
+    rows, order = gaps.ordered_cells(templates.gap_matrix(project(spark, sf_dir), MATERIALS, PROCESSES, None))
+    return gaps.cap_per_material(rows, order, 3).select("material_name", "process_id", "material_id")
+
+
+@query(sql(" SELECT source_id AS source, target_id AS target, type FROM g_relations WHERE source_id IN (SELECT id FROM g_entities WHERE type IN ('Process', 'Material')) AND target_id IN (SELECT id FROM g_entities WHERE type IN ('Process', 'Material')) AND (type = 'CONTRADICTS' OR coalesce(confidence, 0.5) >= 0.97)"))
+def D19_shown_edges(spark, sf_dir):
+    from lodestone.plans import answers
+
+    g = project(spark, sf_dir)
+    nodes = g.of_type("Process", "Material")
+    return answers.shown_edges(templates.subgraph_edges(g, nodes), nodes, 0.97).select("source", "target", "type")
+
+
+@query(sql(" SELECT chunk_id, param || ' ' || op || ' ' || CAST(norm_value AS VARCHAR) || ' ' || norm_unit AS text FROM g_constraints"))
+def C40_constraint_text(spark, sf_dir):
+    text = F.concat("param", F.lit(" "), "op", F.lit(" "), templates.number_text("norm_value"), F.lit(" "), "norm_unit")
+    return project(spark, sf_dir).constraints.select("chunk_id", text.alias("text"))
+
+
+@query(sql(" SELECT id, name FROM g_entities WHERE type IN ('Expert', 'Facility')"))
+def J6_people_and_places(spark, sf_dir):
+    return project(spark, sf_dir).of_type("Expert", "Facility").select("id", "name")
+
+
+@query(sql(f" SELECT chunk_id, doc_id, title, year FROM g_chunks LEFT JOIN g_documents USING (doc_id) WHERE chunk_id IN ('1', '2', '3', '77777777')"))
+def A15_chunks_by_ids(spark, sf_dir):
+    g = project(spark, sf_dir)
+    asked = g.chunks.join(frame(spark, "chunk_id", ["1", "2", "3", "77777777"]), "chunk_id", "left_semi")
+    return asked.join(g.documents.select("doc_id", "title", "year"), "doc_id", "left").select("chunk_id", "doc_id", "title", "year")
