@@ -65,5 +65,35 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_counts, op2_piece_codec, op3_quality_rules, op4_url_filters, op5_jaccard_join, op6_lm_score, op7_decontaminate, op8_id_files, op9_lsm_dedup, op10_suffix_dedup)}
 
 
+#: SQL for the results that it can express; tokenizers, forests, trees, networks and coders it can't.
+SQL = {
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 3], ' ') END AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = documents.doc_id) AS component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id""",
+    "op9_lsm_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+g AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER n = 20 THEN string_agg(word, ' ') OVER n END AS seq FROM w
+  WINDOW n AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, pos, word, seq IS NOT NULL AND row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) > 1 AS again FROM g),
+c AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, CAST(count(word) AS BIGINT) AS n_words, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op10_suffix_dedup": r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (SELECT doc_id, i, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN i + 399 <= n THEN md5(substr(x, 2 * i - 1, 800)) END AS m FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM h)),
+r AS (SELECT doc_id, i, byte, m IS NOT NULL AND count(*) OVER (PARTITION BY m) > 1 AS again FROM b),
+c AS (SELECT doc_id, i, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c)
+SELECT h.doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (opens) AS BIGINT) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM h LEFT JOIN e ON e.doc_id = h.doc_id GROUP BY h.doc_id""",
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
