@@ -40,9 +40,11 @@ def discard(*tables: DataFrame) -> None:
 def partitions(df: DataFrame) -> int:
     """As many partitions as the scan of ``df`` has, so they keep their size as the input grows.
 
-    Not fewer than Spark's shuffles have: below that it would deal the buckets out again.
+    Not fewer than Spark's shuffles have, below which it would deal the buckets out again,
+    unless the input is so small that this costs less than many empty tasks.
     """
-    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spark, scan = df.sparkSession, max(1, df.rdd.getNumPartitions())
+    return max(scan, min(8 * scan, int(spark.conf.get("spark.sql.shuffle.partitions"))), spark.sparkContext.defaultParallelism)
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
