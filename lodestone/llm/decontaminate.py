@@ -9,8 +9,8 @@ edits allowed is met with probability ``recall`` (estimated by editing the items
 themselves). Candidates are verified by exact edit distance.
 
 Windows are only embedded where they can succeed: by the q-gram lemma a window within e
-edits of an item of m words shares m - 1 - 2 e of its word pairs, so documents with fewer
-can't match. This loses nothing.
+edits of an item of m words shares all but 2 e of its different word pairs, so documents with
+fewer can't match. This loses nothing.
 """
 
 from __future__ import annotations
@@ -63,11 +63,13 @@ class Plan:
     ids: list[int]
     words: list[np.ndarray]
     edits: list[int]
-    pairs: np.ndarray
-    pair_items: list[np.ndarray]
+    pairs: np.ndarray  # hashes of all items' word pairs, in order
+    first: np.ndarray  # where each pair's items begin in owners, one more entry than pairs
+    owners: np.ndarray
     bits: int
     tables: int
     seed: int
+    least: np.ndarray | None = None
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], rate: float, min_words: int, bits: int, recall: float, max_tables: int, seed: int) -> Plan:
@@ -80,7 +82,10 @@ class Plan:
             for h in pair_hashes(w).tolist():
                 owners.setdefault(h, set()).add(n)
         pairs = np.array(sorted(owners), np.uint64)
-        plan = cls([i for i, _ in kept], seqs, edits, pairs, [np.array(sorted(owners[h])) for h in pairs.tolist()], bits, 1, seed)
+        of_pair = [sorted(owners[h]) for h in pairs.tolist()]
+        first = np.r_[0, np.cumsum([len(x) for x in of_pair], dtype=np.int64)]
+        plan = cls([i for i, _ in kept], seqs, edits, pairs, first, np.array([n for x in of_pair for n in x], np.int64), bits, 1, seed)
+        plan.least = np.array([plan.least_pairs(n) for n in range(len(seqs))], np.int64)
         plan.tables = min(max_tables, plan.tables_for(recall)) if kept else 1
         return plan
 
@@ -108,70 +113,86 @@ class Plan:
                 return tables
         return 4096
 
-    def keys(self, windows: np.ndarray, table: int) -> np.ndarray:
-        rng = np.random.default_rng((self.seed, table, windows.shape[1]))
-        places = rng.integers(3 * windows.shape[1], size=self.bits)
-        last = int(places.max()) + 1
-        m = windows.shape[1]
-        # The walk is needed up to the last sampled place only.
-        padded = np.c_[windows, np.zeros(len(windows), np.uint64)]
-        at, each, key = np.zeros(len(windows), np.int64), np.arange(len(windows)), np.zeros(len(windows), np.uint64)
-        for j in range(last):
-            here = padded[each, at]
-            for k in np.flatnonzero(places == j):
-                key = rolling.mix(key + here + np.uint64(k * 7919 + 1))
-            coin = rolling.mix(here ^ np.uint64(((self.seed + 1 + table) * 1_000_003 + j) * 2 + 1)) & np.uint64(1)
-            at = np.minimum(at + coin.astype(np.int64), m)
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """Keys (tables x windows): ``bits`` sampled places of each table's own walk."""
+        rows, m = windows.shape
+        places = np.random.default_rng((self.seed, m)).integers(3 * m, size=(self.tables, self.bits))
+        padded = np.c_[windows, np.zeros(rows, np.uint64)].ravel()
+        base, at = np.arange(rows) * (m + 1), np.zeros((self.tables, rows), np.int64)
+        walks = (np.arange(self.tables, dtype=np.uint64) + np.uint64(self.seed + 1))[:, None] * np.uint64(1_000_003)
+        key = np.zeros((self.tables, rows), np.uint64)
+        for j in range(int(places.max()) + 1):
+            here = padded[base + at]
+            for k in range(self.bits):
+                mine = np.flatnonzero(places[:, k] == j)
+                if len(mine):
+                    key[mine] = rolling.mix(key[mine] + here[mine] + np.uint64(k * 7919 + 1))
+            coin = rolling.mix(here ^ ((walks + np.uint64(j)) * np.uint64(2) + np.uint64(1))) & np.uint64(1)
+            np.minimum(at + coin.astype(np.int64), m, out=at)
         return key
 
     def candidates(self, item: int, windows: np.ndarray) -> np.ndarray:
         """Of each window: whether it meets the item in a table."""
-        both = np.concatenate([self.words[item][None, :], windows])
-        met = np.zeros(len(windows), bool)
-        for table in range(self.tables):
-            todo = np.flatnonzero(~met)
-            if not len(todo):
-                break
-            keys = self.keys(both[np.r_[0, todo + 1]], table)
-            met[todo] = keys[1:] == keys[0]
+        mine, met = self.keys(self.words[item][None, :]), np.zeros(len(windows), bool)
+        for a in range(0, len(windows), 512):
+            met[a : a + 512] = (self.keys(windows[a : a + 512]) == mine).any(axis=0)
         return met
 
-    def find(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of the best place of every item in a document's words."""
+    def least_pairs(self, n: int) -> int:
+        """Different pairs, a run of one pair counting once, that a window within the edits allowed shares with an item.
+
+        An edit breaks two pairs at most; a window may begin inside a run, which costs one more.
+        """
+        return max(1, len(np.unique(pair_hashes(self.words[n]))) - 2 * self.edits[n] - 1)
+
+    def possible(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(document, item, where pairs stand in the document) for items whose pairs lie close enough together."""
         grams = pair_hashes(words)
         if not len(grams) or not len(self.pairs):
-            return
+            return []
         at = np.minimum(np.searchsorted(self.pairs, grams), len(self.pairs) - 1)
-        hits = np.flatnonzero(self.pairs[at] == grams)
-        places: dict[int, list[int]] = {}
-        for h in hits:
-            for n in self.pair_items[at[h]]:
-                places.setdefault(int(n), []).append(int(h))
-        for n, found in sorted(places.items()):
-            m, e = len(self.words[n]), self.edits[n]
-            need = max(1, m - 1 - 2 * e)
-            if len(found) < need:
-                continue
-            near = np.zeros(len(words) + 1, np.int64)
-            for h in found:
-                near[h] += 1
-            # Pairs that start inside the m + e words from a start on.
-            sums = np.r_[0, np.cumsum(near)]
-            starts = np.arange(-e, max(1, len(words) - m + e + 1))
-            inside = sums[np.clip(starts + m + e, 0, len(words))] - sums[np.clip(starts - e, 0, len(words))]
-            starts = starts[inside >= need]
-            if not len(starts):
-                continue
-            padded = np.r_[np.zeros(e, np.uint64), words, np.zeros(m + e, np.uint64)]
-            windows = padded[(starts + e)[:, None] + np.arange(m)]
-            met = starts[self.candidates(n, windows)]
-            best = None
-            for a, b in regions(met, m, e, len(words)):
-                edits, end = closest(self.words[n], words[a:b])
-                if edits <= e and (best is None or edits < best[1]):
-                    best = (n, edits, max(0, a + end - m), a + end)
-            if best:
-                yield (self.ids[best[0]], *best[1:])
+        hits = np.flatnonzero((self.pairs[at] == grams) & rolling.inside_rows(rows, len(grams), 2))
+        if not len(hits):
+            return []
+        count = (self.first[1:] - self.first[:-1])[at[hits]]
+        each = np.repeat(np.arange(len(hits)), count)
+        items = self.owners[self.first[at[hits]][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
+        place = hits[each]
+        doc = np.searchsorted(rows, place, side="right") - 1
+        order = np.lexsort((place, doc * len(self.words) + items))
+        key, place, items, doc, pair = (doc * len(self.words) + items)[order], place[order], items[order], doc[order], at[hits][each][order]
+        run = np.r_[False, (key[1:] == key[:-1]) & (pair[1:] == pair[:-1]) & (place[1:] == place[:-1] + 1)]
+        key, place, items, doc = key[~run], place[~run], items[~run], doc[~run]
+        # Enough pairs inside the longest stretch that can match: the need-th next pair is near.
+        last = np.arange(len(key)) + self.least[items] - 1
+        reach = np.array([len(w) + e for w, e in zip(self.words, self.edits)], np.int64)[items]
+        inside = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        close = inside & (key[last] == key) & (place[last] - place <= reach)
+        out = []
+        for k in np.unique(key[close]):
+            a, b = np.searchsorted(key, [k, k + 1])
+            out.append((int(doc[a]), int(items[a]), place[a:b] - rows[doc[a]]))
+        return out
+
+    def find(self, n: int, words: np.ndarray, found: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(item id, edits, start, end) of the best place of an item in a document, given where its pairs stand."""
+        m, e, need = len(self.words[n]), self.edits[n], int(self.least[n])
+        near = np.bincount(found, minlength=len(words) + 1)
+        sums = np.r_[0, np.cumsum(near)]
+        starts = np.arange(-e, max(1, len(words) - m + e + 1))
+        inside = sums[np.clip(starts + m + e, 0, len(words))] - sums[np.clip(starts - e, 0, len(words))]
+        starts = starts[inside >= need]
+        if not len(starts):
+            return None
+        padded = np.r_[np.zeros(e, np.uint64), words, np.zeros(m + e, np.uint64)]
+        met = starts[self.candidates(n, padded[(starts + e)[:, None] + np.arange(m)])]
+        best = None
+        for a, b in regions(met, m, e, len(words)):
+            edits, end = closest(self.words[n], words[a:b])
+            if edits <= e and (best is None or edits < best[1]):
+                best = (self.ids[n], edits, max(0, a + end - m), a + end)
+        return best
 
 
 def regions(starts: np.ndarray, m: int, e: int, n: int) -> list[tuple[int, int]]:
@@ -222,15 +243,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
             p = plan.value
             for part in by_bytes(batches, 1 << 20):
                 words, offsets = word_ids(part.column("text").to_pylist())
-                # Documents that share too few pairs with every item go before anything else is done.
-                grams = pair_hashes(words)
-                shared = np.zeros(len(words) + 1, np.int64)
-                if len(grams) and len(p.pairs):
-                    at = np.minimum(np.searchsorted(p.pairs, grams), len(p.pairs) - 1)
-                    shared[1 : len(grams) + 1] = p.pairs[at] == grams
-                counts = np.diff(np.cumsum(shared)[offsets])
-                least = min((max(1, len(w) - 1 - 2 * e) for w, e in zip(p.words, p.edits)), default=1)
-                out = [(doc, *hit) for doc, a, b, c in zip(part.column("doc_id").to_pylist(), offsets, offsets[1:], counts) if c >= least for hit in p.find(words[a:b])]
+                ids = part.column("doc_id").to_pylist()
+                found = ((d, p.find(n, words[offsets[d] : offsets[d + 1]], at)) for d, n, at in p.possible(words, offsets))
+                out = [(ids[d], *hit) for d, hit in found if hit]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["doc_id", "item_id", "edits", "start_word", "end_word"])
 
         one = rows.mapInArrow(search, "doc_id long, item_id long, edits long, start_word long, end_word long")
