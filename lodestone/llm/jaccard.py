@@ -193,7 +193,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
 
     # Members against their group's first. One that doesn't link stands on the group's lists as a unit of its own.
     crowd = members.filter("members > 1")
-    crowd_sets = node_sets(staged, n, session.stored(crowd.select("node"), "crowd"), k)
+    written = [crowd_sets := node_sets(staged, n, session.stored(crowd.select("node"), "crowd"), k)]
     inside = session.stored(verified(crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), crowd_sets), "inside")
     reach = inside.filter(linked(percent)).groupBy("a").agg(F.max(jaccard_distance()).alias("reach")).withColumnRenamed("a", "unit")
     alone = inside.filter(~linked(percent)).select(F.col("b").alias("unit"))
@@ -222,7 +222,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     first_pairs = session.stored(met.filter(enough_shared(percent, "shared")).select("a", "b"), "pairs")
     staging.release(spark)
     asked = first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))).distinct()
-    sets = node_sets(staged, n, session.stored(asked, "asked"), k)
+    written.append(sets := node_sets(staged, n, session.stored(asked, "asked"), k))
     known = session.stored(verified(first_pairs, sets), "verified")
     staging.release(spark)
     links = inside.filter(linked(percent)).select("a", "b").unionByName(known.filter(linked(percent)).select("a", "b"))
@@ -240,7 +240,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     late = session.stored(late.select(F.least("unit_a", "unit_b").alias("a"), F.greatest("unit_a", "unit_b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         asked = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()
-        sets = node_sets(staged, n, session.stored(asked, "asked"), k)
+        written.append(sets := node_sets(staged, n, session.stored(asked, "asked"), k))
     late_known = session.stored(verified(late, sets), "late-verified")
     links = links.unionByName(late_known.filter(linked(percent)).select("a", "b"))
 
@@ -261,8 +261,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     more = session.stored(two.filter(f"d <= {gap} + rx + ry and not (x = a and y = b)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "members-met")
     if not more.isEmpty():
         asked = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
-        sets = node_sets(staged, n, session.stored(asked, "asked"), k)
+        written.append(sets := node_sets(staged, n, session.stored(asked, "asked"), k))
         now = components(links.unionByName(verified(more, sets).filter(linked(percent)).select("a", "b")))
-    result = every.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").join(now, "node", "left")
+    # What the result reads is small and stored; the rest goes.
+    slim = session.stored(every.select("doc_id", "n", "d1", "d2"), "sizes")
+    staging.discard(staged, every, *written)
+    result = slim.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").join(now, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
