@@ -31,8 +31,8 @@ from lodestone import session
 from lodestone.llm import rolling, staging
 from lodestone.llm.arrowtext import record
 
-RUN = "fp long, cls long, doc_id long, lo int, n int"
-RUN_ARROW = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+RUN = "fp long, cls long, doc_id long, lo int, n int, again boolean"
+RUN_ARROW = pa.schema([("fp", pa.int64()), ("cls", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("old", pa.bool_()), ("again", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -63,7 +63,11 @@ def anchors(staged: DataFrame, size: int, gram: int) -> DataFrame:
             shape = rolling.mix((owner[first] - lo).astype(np.uint64) * np.uint64(4099))
             # Rows are told apart by both: the fingerprint is by one family of hashes, the class by another.
             classes = (rolling.span_hash(sums2, 4, lo, hi + size) ^ shape).view(np.int64)
-            yield record(RUN_ARROW, grams[owner[first]].view(np.int64), classes, ids[doc].astype(np.int64), (lo - rows[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32))
+            fp, ids, at, n = grams[owner[first]].view(np.int64), ids[doc].astype(np.int64), lo - rows[doc], hi - lo + 1
+            again = rolling.repeats(fp, classes, ids, at)
+            # What repeats inside the slice is settled; it needs no fingerprint, so it is dealt out evenly.
+            fp = np.where(again, rolling.mix((ids * 1_000_003 + at).astype(np.uint64)).view(np.int64), fp)
+            yield record(RUN_ARROW, fp, classes, ids, at.astype(np.int32), n.astype(np.int32), again)
 
     return staged.filter("doc_id is not null").mapInArrow(find, RUN)
 
@@ -115,7 +119,7 @@ class FingerprintIndex:
             near = past.select("fp").distinct().withColumn("near", F.lit(True))
             marked = marked.join(same.hint("merge"), ["fp", "cls"], "left").join(near.hint("merge"), "fp", "left")
             marked = marked.withColumn("known", F.col("known") | F.coalesce("same", F.lit(False))).withColumn("met", F.col("met") | F.coalesce("near", F.lit(False))).drop("same", "near")
-        fresh = (F.col("rank") == 1) & ~F.col("known")
+        fresh = (F.col("rank") == 1) & ~F.col("known") & ~F.col("again")
         kinds = W.partitionBy("fp")
         marked = marked.withColumn("mixed", F.min("cls").over(kinds) != F.max("cls").over(kinds))
         run = staging.bucketed(marked.select("fp", "cls", "doc_id", "lo", "n", fresh.alias("fresh"), (F.col("mixed") | F.col("met")).alias("unsure"), "met"), "marked", self.buckets, "fp", ["fp", "cls"], dealt=True)

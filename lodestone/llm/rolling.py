@@ -120,3 +120,12 @@ def inside_rows(offsets: np.ndarray, n: int, size: int) -> np.ndarray:
     """Of the positions 0..n-1: whether ``size`` values from there on lie in one row."""
     room = np.repeat(offsets[1:], np.diff(offsets))[:n] - np.arange(n)
     return room >= size
+
+
+def repeats(*keys: np.ndarray) -> np.ndarray:
+    """Rows that follow another one with the same first two keys in the order of the others."""
+    by = np.lexsort(keys[::-1])
+    same = np.r_[False, (keys[0][by][1:] == keys[0][by][:-1]) & (keys[1][by][1:] == keys[1][by][:-1])]
+    out = np.zeros(len(by), bool)
+    out[by] = same
+    return out
