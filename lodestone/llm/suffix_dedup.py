@@ -29,10 +29,11 @@ from lodestone import session
 from lodestone.llm import rolling, staging
 from lodestone.llm.arrowtext import record
 
-ANCHORS = pa.schema([("lead", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("n", pa.int32())])
+ANCHORS = pa.schema([("lead", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("more", pa.bool_()), ("again", pa.bool_())])
 SUFFIXES = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_())])
 FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_())])
 BLOCK = 16
+SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -54,9 +55,17 @@ def anchors(staged: DataFrame, size: int, width: int, gram: int) -> DataFrame:
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             shape = rolling.mix((p - lo).astype(np.uint64) * np.uint64(4099))
             classes = [(rolling.span_hash(s, k, lo, hi + size) ^ shape).view(np.int64) for s, k in zip(sums, (11, 12))]
-            yield record(ANCHORS, rolling.span_hash(sums[0], 11, p, p + lead).view(np.int64), *classes, ids[doc].astype(np.int64), (lo - rows[doc]).astype(np.int32), (p - rows[doc]).astype(np.int32), (hi - lo + 1).astype(np.int32))
+            key, ids = rolling.span_hash(sums[0], 11, p, p + lead).view(np.int64), ids[doc].astype(np.int64)
+            at, p, n = lo - rows[doc], p - rows[doc], hi - lo + 1
+            # Of a class that repeats inside the slice one row stands for all; the others are settled and dealt out evenly.
+            by = np.lexsort((at, ids, classes[1], classes[0], key))
+            same = np.r_[False, (key[by][1:] == key[by][:-1]) & (classes[0][by][1:] == classes[0][by][:-1]) & (classes[1][by][1:] == classes[1][by][:-1])]
+            again, more = np.zeros(len(by), bool), np.zeros(len(by), bool)
+            again[by], more[by] = same, np.r_[same[1:], False]
+            key = np.where(again, rolling.mix((ids * 1_000_003 + at).astype(np.uint64)).view(np.int64), key)
+            yield record(ANCHORS, key, *classes, ids, at.astype(np.int32), p.astype(np.int32), n.astype(np.int32), more, again)
 
-    return staged.filter("doc_id is not null").mapInArrow(find, "lead long, c1 long, c2 long, doc_id long, lo int, p int, n int")
+    return staged.filter("doc_id is not null").mapInArrow(find, "lead long, c1 long, c2 long, doc_id long, lo int, p int, n int, more boolean, again boolean")
 
 
 def suffixes(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFrame:
@@ -213,8 +222,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lead = size - width
     spark = docs.sparkSession
     found = staging.bucketed(anchors(staged, size, width, gram), "anchors", n, "lead", ["lead", "c1", "c2"])
-    marked = found.withColumn("times", F.count(F.lit(1)).over(W.partitionBy("lead", "c1", "c2"))).withColumn("rank", F.row_number().over(W.partitionBy("lead", "c1", "c2").orderBy("doc_id", "lo")))
-    same_lead = W.partitionBy("lead")
+    marked = found.withColumn("times", F.sum(F.when(F.col("more") | F.col("again"), 2).otherwise(1)).over(W.partitionBy("lead", "c1", "c2"))).withColumn("rank", F.row_number().over(W.partitionBy("lead", "c1", "c2").orderBy("doc_id", "lo")))
+    same_lead = W.partitionBy("lead")  # settled rows have one each to themselves
     marked = marked.withColumn("open", (F.min("c1").over(same_lead) != F.max("c1").over(same_lead)) & (F.min("times").over(same_lead) == 1))
     marked = session.stored(marked.filter("times > 1 or open").select("doc_id", "lo", "p", "n", "times", "rank", "open"), "classes")
     staging.discard(found)
@@ -223,7 +232,13 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cut = session.stored(suffixes(staged, n, chosen, size), "suffixes")
     staging.release(spark)
     total = cut.agg(F.sum(F.length("suffix") + F.length("before"))).first()[0] or 0
-    found = session.stored(compare(cut.repartitionByRange(max(1, total // bucket_bytes), "suffix"), size, lead), "found")
+    # Splitters are whole suffixes; few samples a bucket keep what the driver gets small.
+    samples = spark.conf.get(SAMPLES)
+    spark.conf.set(SAMPLES, "12")
+    try:
+        found = session.stored(compare(cut.repartitionByRange(max(1, total // bucket_bytes), "suffix"), size, lead), "found")
+    finally:
+        spark.conf.set(SAMPLES, samples)
     staging.release(spark)
     blocks = session.stored(shared(found.filter("h1 is not null")).select("doc_id", "lo", "n", "single"), "blocks")
     met = session.stored(shared(strings(staged, n, blocks, size)).filter("single").select("doc_id", "lo", "n"), "met")
