@@ -14,7 +14,8 @@ suffixes agree on ``lead`` bytes at least, so
 4. a group of suffixes with equal leading bytes that touches a bucket's edge may go on in
    the next one. Across buckets first the bytes that ``BLOCK`` strings in a row have in
    common are compared, one row for all of them; strings of blocks that meet others there
-   are then compared one by one.
+   are then compared one by one. A bucket sends every block with a string still open, and
+   of each other string one block that holds it.
 """
 
 from __future__ import annotations
@@ -158,9 +159,13 @@ def compare_bucket(rows: dict, size: int, lead: int) -> tuple[tuple, tuple]:
     member = codes // 4096
     core = at[member] + offset[member] - codes % 4096 * BLOCK
     c1, c2 = (rolling.span_hash(rolling.byte_sums(raw, k), k, core, core + size - BLOCK + 1).view(np.int64) for k in (13, 14))
-    _, leaders = np.unique(np.stack([c1, c2]), axis=1, return_index=True)
+    # Blocks of one core may hold different strings: of each string one block is sent, an open one where there is any.
+    text = np.empty(len(by), np.int64)
+    text[by] = run
+    held = text[here]
+    order = np.lexsort((back, ~open_in[back], held))
     send = open_in.copy()
-    send[leaders] = True
+    send[back[order[np.r_[True, held[order][1:] != held[order][:-1]]]]] = True
     return repeats, (c1[send], c2[send], doc_id[member][send], (lo[member] + first_start)[send], count_in[send], open_in[send])
 
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from lodestone.llm import suffix_dedup
 from tests.llm.corpus import frame, texts
 
@@ -31,6 +34,32 @@ def test_equals_brute_force(spark):
         assert got == brute(rows)
 
 
+@pytest.mark.parametrize("settled", ["class", "again"])
+def test_every_string_of_an_edge_group_is_sent(settled):
+    """X in one bucket; in the next two variants around one core, neither open, of which the second has X's string."""
+    rng = random.Random(3)
+    say = lambda k: bytes(rng.choice(b"abcdefgh") for _ in range(k))
+    shared, tail = say(SIZE + 6), say(9)
+    one, two = say(8), say(8)
+    single = settled == "again"
+    # An anchor 8 bytes in; X agrees with the second variant before the anchor and with neither after the shared bytes.
+    def bucket(*docs):
+        rows = {"suffix": [shared + end for _, _, end in docs], "before": [b for _, b, _ in docs]}
+        return rows | {"doc_id": np.array([i for i, _, _ in docs]), "lo": np.zeros(len(docs), np.int64), "n": np.full(len(docs), 9), "single": np.full(len(docs), single or len(docs) == 1)}
+
+    def sent(found):
+        return {(d, s + k) for _, _, d, s, n, _ in zip(*found) for k in range(n)}
+
+    copies = [1, 2] if settled == "again" else [1]
+    variants = [(10 * v + c, b, b"~" + tail) for v, b in ((1, one), (2, two)) for c in copies]
+    _, first = suffix_dedup.compare_bucket(bucket((1, two, b" " + tail)), SIZE, 30)
+    _, second = suffix_dedup.compare_bucket(bucket(*variants), SIZE, 30)
+    text = {i: b + shared + e for i, b, e in [(1, two, b" " + tail), *variants]}
+    of = lambda found: {text[d][s : s + SIZE] for d, s in sent(found)}
+    assert of(second) == {text[i][s : s + SIZE] for i, _, _ in variants for s in range(9)}
+    assert two + shared[: SIZE - 8] in of(first) & of(second)
+
+
 def test_multikey_quicksort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(500)] + [b"a" * 30] * 40
