@@ -3,9 +3,9 @@
 Words are folded into classes: the most frequent ones over all documents keep their own,
 the rest share a few by hash. The network sums embeddings of the ``window`` classes on
 either side (one weight vector per distance), and a softmax over all classes scores the
-class in the middle. Training covers every document: each partition of the corpus makes
-gradient steps in numpy on its own words (every ``stride``-th position, another start for
-each document and round) from the weights of the last round, and the partitions' weights
+class in the middle. Training covers every position: each partition of the corpus makes
+gradient steps in numpy on its own words (every ``stride``-th position in a round, the
+next ones in the next round) from the weights of the last round, and the partitions' weights
 are averaged by their number of words, first in groups on the executors, then on the driver.
 A document's score is the sum over all its positions of log p(class | both sides).
 """
@@ -113,17 +113,19 @@ class WindowNetwork:
 
     def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         hidden, logits = self.log_p(around)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p /= len(target)
+        p = np.exp(logits, out=logits)
+        p *= 1 / (p.sum(axis=1, keepdims=True) * len(target))
+        p[np.arange(len(target)), target] -= np.float32(1 / len(target))
         back = p @ self.out
+        near = np.einsum("idk,ik->dk", self.embed[around], back)
         self.out -= rate * (p.T @ hidden)
         self.bias -= rate * p.sum(axis=0)
-        for d in range(around.shape[1]):
-            grad = (self.embed[around[:, d]] * back).sum(axis=0)
-            np.subtract.at(self.embed, around[:, d], rate * back * self.near[d])
-            self.near[d] -= rate * grad
+        grad = (self.near * back[:, None, :]).reshape(-1, back.shape[1])
+        order = np.argsort(around, axis=None, kind="stable")
+        held = around.ravel()[order]
+        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+        self.embed[held[first]] -= rate * np.add.reduceat(grad[order], first, axis=0)
+        self.near -= rate * near
 
 
 def laid_out(classes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,16 @@ def laid_out(classes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.nda
     return out, at
 
 
-def train(rows: DataFrame, classes: Classes, *, width: int = 16, window: int = 2, rounds: int = 2, stride: int = 8, batch: int = 256, rate: float = 2.0, groups: int = 64, seed: int = 3) -> WindowNetwork:
+def targets(ids: list[int | None], offsets: np.ndarray, turn: int, stride: int) -> np.ndarray:
+    """Which words are targets in a round: ``stride`` rounds in a row take each word once."""
+    sizes = np.diff(offsets)
+    phase = np.array([(i or 0) % stride * 7 + turn for i in ids], np.int64)
+    return (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + np.repeat(phase, sizes)) % stride == 0
+
+
+def train(rows: DataFrame, classes: Classes, *, width: int = 16, window: int = 2, rounds: int = 2, stride: int = 2, batch: int = 256, rate: float = 2.0, groups: int = 64, seed: int = 3) -> WindowNetwork:
+    if rounds < stride:
+        raise ValueError("fewer rounds than phases leave positions that are never a target")
     spark = rows.sparkSession
     network = WindowNetwork(classes.n, width, window, seed)
     for turn in range(rounds):
@@ -149,8 +160,7 @@ def train(rows: DataFrame, classes: Classes, *, width: int = 16, window: int = 2
             for part in by_bytes(batches, 1 << 20):
                 words, offsets = hashes(part.column("text").to_pylist())
                 text, at = laid_out(known.of(words), offsets, window)
-                phase = np.repeat(np.array([(i or 0) * 7 + turn * (stride // 2) for i in part.column("doc_id").to_pylist()]), np.diff(offsets))
-                mine = at[(np.arange(len(at)) - np.repeat(offsets[:-1], np.diff(offsets)) + phase) % stride == 0]
+                mine = at[targets(part.column("doc_id").to_pylist(), offsets, turn, stride)]
                 seen += len(words)
                 for k in range(0, len(mine), batch):
                     some = mine[k : k + batch]
@@ -189,8 +199,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
             words, offsets = hashes(part.column("text").to_pylist())
             text, at = laid_out(known.of(words), offsets, net.window)
             found = np.zeros(len(at))
-            for k in range(0, len(at), 2048):
-                found[k : k + 2048] = net.score(net.context(text, at[k : k + 2048]), text[at[k : k + 2048]])
+            for k in range(0, len(at), 512):
+                found[k : k + 512] = net.score(net.context(text, at[k : k + 512]), text[at[k : k + 512]])
             total = np.diff(np.r_[0.0, np.cumsum(found)][offsets])
             n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])

@@ -1,4 +1,7 @@
+import inspect
+
 import numpy as np
+import pytest
 
 from lodestone.llm import lm_score
 from tests.llm.corpus import frame
@@ -25,6 +28,29 @@ def test_order_counts_on_held_out_texts(spark):
     assert min(got[400 + i].mean_log_prob for i in range(20)) > max(got[420 + i].mean_log_prob for i in range(20))
 
 
+def test_order_counts_with_the_registered_defaults(spark):
+    rng = np.random.default_rng(9)
+    held = corpus(420)[400:]
+    mixed = [" ".join(rng.permutation(t.split())) for t in held]
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, list(enumerate(corpus(400) + held + mixed)))).collect()}
+    assert min(got[400 + i].mean_log_prob for i in range(20)) > max(got[420 + i].mean_log_prob for i in range(20))
+
+
+def test_every_position_is_a_target():
+    given = {k: v.default for k, v in inspect.signature(lm_score.train).parameters.items()}
+    offsets = np.array([0, 1, 1, 4, 30, 31])
+    times = sum(lm_score.targets([5, 6, 2**62 + 1, -3, None], offsets, turn, given["stride"]).astype(int) for turn in range(given["rounds"]))
+    assert times.min() >= 1
+    with pytest.raises(ValueError):
+        lm_score.train(None, None, rounds=2, stride=8)
+
+
+def test_short_texts_train_with_the_registered_defaults(spark):
+    rows = frame(spark, [(1, "alone"), (1, "alone")])
+    classes = lm_score.Classes(lm_score.hashes(["alone"])[0], 1)
+    assert lm_score.train(rows, classes).bias[1] > 0
+
+
 def test_scores_are_conditional_log_probabilities():
     net = lm_score.WindowNetwork(7, 4, 2, 1)
     around = np.array([[0, 1, 2, 3], [4, 5, 6, 0]])
