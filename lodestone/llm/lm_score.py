@@ -7,7 +7,10 @@ class in the middle. Training covers every position: each partition of the corpu
 gradient steps in numpy on its own words (every ``stride``-th position in a round, the
 next ones in the next round) from the weights of the last round, and the partitions' weights
 are averaged by their number of words, first in groups on the executors, then on the driver.
-A document's score is the sum over all its positions of log p(class | both sides).
+A word's probability is that of its class given both sides, times its share of the class by
+the counts of all words, so the vocabulary is every word there is. Of the counts the most
+frequent ones are broadcast; the others reach the words of a document by a join. A
+document's score is the sum over all its positions of log p(word | both sides).
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone import session
 from lodestone.llm import rolling
 from lodestone.llm.arrowtext import by_bytes, id_text
 from lodestone.llm.staging import joined_bytes
@@ -180,29 +184,66 @@ def train(rows: DataFrame, classes: Classes, *, width: int = 16, window: int = 2
     return network
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 191, shared: int = 64, **training) -> DataFrame:
+def class_sizes(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """How often the words of each class occur, together."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes.n, np.int64)
+        for part in batches:
+            np.add.at(total, classes.of(part.column("h").to_numpy().view(U)), part.column("n").to_numpy())
+        c = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(total[c], pa.int64())], ["c", "n"])
+
+    found = counts.mapInArrow(add, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(classes.n, np.int64)
+    out[found["c"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = 191, shared: int = 64, near_counts: int = 1 << 16, **training) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) of every row.
 
     Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows and
     null ids are scored like others; an empty table gives an empty result; other columns are
-    ignored. What the driver gets is bounded: ``frequent`` words and ``groups`` averages.
+    ignored. ``near_counts`` changes how counts reach the documents, not the result. The driver
+    gets that many words' counts and ``groups`` averages.
     """
     rows = id_text(docs, id_col, text_col)
-    top = word_counts(rows).orderBy(F.desc("n"), "h").limit(frequent).toPandas()
-    classes = Classes(top["h"].to_numpy(np.int64).view(U), shared)
+    counts = session.stored(word_counts(rows), "words")
+    top = counts.orderBy(F.desc("n"), "h").limit(max(1, frequent, near_counts)).toPandas()
+    top_h, top_n = top["h"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
+    classes = Classes(top_h[:frequent], shared)
     network = train(rows, classes, **training)
-    given = docs.sparkSession.sparkContext.broadcast((network, classes))
+    by = np.argsort(top_h)
+    log_size = np.log(np.maximum(class_sizes(counts, classes), 1))
+    given = docs.sparkSession.sparkContext.broadcast((network, classes, log_size, top_h[by], np.log(top_n[by])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, known = given.value
+        from pyspark import TaskContext
+
+        net, known, log_size, near, log_n = given.value
+        row = TaskContext.get().partitionId() << 40
         for part in by_bytes(batches, 1 << 19):
             words, offsets = hashes(part.column("text").to_pylist())
-            text, at = laid_out(known.of(words), offsets, net.window)
+            own = known.of(words)
+            text, at = laid_out(own, offsets, net.window)
             found = np.zeros(len(at))
             for k in range(0, len(at), 512):
                 found[k : k + 512] = net.score(net.context(text, at[k : k + 512]), text[at[k : k + 512]])
+            found -= log_size[own]
+            place = np.minimum(np.searchsorted(near, words), len(near) - 1)
+            rare = near[place] != words
+            found[~rare] += log_n[place[~rare]]
             total = np.diff(np.r_[0.0, np.cumsum(found)][offsets])
             n = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return rows.mapInArrow(each, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            ends = np.r_[0, np.cumsum(rare)][offsets].astype(np.int32)
+            far = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[rare].view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n)), pa.int64()), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), far], ["row", "doc_id", "n_tokens", "log_prob", "far"])
+            row += len(n)
+
+    scored = session.stored(rows.mapInArrow(each, "row long, doc_id long, n_tokens long, log_prob double, far array<long>"), "scored")
+    far = scored.select("row", F.explode("far").alias("h")).join(counts.hint("merge"), "h")
+    more = far.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    whole = scored.select("row", "doc_id", "n_tokens", "log_prob").join(more.hint("merge"), "row", "left").withColumn("log_prob", total)
+    return whole.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

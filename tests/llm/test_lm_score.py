@@ -51,6 +51,22 @@ def test_short_texts_train_with_the_registered_defaults(spark):
     assert lm_score.train(rows, classes).bias[1] > 0
 
 
+@pytest.mark.parametrize("near_counts", [0, 4, 1 << 16])
+def test_rare_words_are_predicted_not_their_classes(spark, near_counts):
+    times = {f"w{k}": k for k in range(1, 13)}
+    docs = [(0, "the " * 40), (1, "the w3 the")] + [(100 + k, " ".join([w] * k)) for w, k in times.items()] + [(200 + k, w) for w, k in times.items()] + [(300, None), (300, "w2"), (None, "w2")]
+    found = lm_score.score(frame(spark, docs), frequent=1, shared=1, near_counts=near_counts).collect()
+    got = {r.doc_id: r for r in found if r.doc_id not in (300, None)}
+    assert len(found) == len(docs)
+    counts = {w: k + 1 + (w == "w3") + 2 * (w == "w2") for w, k in times.items()}
+    p = {w: np.exp(got[200 + k].log_prob) for w, k in times.items()}
+    for w in times:
+        assert np.isclose(p[w] / sum(p.values()), counts[w] / sum(counts.values()))
+    assert sorted(r.n_tokens for r in found if r.doc_id in (300, None)) == [0, 1, 1]
+    assert all(np.isclose(np.exp(r.log_prob), p["w2"]) for r in found if r.doc_id in (300, None) and r.n_tokens)
+    assert np.isclose(got[201].mean_log_prob, got[201].log_prob) and got[0].n_tokens == 40
+
+
 def test_scores_are_conditional_log_probabilities():
     net = lm_score.WindowNetwork(7, 4, 2, 1)
     around = np.array([[0, 1, 2, 3], [4, 5, 6, 0]])
