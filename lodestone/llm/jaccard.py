@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone import session
 from lodestone.llm import rolling, staging
+from lodestone.llm.arrowtext import by_bytes, id_text
 from lodestone.llm.components import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -93,7 +94,7 @@ def prefixes(staged: DataFrame, hot, k: int, percent: int) -> DataFrame:
         for part, texts in staging.unpacked(batches):
             sets = shingle_sets(texts, k)
             often = hot.value
-            heads, digests = [], []
+            heads, digests, cold = [], [], []
             for s in sets:
                 n = len(s)
                 take = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -101,15 +102,17 @@ def prefixes(staged: DataFrame, hot, k: int, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     late = often[at] == s
                     head = np.r_[s[~late], s[late]][:take]
+                    cold.append(min(len(head), int((~late).sum())))
                 else:
                     head = s[:take]
+                    cold.append(len(head))
                 heads.append(head.view(np.int64))
                 digests.append((*digest(s), *digest(head)))
             ends = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([d[i] for d in digests], np.uint64).view(np.int64)) for i in range(4)), lists], ["doc_id", "n", "d1", "d2", "g1", "g2", "head"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([d[i] for d in digests], np.uint64).view(np.int64)) for i in range(4)), pa.array(cold, pa.int32()), lists], ["doc_id", "n", "d1", "d2", "g1", "g2", "cold", "head"])
 
-    return staged.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, head array<long>")
+    return staged.mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, cold int, head array<long>")
 
 
 def node_sets(staged: DataFrame, n: int, nodes: DataFrame, k: int) -> DataFrame:
@@ -119,11 +122,11 @@ def node_sets(staged: DataFrame, n: int, nodes: DataFrame, k: int) -> DataFrame:
         for part, texts in staging.unpacked(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], ["node", "s"])
 
-    rows = staged.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = staged.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return staging.bucketed(rows.select("doc_id", "packed").mapInArrow(sets, "node long, s binary"), "sets", n, "node", ["node"], dealt=True)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, partners: int = 256) -> DataFrame:
     """(a, b, common, na, nb) of each pair, from the whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +145,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 nb.append(len(right))
             yield pa.RecordBatch.from_arrays([a, b, *(pa.array(x, pa.int64()) for x in (common, na, nb))], ["a", "b", "common", "na", "nb"])
 
+    # A node with many partners has its set sent to several tasks, which share the partners by their number.
+    crowded = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).filter(f"partners > {partners}").select("a", F.ceil(F.col("partners") / partners).cast("int").alias("parts"))
+    pairs = pairs.join(crowded, "a", "left").select("a", "b", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), "parts").cast("int")).alias("part"))
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-    with_a = with_b.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    of_a = sets.join(crowded.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("s").alias("sa"))
+    with_a = with_b.join(of_a.hint("merge"), ["a", "part"])
     return with_a.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, common long, na long, nb long")
 
 
@@ -171,25 +178,36 @@ def enough_shared(percent: int, shared: str):
     return F.expr(f"{shared} + least(long_a, long_b) >= least({need[0]}, {need[1]})")
 
 
-def id_repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
-
-
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, short_list: int = 32, hot_least: int = 16, hot_limit: int = 4_000_000) -> DataFrame:
     """Per document: size of its set, its class (least id reachable by links, itself included).
 
     Texts without words have an empty set and link with nothing. Rows without an id have no
-    class but themselves (null). Rows that repeat an id are expected to repeat the text. An
-    empty table gives an empty result; other columns are ignored.
+    class (null) and no part in others. Rows that repeat an id are documents of their own,
+    each with its class. An empty table gives an empty result; other columns are ignored.
     """
+    run = lambda given, id_col: _join(given, id_col, text_col, k, percent, short_list, hot_least, hot_limit)
+    return staging.with_unique_ids(docs, id_col, text_col, run, ("doc_id", "component_id")).unionByName(alone(docs, id_col, text_col, k))
+
+
+def alone(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """The rows without an id."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, 1 << 20):
+            n = [len(s) for s in shingle_sets([t.encode() for t in part.column("text").to_pylist()], k)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return id_text(docs.filter(F.col(id_col).isNull()), id_col, text_col).mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, short_list: int, hot_least: int, hot_limit: int) -> DataFrame:
     spark = docs.sparkSession
     staged, n = staging.stage(docs, id_col, text_col)
     hot = spark.sparkContext.broadcast(frequent(staged, k, hot_least, hot_limit))
     every = staging.bucketed(prefixes(staged, hot, k, percent), "prefixes", n, "doc_id", ["doc_id"], dealt=True)
-    nodes = session.stored(every.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2", "g1", "g2").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = session.stored(every.filter("n > 0").groupBy("n", "d1", "d2", "g1", "g2").agg(F.min("doc_id").alias("node")), "nodes")
     grouped = nodes.groupBy("n", "g1", "g2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
     members = session.stored(nodes.join(grouped.hint("merge"), ["n", "g1", "g2"]).select("node", "n", "first", "members"), "members")
-    staging.release(spark)
 
     # Members against their group's first. One that doesn't link stands on the group's lists as a unit of its own.
     crowd = members.filter("members > 1")
@@ -200,12 +218,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     units = members.filter("node = first").select(F.col("node").alias("unit")).unionByName(alone)
 
     # Lists of units by prefix shingle; only lists of two or more matter.
-    heads = every.join(units.withColumnRenamed("unit", "doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"]) if id_repeats(every) else every.join(units.withColumnRenamed("unit", "doc_id").hint("merge"), "doc_id")
-    postings = heads.select(F.col("doc_id").alias("unit"), (F.col("n") * (1 << 31) + F.size("head")).alias("sizes"), F.posexplode("head").alias("pos", "t"))
-    on_list = W.partitionBy("t")
-    postings = postings.withColumn("size", F.count(F.lit(1)).over(on_list)).filter("size > 1").withColumn("p", F.min(F.struct("unit", "sizes", "pos")).over(on_list))
+    heads = every.join(units.withColumnRenamed("unit", "doc_id").hint("merge"), "doc_id")
+    postings = heads.select(F.col("doc_id").alias("unit"), (F.col("n") * (1 << 31) + F.size("head")).alias("sizes"), "cold", F.posexplode("head").alias("pos", "t"))
+    size, pivot = F.count(F.lit(1)), F.min(F.struct("unit", "sizes", "pos"))
+    on_list, cold, often = W.partitionBy("t"), postings.filter("pos < cold").drop("cold"), postings.filter("pos >= cold").drop("cold")
+    cold = cold.withColumn("size", size.over(on_list)).filter("size > 1").withColumn("p", pivot.over(on_list))
+    # Facts of a frequent shingle's list are summed before they meet it, and a join can be split where a list is long; a window could not.
+    often = often.join(often.groupBy("t").agg(size.alias("size"), pivot.alias("p")).filter("size > 1").hint("merge"), "t")
+    postings = cold.unionByName(often)
     lists = session.stored(postings.select("t", "unit", F.shiftright("sizes", 31).alias("n"), (F.col("sizes") % (1 << 31)).alias("take"), "pos", "size", F.col("p.unit").alias("pivot"), F.shiftright("p.sizes", 31).alias("pivot_n"), F.col("p.pos").alias("pivot_pos")), "lists")
-    staging.release(spark)
     facts = lists.groupBy("unit").agg(F.max("n").alias("n"), F.max("take").alias("take"), F.sum((F.col("size") > short_list).cast("long")).alias("long"))
     facts = session.stored(facts.join(reach, "unit", "left").fillna(0.0, ["reach"]), "facts")
 
@@ -220,11 +241,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     for side in "ab":
         met = met.join(facts.select(F.col("unit").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "take", "long"))), side)
     first_pairs = session.stored(met.filter(enough_shared(percent, "shared")).select("a", "b"), "pairs")
-    staging.release(spark)
     asked = first_pairs.select(F.col("a").alias("node")).unionByName(first_pairs.select(F.col("b").alias("node"))).distinct()
     written.append(sets := node_sets(staged, n, session.stored(asked, "asked"), k))
     known = session.stored(verified(first_pairs, sets), "verified")
-    staging.release(spark)
     links = inside.filter(linked(percent)).select("a", "b").unionByName(known.filter(linked(percent)).select("a", "b"))
     classes = components(links)
 

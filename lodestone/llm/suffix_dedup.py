@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone import session
 from lodestone.llm import rolling, staging
-from lodestone.llm.arrowtext import record
+from lodestone.llm.arrowtext import id_text, record
 
 ANCHORS = pa.schema([("lead", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("more", pa.bool_()), ("again", pa.bool_())])
 SUFFIXES = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("single", pa.bool_())])
@@ -42,6 +42,7 @@ def anchors(staged: DataFrame, size: int, width: int, gram: int) -> DataFrame:
     lead = size - width
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = staging.Seen()
         for part, texts in staging.unpacked(batches):
             raw, rows = staging.joined_bytes(texts)
             sums = [rolling.byte_sums(raw, k) for k in (11, 12)]
@@ -58,18 +59,21 @@ def anchors(staged: DataFrame, size: int, width: int, gram: int) -> DataFrame:
             classes = [(rolling.span_hash(s, k, lo, hi + size) ^ shape).view(np.int64) for s, k in zip(sums, (11, 12))]
             key, ids = rolling.span_hash(sums[0], 11, p, p + lead).view(np.int64), ids[doc].astype(np.int64)
             at, p, n = lo - rows[doc], p - rows[doc], hi - lo + 1
-            # Of a class that repeats inside the slice one row stands for all; the others are settled and dealt out evenly.
+            # Of a class that repeats inside the slice one row stands for all, and of one that goes on through the task two
+            # rows do; the others are settled and dealt out evenly.
             by = np.lexsort((at, ids, classes[1], classes[0], key))
             same = np.r_[False, (key[by][1:] == key[by][:-1]) & (classes[0][by][1:] == classes[0][by][:-1]) & (classes[1][by][1:] == classes[1][by][:-1])]
             again, more = np.zeros(len(by), bool), np.zeros(len(by), bool)
             again[by], more[by] = same, np.r_[same[1:], False]
+            again |= seen.times(classes[0], classes[1], ids) > 1
+            seen.add(*(x[~again] for x in (*classes, ids)), 1 + more[~again])
             key = np.where(again, rolling.mix((ids * 1_000_003 + at).astype(np.uint64)).view(np.int64), key)
             yield record(ANCHORS, key, *classes, ids, at.astype(np.int32), p.astype(np.int32), n.astype(np.int32), more, again)
 
-    return staged.filter("doc_id is not null").mapInArrow(find, "lead long, c1 long, c2 long, doc_id long, lo int, p int, n int, more boolean, again boolean")
+    return staged.mapInArrow(find, "lead long, c1 long, c2 long, doc_id long, lo int, p int, n int, more boolean, again boolean")
 
 
-def suffixes(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFrame:
+def suffixes(staged: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """The bytes of the chosen anchors' suffixes as far as owned strings reach, and those before them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +85,7 @@ def suffixes(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFra
             if after:
                 yield record(SUFFIXES, after, before, ids[row], lo.astype(np.int32), count.astype(np.int32), single.astype(bool))
 
-    return staging.with_lists(staged, chosen, n, "inner").mapInArrow(cut, "suffix binary, before binary, doc_id long, lo int, n int, single boolean")
+    return staging.with_lists(staged, chosen, "inner").mapInArrow(cut, "suffix binary, before binary, doc_id long, lo int, n int, single boolean")
 
 
 def multikey_quicksort(strings: list[bytes], word: int = 8) -> np.ndarray:
@@ -193,7 +197,7 @@ def compare(sorted_suffixes: DataFrame, size: int, lead: int) -> DataFrame:
     return sorted_suffixes.mapInArrow(bucket, "h1 long, h2 long, doc_id long, lo int, n int, single boolean")
 
 
-def strings(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFrame:
+def strings(staged: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """Hashes of every string of the chosen starts (doc_id, lo, n, single), a row each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +211,7 @@ def strings(staged: DataFrame, n: int, chosen: DataFrame, size: int) -> DataFram
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row[each]]
             yield record(FOUND, h1, h2, ids, pos.astype(np.int32), np.ones(len(pos), np.int32), single[each].astype(bool))
 
-    return staging.with_lists(staged, chosen, n, "inner").mapInArrow(emit, "h1 long, h2 long, doc_id long, lo int, n int, single boolean")
+    return staging.with_lists(staged, chosen, "inner").mapInArrow(emit, "h1 long, h2 long, doc_id long, lo int, n int, single boolean")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -223,6 +227,11 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     that repeat an id are one document more each. An empty table gives an empty result;
     other columns are ignored. What is left may end inside a character, so it is binary.
     """
+    run = lambda given, id_col: _repeated(given, id_col, text_col, size, width, gram, bucket_bytes)
+    return staging.with_unique_ids(docs, id_col, text_col, run).unionByName(untouched(docs, id_col, text_col))
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, size: int, width: int, gram: int, bucket_bytes: int) -> DataFrame:
     staged, n = staging.stage(docs, id_col, text_col)
     lead = size - width
     spark = docs.sparkSession
@@ -234,20 +243,18 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     staging.discard(found)
     whole = marked.filter("times > 1").select("doc_id", "lo", "n")
     chosen = marked.filter("rank = 1 and open").select("doc_id", "lo", "p", "n", (F.col("times") == 1).alias("single"))
-    cut = session.stored(suffixes(staged, n, chosen, size), "suffixes")
-    staging.release(spark)
+    cut = session.stored(suffixes(staged, chosen, size), "suffixes")
     total = cut.agg(F.sum(F.length("suffix") + F.length("before"))).first()[0] or 0
-    # Splitters are whole suffixes; few samples a bucket keep what the driver gets small.
+    # Splitters are whole suffixes and what stands before them, so that many equal suffixes can be dealt out; few samples a bucket keep what the driver gets small.
     samples = spark.conf.get(SAMPLES)
     spark.conf.set(SAMPLES, "12")
     try:
-        found = session.stored(compare(cut.repartitionByRange(max(1, total // bucket_bytes), "suffix"), size, lead), "found")
+        found = session.stored(compare(cut.repartitionByRange(max(1, total // bucket_bytes), "suffix", "before"), size, lead), "found")
     finally:
         spark.conf.set(SAMPLES, samples)
-    staging.release(spark)
+    session.drop_path(spark, cut.path)
     blocks = session.stored(shared(found.filter("h1 is not null")).select("doc_id", "lo", "n", "single"), "blocks")
-    met = session.stored(shared(strings(staged, n, blocks, size)).filter("single").select("doc_id", "lo", "n"), "met")
-    staging.release(spark)
+    met = session.stored(shared(strings(staged, blocks, size)).filter("single").select("doc_id", "lo", "n"), "met")
     spans = whole.unionByName(found.filter("h1 is null").select("doc_id", "lo", "n")).unionByName(met)
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +272,11 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             kept = [raw[a:b][~gone[a:b]].tobytes() if r else t for t, a, b, r in zip(texts, at, at[1:], removed)]
             yield record(RESULT, part.column("doc_id"), np.diff(at), removed, spans_in, kept)
 
-    return staging.with_lists(staged, spans, n, "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return staging.with_lists(staged, spans, "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def untouched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows without an id, as they are."""
+    rows = id_text(docs.filter(F.col(id_col).isNull()), id_col, text_col)
+    none = F.lit(0).cast("long")
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "utf-8").alias("kept"))

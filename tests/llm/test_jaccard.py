@@ -57,3 +57,19 @@ def test_empty_table_and_null_id(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
     got = jaccard.join(frame(spark, [(None, "a b c d e"), (5, "a b c d e"), (6, "A b c d e"), (7, "")])).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got if r.doc_id) == [(5, 5), (6, 5), (7, 7)]
+
+
+def test_repeated_ids_of_different_texts(spark):
+    one, two = " ".join(map(str, range(50))), " ".join(map(str, range(50, 90)))
+    rows = [(5, one), (5, two), (5, one), (6, two), (7, None), (7, f"{one} more"), (None, one)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect() if r.doc_id is not None)
+    assert got == [(5, 37, 5), (5, 47, 5), (5, 47, 5), (6, 37, 5), (7, 0, 7), (7, 48, 5)]
+
+
+def test_one_long_list_and_a_node_with_many_partners(spark):
+    """A line in every text, frequent shingles at the end of the order, and more partners than one task gets."""
+    rng = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(30))
+    rows = [(i, f"{line} {' '.join(f'w{rng.randrange(400)}' for _ in range(i % 6))}") for i in range(400)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows), hot_least=4, short_list=8).collect()}
+    assert got == brute(rows, 4, 85)

@@ -64,3 +64,18 @@ def test_empty_corpus(spark, tmp_path):
     test_quality.labelled(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """Rows are judged one by one: one of each text stays, and a clean text never goes because its id does."""
+    docs, items = corpus()
+    a, b, c = (docs[k][1] for k in (20, 30, 40))
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, items[0][1] + " and more"), (3, c), (None, b), (None, docs[50][1]), (None, items[0][1])]
+    frame = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {}
+    for name, stage in pipeline.STAGES[1:4]:
+        kept[name] = sorted((r.doc_id or 0, r.text) for r in stage(spark, frame, str(tmp_path)).collect())
+    assert kept["n-gram Jaccard join"] == sorted([(1, a), (1, b), (3, c), (0, docs[50][1]), (3, items[0][1] + " and more")])
+    assert [i for i, t in kept["substring dedup"] if t == a] == [1] and (0, docs[50][1]) in kept["substring dedup"]
+    assert kept["benchmark decontamination"] == sorted((i or 0, t) for i, t in rows if items[0][1] not in t)

@@ -68,3 +68,20 @@ def test_multikey_quicksort():
 
 def test_empty_table(spark):
     assert suffix_dedup.repeated(frame(spark, [])).count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark):
+    long = " ".join(map(str, range(400)))
+    rows = [(1, long), (1, "short"), (2, long), (3, "other"), (3, None), (3, f"{long[:300]} {long}"), (None, long)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.repeated(frame(spark, rows), size=SIZE, width=30, gram=8).collect() if r.doc_id is not None)
+    assert got == sorted((rows[k][0], *v) for k, v in brute([(k, t) for k, (_, t) in enumerate(rows[:-1])]).items())
+
+
+def test_many_equal_suffixes_are_dealt_out(spark):
+    """One passage behind many different beginnings, cut at many bucket edges, and one that copies repeat through a task."""
+    rng = random.Random(6)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, line = say(70), say(80)
+    rows = [(i, f"{say(25)}{passage}") for i in range(60)] + [(100 + i, f"{line}{i}") for i in range(40)] + [(200, say(20_000) + passage + say(300))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.repeated(frame(spark, rows), size=SIZE, width=30, gram=8, bucket_bytes=500).collect()}
+    assert got == brute(rows)
