@@ -1,20 +1,22 @@
 """Numbers with units in text, as constraints: parameter, operator, value, normalised value and unit.
 
-Ranges come first; what they cover can't be read as single numbers. The operator is a
-sign in front of the number or else the phrase that ends closest before it; the
-parameter is the keyword that ends closest before it. Neither crosses a sentence's end.
+All of it is column expressions. Marks are put around every range in a text, then around
+every single number that stands in no range; the text between the marks gives where each hit stands, and a row is made for each.
+The operator is a sign in front of the number or else the phrase that ends closest before
+it; the parameter is the keyword that ends closest before it. Neither crosses a sentence's
+end. Texts without a number in front of a unit are filtered out by the scan.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone import session
+from lodestone.functions.text import parse_number
 
 # Patterns of units with their normal unit and factor, of numbers, operators and parameters.
 NUMBER = r"\d{1,3}(?:[  ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
@@ -43,12 +45,14 @@ PARAMETERS = (
 )
 OPERATOR_REACH, PARAMETER_REACH, BEFORE, AFTER = 30, 60, 30, 15
 
-_UNIT = "|".join(f"(?:{p})" for p, _, _ in UNITS)
-_RANGES = [re.compile(p, re.I) for p in (rf"от\s+({NUMBER})\s+до\s+({NUMBER})\s*({_UNIT})", rf"(?:от\s+)?({NUMBER})\s*[-–—−]\s*({NUMBER})\s*({_UNIT})")]
-_SINGLE = re.compile(rf"([<>≤≥])?\s*({NUMBER})\s*({_UNIT})", re.I)
-_UNITS = [(re.compile(p, re.I), u, f) for p, u, f in UNITS]
-_PHRASES = [(re.compile(p, re.I), op) for p, op in PHRASES]
-_PARAMETERS = [(re.compile(p, re.I), name) for p, name in PARAMETERS]
+
+UNIT = "|".join(f"(?:{p})" for p, _, _ in UNITS)
+SPAN_WORDS = rf"от\s+({NUMBER})\s+до\s+({NUMBER})\s*({UNIT})"
+SPAN_DASH = rf"(?:от\s+)?({NUMBER})\s*[-–—−]\s*({NUMBER})\s*({UNIT})"
+SINGLE = rf"([<>≤≥])?\s*({NUMBER})\s*({UNIT})"
+#: Any case, and Unicode letters, digits and blanks.
+FLAGS = "(?iU)"
+OPEN, CLOSE = "\u0001", "\u0002"
 
 CONSTRAINT = "param string, op string, value double, value_max double, unit string, norm_value double, norm_unit string, source_text string"
 
@@ -65,69 +69,96 @@ class Constraint:
     source_text: str
 
 
-def number(raw: str) -> float:
-    return float(re.sub("[  ]", "", raw).replace(",", "."))
+def has_constraint(text: Column) -> Column:
+    """Whether a number stands in front of a unit."""
+    return text.rlike(rf"{FLAGS}\d\s*(?:{UNIT})")
 
 
-def unit(raw: str) -> tuple[str, float] | None:
-    return next(((name, factor) for pattern, name, factor in _UNITS if pattern.fullmatch(raw)), None)
+def pieces(text: Column) -> Column:
+    """A text cut at its hits: what stands before the first one, the hit, what stands behind it, and so on."""
+    spans = F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), f"{FLAGS}{SPAN_WORDS}|{SPAN_DASH}", f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(spans, f"{FLAGS}{SINGLE}(?![^{OPEN}]*{CLOSE})", f"{OPEN}$0{CLOSE}")
+    return F.split(marked, f"[{OPEN}{CLOSE}]")
 
 
-def _closest(text: str, at: int, reach: int, rules: list) -> tuple[re.Match, object] | None:
-    """The rule whose last match in the sentence before ``at`` ends last; the earlier rule wins a tie."""
-    before = re.split(r"[.!?;\n]", text[max(0, at - reach) : at])[-1]
-    best = None
-    for pattern, value in rules:
-        found = list(pattern.finditer(before))
-        if found and (best is None or found[-1].end() > best[0].end()):
-            best = (found[-1], value)
-    return best
+def hits(cut: Column) -> Column:
+    """Of ``pieces``: array of struct(start, piece), a hit and how many characters stand before it."""
+    before = lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))
+    odd = F.when(F.size(cut) > 1, F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)))
+    return F.transform(odd, lambda i: F.struct(before(i).alias("start"), F.get(cut, i).alias("piece")))
 
 
-def operator(text: str, at: int, sign: str | None) -> str:
-    if sign:
-        return SIGNS[sign]
-    found = _closest(text, at, OPERATOR_REACH, _PHRASES)
-    return found[1] if found else "="
+def sentence_before(text: Column, at: Column, reach: int) -> Column:
+    """Up to ``reach`` characters in front of place ``at``, from the last sentence's end in them."""
+    return F.regexp_extract(F.substring(text, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))), r"([^.!?;\n]*)\z", 1)
 
 
-def parameter(text: str, at: int) -> str:
-    found = _closest(text, at, PARAMETER_REACH, _PARAMETERS)
-    return "" if found is None else found[1] or f"содержание {found[0].group(1)}"
+def beginnings(pattern: str) -> list[str]:
+    """The letters that each alternative of a pattern begins with."""
+    whole = re.sub(r"\(\?:[^)]*\)", "", pattern)
+    return [re.match(r"(?:\\b)?(\w+?)(?=\\|$|\W)", x)[1].lower() for x in whole.split("|")]
 
 
-def _around(text: str, start: int, end: int) -> str:
-    return text[max(0, start - BEFORE) : end + AFTER].strip()
+def ends(before: Column, patterns: Sequence[str]) -> Column:
+    """Where each pattern ends last in ``before``; 0 where it doesn't occur. Only patterns whose first letters occur are tried."""
+    low = F.lower(before)
+    upto = lambda p: F.regexp_extract(before, f"(?iUs)\\A.*(?:{p})", 0)
+    tried = (F.when(reduce(Column.__or__, [low.contains(x) for x in beginnings(p)]), upto(p)).otherwise("") for p in patterns)
+    # Functions on arrays keep the many patterns out of one generated method, which would be too long to be compiled.
+    return F.transform(F.array(*tried), F.length)
 
 
-def extract(text: str | None) -> list[Constraint]:
-    """Constraints in order of where they stand."""
-    if not text:
-        return []
-    out: list[tuple[int, Constraint]] = []
-    left, free_from = list(text), -1
-    for m in sorted((m for p in _RANGES for m in p.finditer(text)), key=lambda m: m.start()):
-        known = unit(m[3])
-        if m.start() < free_from or known is None:
-            continue
-        free_from = m.end()
-        low = number(m[1])
-        out.append((m.start(), Constraint(parameter(text, m.start()), "range", low, number(m[2]), m[3].strip(), round(low * known[1], 6), known[0], _around(text, *m.span()))))
-        left[m.start() : m.end()] = ["#" if c.isdigit() else c for c in left[m.start() : m.end()]]
-    for m in _SINGLE.finditer("".join(left)):
-        if known := unit(m[3]):
-            value = number(m[2])
-            out.append((m.start(), Constraint(parameter(text, m.start(2)), operator(text, m.start(2), m[1]), value, None, m[3].strip(), round(value * known[1], 6), known[0], _around(text, *m.span()))))
-    return [c for _, c in sorted(out, key=lambda pair: pair[0])]
+def last_of(found: Column) -> Column:
+    """Which pattern (from 1 on) ends last, the first such one where several do; 0 for none."""
+    return F.when(F.array_max(found) > 0, F.array_position(found, F.array_max(found)).cast("int")).otherwise(0)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
 def constraint_table(chunks: DataFrame) -> DataFrame:
-    """One row for each constraint of (chunk_id, text), numbered in ``ord``."""
-    session.prepare(chunks.sparkSession)
+    """One row for each constraint of (chunk_id, text), numbered in ``ord`` by where they stand; null and blank texts give none."""
+    found = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").filter(has_constraint(F.col("text")))
+    cut = found.withColumn("cut", pieces(F.col("text")))
+    rows = cut.select("chunk_id", "text", F.posexplode(hits(F.col("cut"))).alias("ord", "hit")).select("chunk_id", "ord", "text", "hit.start", "hit.piece")
+    text, piece, start = F.col("text"), F.col("piece"), F.col("start")
+    form = F.when(piece.rlike(rf"{FLAGS}\A{SPAN_WORDS}\z"), 0).when(piece.rlike(rf"{FLAGS}\A{SPAN_DASH}\z"), 1).otherwise(2)
+    part = lambda pattern, k: F.regexp_extract(piece, rf"{FLAGS}\A{pattern}\z", k)
+    by_form = lambda *columns: F.when(F.col("form") == 0, columns[0]).when(F.col("form") == 1, columns[1]).otherwise(columns[2])
+    rows = rows.withColumn("form", form)
+    rows = rows.withColumns({
+        "low": by_form(part(SPAN_WORDS, 1), part(SPAN_DASH, 1), part(SINGLE, 2)),
+        "high": by_form(part(SPAN_WORDS, 2), part(SPAN_DASH, 2), F.lit(None)),
+        "raw_unit": by_form(*(part(p, 3) for p in (SPAN_WORDS, SPAN_DASH, SINGLE))),
+        "sign": by_form(F.lit(""), F.lit(""), part(SINGLE, 1)),
+        # A range is looked up from its start on, a single number from the number on.
+        "at": start + F.when(F.col("form") == 2, F.length(F.regexp_extract(piece, r"(?U)\A[<>≤≥]?\s*", 0))).otherwise(0),
+    })
+    rows = rows.withColumn("known", F.coalesce(*(F.when(F.col("raw_unit").rlike(rf"{FLAGS}\A(?:{p})\z"), F.lit(k)) for k, (p, _, _) in enumerate(UNITS))))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("known"))
+    # Columns of their own, so that what several expressions read is worked out once.
+    rows = rows.withColumns({"lead": sentence_before(text, F.col("at"), PARAMETER_REACH), "near": sentence_before(text, F.col("at"), OPERATOR_REACH)})
+    # Phrases of one operator are one pattern; operators stand in the order of their first phrases.
+    phrases = {op: "|".join(p for p, o in PHRASES if o == op) for _, op in PHRASES}
+    rows = rows.withColumns({"lead_ends": ends(F.col("lead"), [p for p, _ in PARAMETERS]), "near_ends": ends(F.col("near"), list(phrases.values()))})
+    rows = rows.withColumns({"lead_last": last_of(F.col("lead_ends")), "near_last": last_of(F.col("near_ends"))})
+    free = next((k, p) for k, (p, name) in enumerate(PARAMETERS, 1) if name is None)
+    named = F.get(F.array(F.lit(""), *(F.lit(n) for _, n in PARAMETERS)), F.col("lead_last"))
+    of_name = F.when(F.col("lead_last") == free[0], F.concat(F.lit("содержание "), F.regexp_extract("lead", rf"(?iUs)\A.*(?:{free[1]})", 1))).otherwise(named)
+    signed = F.coalesce(*(F.when(F.col("sign") == sign, F.lit(op)) for sign, op in SIGNS.items()))
+    op = F.when(F.col("form") < 2, "range").when(F.col("sign") != "", signed).otherwise(F.get(F.array(*map(F.lit, ["=", *phrases])), F.col("near_last")))
+    first = F.greatest(start - BEFORE, F.lit(0))
+    return rows.select(
+        "chunk_id", "ord", of_name.alias("param"), op.alias("op"), parse_number(F.col("low")).alias("value"), parse_number(F.col("high")).alias("value_max"),
+        trimmed(F.col("raw_unit")).alias("unit"), F.round(parse_number(F.col("low")) * pick([f for _, _, f in UNITS]), 6).alias("norm_value"), pick([u for _, u, _ in UNITS]).alias("norm_unit"),
+        trimmed(F.substring(text, first + 1, start + F.length(piece) + AFTER - first)).alias("source_text"),
+    )
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["chunk_id", "ord", *Constraint.__dataclass_fields__]
-        for frame in frames:
-            yield pd.DataFrame([(c, n, *asdict(x).values()) for c, t in zip(frame["chunk_id"], frame["text"]) for n, x in enumerate(extract(t))], columns=names)
 
-    return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInPandas(rows, f"chunk_id string, ord int, {CONSTRAINT}")
+def extract(text: str | None) -> list[Constraint]:
+    """Constraints of one text in order of where they stand."""
+    spark = SparkSession.builder.getOrCreate()
+    one = spark.createDataFrame([("", text)], "chunk_id string, text string")
+    names = list(Constraint.__dataclass_fields__)
+    return [Constraint(*(r[c] for c in names)) for r in sorted(constraint_table(one).collect(), key=lambda r: r["ord"])]

@@ -1,4 +1,4 @@
-"""The thesaurus, and the routing of questions to templates: driver-side plan building, no data."""
+"""The thesaurus, and the routing of questions to templates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions.constraints import Constraint, extract
 from lodestone.operators.graph import ENTITY_TYPES
@@ -51,6 +51,10 @@ DOMESTIC = r"отечественн\w*|российск\w*\s+практик|\bр
 YEARS = (r"((?:19|20)\d{2})\s*[–\-—]\s*((?:19|20)\d{2})", r"последн\w*\s+(\d+)\s*(?:лет|год\w*)", r"\bс\s+((?:19|20)\d{2})\b")
 
 
+#: Names of a thesaurus that are sent to all executors at most; a larger one is joined by its key.
+MOST_BROADCAST = 100_000
+
+
 class Thesaurus:
     """Canonical terms with synonyms; look-ups ignore case, and a later record wins a shared name."""
 
@@ -86,7 +90,8 @@ class Thesaurus:
 
     def canonicalised(self, rows: DataFrame, column: str, out: str) -> DataFrame:
         """``rows`` with the canonical name of a column, or the name itself."""
-        known = F.broadcast(self.table(rows.sparkSession).withColumnRenamed("canonical", "__canonical"))
+        known = self.table(rows.sparkSession).withColumnRenamed("canonical", "__canonical")
+        known = F.broadcast(known) if len(self.index) <= MOST_BROADCAST else known
         return rows.join(known, F.lower(F.trim(F.col(column))) == F.col("key"), "left").withColumn(out, F.coalesce("__canonical", column)).drop("key", "__canonical")
 
 
@@ -102,65 +107,68 @@ class Intent:
     numeric: tuple[Constraint, ...] = ()
 
 
-def stem(word: str) -> str:
-    return word[: len(word) - (2 if len(word) > 5 else 1 if len(word) > 3 else 0)]
+def term_pattern(term: str) -> str:
+    """A term in any inflection: every word without its last letters (two of over five, one of four or five)."""
+    return r"\b" + r"\s+".join(re.escape(w[: len(w) - (len(w) > 3) - (len(w) > 5)]) + r"\w*" for w in term.lower().split())
 
 
-def term_pattern(term: str) -> re.Pattern:
-    return re.compile(r"\b" + r"\s+".join(re.escape(stem(w)) + r"\w*" for w in term.strip().lower().split()), re.I)
+def slot_table(thesaurus: Thesaurus) -> list[tuple[str, str, str, str]]:
+    """(template, slot, canonical term, pattern of all its names) in order of preference."""
+    names = lambda canon: [n for n in (canon, *thesaurus.records.get(canon, ("", ()))[1]) if n.strip()]
+    return [(t, slot, canon, "|".join(map(term_pattern, names(canon)))) for t, slots in SLOTS.items() for slot, canons in slots.items() for canon in canons]
 
 
-def years(question: str, today: date) -> tuple[int | None, int | None]:
-    span, last, since = (re.search(p, question, re.I) for p in YEARS)
-    if span:
-        return int(span[1]), int(span[2])
-    if last:
-        return today.year - int(last[1]) + 1, None
-    return (int(since[1]), None) if since else (None, None)
+def routed(questions: DataFrame, column: str = "question", *, thesaurus: Thesaurus | None = None, this_year: int) -> DataFrame:
+    """``questions`` with template, slots (a column each, null where nothing fits), year_from, year_to, geography and compare_geography.
 
-
-def geography(question: str) -> tuple[str | None, bool]:
-    compare, foreign, domestic = (re.search(p, question, re.I) is not None for p in (COMPARE, FOREIGN, DOMESTIC))
-    if compare or foreign and domestic:
-        return None, True
-    return ("foreign" if foreign else "ru" if domestic else None), False
+    Column expressions only: a question is scanned once for each pattern. Null questions go to ``rag_fallback``.
+    """
+    q = F.coalesce(F.col(column), F.lit(""))
+    says = lambda pattern: q.rlike(f"(?iU){pattern}")
+    rows = questions.withColumn("template", F.coalesce(*(F.when(says(p), t) for t, p in TOPICS), F.lit("rag_fallback")))
+    by_slot: dict[str, list[Column]] = {}
+    for template, slot, canon, pattern in slot_table(thesaurus or Thesaurus()):
+        by_slot.setdefault(slot, []).append(F.when((F.col("template") == template) & says(pattern), canon))
+    number = lambda k, group: F.regexp_extract(q, f"(?iU){YEARS[k]}", group).try_cast("int")
+    compare, foreign, domestic = (says(p) for p in (COMPARE, FOREIGN, DOMESTIC))
+    both = compare | (foreign & domestic)
+    return rows.withColumns({slot: F.coalesce(*found) for slot, found in by_slot.items()} | {
+        "year_from": F.coalesce(number(0, 1), this_year + 1 - number(1, 1), number(2, 1)),
+        "year_to": number(0, 2),
+        "geography": F.when(both, None).when(foreign, "foreign").when(domestic, "ru"),
+        "compare_geography": both,
+    })
 
 
 def route(question: str, thesaurus: Thesaurus | None = None, today: date | None = None) -> Intent:
-    """The template that a question's topic names (or rag_fallback), its slots and filters."""
-    thesaurus = thesaurus or Thesaurus()
-    template = next((t for t, p in TOPICS if re.search(p, question, re.I)), "rag_fallback")
-    slots = {}
-    for slot, candidates in SLOTS.get(template, {}).items():
-        for canon in candidates:
-            names = (canon, *thesaurus.records.get(canon, ("", ()))[1])
-            if any(term_pattern(n).search(question.lower()) for n in names if n.strip()):
-                slots[slot] = canon
-                break
-    start, end = years(question, today or date.today())
-    where, compare = geography(question)
-    return Intent(question, template, slots, start, end, where, compare, tuple(extract(question)))
+    """The template that one question's topic names (or rag_fallback), its slots and filters."""
+    one = SparkSession.builder.getOrCreate().createDataFrame([(question,)], "question string")
+    r = routed(one, thesaurus=thesaurus, this_year=(today or date.today()).year).first()
+    slots = {s: r[s] for s in SLOTS.get(r.template, {}) if r[s] is not None}
+    return Intent(question, r.template, slots, r.year_from, r.year_to, r.geography, r.compare_geography, tuple(extract(question)))
+
+
+#: Arguments of the templates: terms of a slot, terms of the first slot that is filled, parameters named by the question or else a default, or a filter.
+ARGUMENTS = {
+    "desalination_methods": {"process_terms": ("slot", "process"), "param_terms": ("named", "минерализация"), "limit": 30},
+    "catholyte_circulation": {"material_terms": ("slot", "material"), "param_terms": ("named", "скорость потока"), "limit": 30},
+    "experiments_publications_by_topic": {"material_terms": ("slot", "material"), "year": ("filter", "year_from"), "limit": 30},
+    "mine_water_injection": {"process_terms": ("slot", "process"), "material_terms": ("slot", "material"), "param_terms": ("named", None), "limit": 30},
+    "compare_ru_foreign": {"terms": ("any", "topic process material"), "limit": 50},
+    "gap_matrix": {"material_terms": ("slot", "material"), "process_terms": ("slot", "process"), "limit": 30},
+}
 
 
 def parameters(intent: Intent, thesaurus: Thesaurus) -> dict:
     """Arguments of the intent's template."""
-    def slot(name: str) -> list[str]:
-        chosen = intent.slots.get(name, "")
-        return thesaurus.expand(chosen) if chosen.strip() else thesaurus.expand_all(SLOTS.get(intent.template, {}).get(name, ()))
-
-    names = sorted({c.param.strip().lower() for c in intent.numeric if c.param.strip()})
-    match intent.template:
-        case "desalination_methods":
-            return {"process_terms": slot("process"), "param_terms": names or thesaurus.expand("минерализация"), "limit": 30}
-        case "catholyte_circulation":
-            return {"material_terms": slot("material"), "param_terms": names or thesaurus.expand("скорость потока"), "limit": 30}
-        case "experiments_publications_by_topic":
-            return {"material_terms": slot("material"), "year": intent.year_from, "limit": 30}
-        case "mine_water_injection":
-            return {"process_terms": slot("process"), "material_terms": slot("material"), "param_terms": names, "limit": 30}
-        case "compare_ru_foreign":
-            topic = intent.slots.get("topic") or intent.slots.get("process") or intent.slots.get("material") or ""
-            return {"terms": thesaurus.expand(topic), "limit": 50}
-        case "gap_matrix":
-            return {"material_terms": slot("material"), "process_terms": slot("process"), "limit": 30}
-    raise ValueError(f"SEARCH-008: no template {intent.template!r}")
+    if intent.template not in ARGUMENTS:
+        raise ValueError(f"SEARCH-008: no template {intent.template!r}")
+    filled = {k: v for k, v in intent.slots.items() if v.strip()}
+    named = sorted({c.param.strip().lower() for c in intent.numeric} - {""})
+    read = {
+        "slot": lambda k: thesaurus.expand_all([filled[k]] if k in filled else SLOTS.get(intent.template, {}).get(k, ())),
+        "named": lambda default: named or (thesaurus.expand(default) if default else []),
+        "any": lambda keys: thesaurus.expand(next((filled[k] for k in keys.split() if k in filled), "")),
+        "filter": lambda field: getattr(intent, field),
+    }
+    return {name: read[how[0]](how[1]) if isinstance(how, tuple) else how for name, how in ARGUMENTS[intent.template].items()}

@@ -134,10 +134,11 @@ def test_chunks_cover_sentences_and_overlap(spark):
     assert {r.doc_id for r in rows} == {"d"} and rows[0].chunk_id == "d#0"
 
 
-def test_boilerplate():
-    pages = [f"Journal 2020\nbody {i}\n{i}" for i in range(6)]
-    assert chunking.without_boilerplate(pages) == "\n".join(f"body {i}" for i in range(6))
-    assert chunking.without_boilerplate(["a\nb", "c\nd", "e\nf"]) == "a\nb\nc\nd\ne\nf"
+def test_boilerplate(spark):
+    docs = {"a": [f"Journal 2020\nbody {i}\n{i}" for i in range(6)], "b": ["a\nb", "c\nd", "e\nf"], "c": ["Head\nx"] * 2, "d": ["Head 1\nx\n\n", None, " HEAD  22\ny", "head 3"]}
+    rows = [(d, n, t) for d, pages in docs.items() for n, t in enumerate(pages)]
+    got = {r.doc_id: r.text for r in chunking.without_boilerplate(spark.createDataFrame(rows, "doc_id string, page int, text string")).collect()}
+    assert got == {"a": "\n".join(f"body {i}" for i in range(6)), "b": "a\nb\nc\nd\ne\nf", "c": "Head\nx\nHead\nx", "d": "x\n\ny\n"}
 
 
 def test_cosine_edges(spark):
