@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -10,12 +12,21 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 def test_counts_equal_the_library(spark):
     library = Tokenizer.from_file(BPE)
-    got = {r.doc_id: r for r in token_count.count_tokens(frame(spark), BPE, batch_bytes=500, table_limit=200).collect()}
+    got = {r.doc_id: r for r in token_count.count_tokens(frame(spark), BPE, batch_bytes=500, table_bytes=20_000).collect()}
     for i, text in enumerate(texts()):
         tokens = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), tokens, tokens > 1024)
 
 
+def test_long_texts_without_blanks(spark):
+    library, rng = Tokenizer.from_file(BPE), random.Random(2)
+    pools = ("abcXYZ0189", "ab'st1.,;!-_", "don't12''ll", "aé1²٣'x!", "a1 '", "<|endoftext|>ab1")
+    docs = [(i, "".join(rng.choice(pools[i % len(pools)]) for _ in range(rng.randint(250, 9000)))) for i in range(60)]
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(frame(spark, docs), BPE).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in docs}
+    assert max(map(len, token_count.parts("abc123,.x" * 1000))) <= 4
+
+
 def test_codec_equals_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = {r.doc_id: r for r in piece_codec.coded(frame(spark), PIECES, batch_bytes=500, table_limit=200).collect()}
