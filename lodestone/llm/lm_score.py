@@ -1,12 +1,15 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
 Words are folded into classes: the most frequent ones over all documents keep their own,
-the rest share a few by hash. The network sums embeddings of the ``window`` classes on
-either side (one weight vector per distance), and a softmax over all classes scores the
-class in the middle. Training covers every position: each partition of the corpus makes
-gradient steps in numpy on its own words (every ``stride``-th position in a round, the
-next ones in the next round) from the weights of the last round, and the partitions' weights
-are averaged by their number of words, first in groups on the executors, then on the driver.
+the rest share a few by hash. The network adds up a vector for each of the ``window`` classes
+on either side (a table of vectors per distance), and a softmax over all classes scores the
+class in the middle. It begins as the best such network of low rank for the counts of class
+pairs at each distance, and as the counts of single classes in its bias. Training then
+covers every position once: the words are written as segments of classes, each belongs to
+one of ``rounds`` by a hash of its content, and a round's gradient is summed over all
+positions of its segments on the executors and makes one step. Counts and gradients are sums
+over the corpus, so the result doesn't depend on how it is partitioned.
+
 A word's probability is that of its class given both sides, times its share of the class by
 the counts of all words, so the vocabulary is every word there is. Of the counts the most
 frequent ones are broadcast; the others reach the words of a document by a join. A
@@ -15,6 +18,8 @@ document's score is the sum over all its positions of log p(word | both sides).
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,14 +82,36 @@ class WindowNetwork:
     def __init__(self, classes: int, width: int, window: int, seed: int):
         rng = np.random.default_rng(seed)
         self.window = window
-        self.embed = (rng.standard_normal((classes, width)) * 0.1).astype(np.float32)
-        self.near = np.full((2 * window, width), 0.5, np.float32)
+        self.near = (rng.standard_normal((2 * window, classes, width)) * 0.1).astype(np.float32)
         self.out = (rng.standard_normal((classes, width)) * 0.1).astype(np.float32)
         self.bias = np.zeros(classes, np.float32)
 
+    @classmethod
+    def of_counts(cls, sizes: np.ndarray, pairs: np.ndarray, width: int, smooth: float = 30.0, share: float = 0.5) -> WindowNetwork:
+        """From how often each class stands alone, and before another at each distance (window x classes x classes).
+
+        How much more often than by chance two classes meet, in logarithms, is factorised; the
+        distances tell the same thing in part, so each gets a ``share``.
+        """
+        classes, window = len(sizes), len(pairs)
+        net = cls(classes, min(width, classes), window, 0)
+        chance = (sizes + 0.5) / (sizes + 0.5).sum()
+        # Contexts in the order of ``context``: far to near on the left, near to far on the right.
+        given = np.concatenate([*pairs[::-1], *pairs.transpose(0, 2, 1)]).astype(float)
+        more = np.log((given + smooth * chance) / ((given.sum(axis=1, keepdims=True) + smooth) * chance))
+        more[:, 0] = 0  # an edge is never a target
+        weight = np.sqrt(given.sum(axis=1) + 1)[:, None]
+        left, power, right = np.linalg.svd(more * weight, full_matrices=False)
+        left, power, right = left[:, : net.out.shape[1]], np.sqrt(power[: net.out.shape[1]]), right[: net.out.shape[1]]
+        scale = np.sqrt(weight.mean())
+        net.near[...] = (share * left * power / weight * scale).reshape(net.near.shape)
+        net.out[...] = (right.T * power) / scale
+        net.bias[...] = np.log(chance)
+        return net
+
     @property
     def weights(self) -> list[np.ndarray]:
-        return [self.embed, self.near, self.out, self.bias]
+        return [self.near, self.out, self.bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights])
@@ -101,35 +128,33 @@ class WindowNetwork:
         k = self.window
         return np.stack([classes[at + d] for d in (*range(-k, 0), *range(1, k + 1))], axis=1)
 
-    def log_p(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.zeros((len(around), self.embed.shape[1]), np.float32)
+    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hidden = np.zeros((len(around), self.out.shape[1]), np.float32)
         for d in range(around.shape[1]):
-            hidden += self.embed[around[:, d]] * self.near[d]
+            hidden += self.near[d][around[:, d]]
         logits = hidden @ self.out.T + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         return hidden, logits
 
     def score(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, logits = self.log_p(around)
+        _, logits = self.logits(around)
         picked = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
         return picked - np.log(logits.sum(axis=1))
 
-    def step(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-        hidden, logits = self.log_p(around)
+    def gradient(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+        """Of the summed log-probability, by all weights."""
+        hidden, logits = self.logits(around)
         p = np.exp(logits, out=logits)
-        p *= 1 / (p.sum(axis=1, keepdims=True) * len(target))
-        p[np.arange(len(target)), target] -= np.float32(1 / len(target))
-        back = p @ self.out
-        near = np.einsum("idk,ik->dk", self.embed[around], back)
-        self.out -= rate * (p.T @ hidden)
-        self.bias -= rate * p.sum(axis=0)
-        grad = (self.near * back[:, None, :]).reshape(-1, back.shape[1])
-        order = np.argsort(around, axis=None, kind="stable")
-        held = around.ravel()[order]
-        first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-        self.embed[held[first]] -= rate * np.add.reduceat(grad[order], first, axis=0)
-        self.near -= rate * near
+        p *= -1 / p.sum(axis=1, keepdims=True)
+        p[np.arange(len(target)), target] += 1
+        back, near = p @ self.out, np.zeros_like(self.near)
+        for d in range(around.shape[1]):
+            order = np.argsort(around[:, d], kind="stable")
+            held = around[order, d]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            near[d][held[first]] = np.add.reduceat(back[order], first, axis=0)
+        return [near, p.T @ hidden, p.sum(axis=0)]
 
 
 def laid_out(classes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,46 +166,108 @@ def laid_out(classes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.nda
     return out, at
 
 
-def targets(ids: list[int | None], offsets: np.ndarray, turn: int, stride: int) -> np.ndarray:
-    """Which words are targets in a round: ``stride`` rounds in a row take each word once."""
-    sizes = np.diff(offsets)
-    phase = np.array([(i or 0) % stride * 7 + turn for i in ids], np.int64)
-    return (np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + np.repeat(phase, sizes)) % stride == 0
+def segments(rows: DataFrame, classes: Classes, window: int, rounds: int, longest: int = 8192) -> DataFrame:
+    """(turn, c): classes of up to ``longest`` positions in a row with ``window`` neighbours on both sides, and the round in which they train."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, 1 << 20):
+            words, offsets = hashes(part.column("text").to_pylist())
+            text, at = laid_out(classes.of(words), offsets, window)
+            text, turns, out = text.astype("<u2"), [], []
+            for a, b in zip(offsets, offsets[1:]):
+                for k in range(int(a), int(b), longest):
+                    first, last = at[k], at[min(k + longest, int(b)) - 1]
+                    out.append(text[first - window : last + window + 1].tobytes())
+                    turns.append(zlib.crc32(out[-1]) % rounds)
+            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), pa.array(out, pa.binary())], ["turn", "c"])
+
+    return rows.mapInArrow(cut, "turn int, c binary")
 
 
-def train(rows: DataFrame, classes: Classes, *, width: int = 16, window: int = 2, rounds: int = 2, stride: int = 2, batch: int = 256, rate: float = 2.0, groups: int = 64, seed: int = 3) -> WindowNetwork:
-    if rounds < stride:
-        raise ValueError("fewer rounds than phases leave positions that are never a target")
+def unpacked(batches: Iterator[pa.RecordBatch], window: int, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Segments laid one behind the other, and where their targets stand."""
+    for part in by_bytes(batches, limit, "c"):
+        held = [np.frombuffer(c, "<u2") for c in part.column("c").to_pylist()]
+        ends = np.cumsum([len(c) for c in held])
+        inside = np.ones(ends[-1], bool)
+        for e, c in zip(ends, held):
+            inside[e - len(c) : e - len(c) + window] = inside[e - window : e] = False
+        yield np.concatenate(held).astype(np.int64), np.flatnonzero(inside)
+
+
+def pair_counts(table: DataFrame, classes: int, window: int) -> np.ndarray:
+    """How often each class stands ``d`` places before another (window x classes x classes), edges included; sums over all segments."""
+    square = classes * classes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(window * square, np.int64)
+        for text, at in unpacked(batches, window):
+            for d in range(1, window + 1):
+                # A pair counts with its later word; where that is an edge, with its earlier one.
+                edge = at[text[at + d] == 0]
+                key = np.r_[text[at - d] * classes + text[at], text[edge] * classes]
+                total[(d - 1) * square : d * square] += np.bincount(key, minlength=square)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], ["k", "n"])
+
+    found = table.select("c").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(window * square, np.int64)
+    out[found["k"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out.reshape(window, classes, classes)
+
+
+def summed(parts: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The sum of rows (n, w: doubles as bytes): first in groups of about the root of their number, then on the driver, row by row."""
+    groups = math.isqrt(max(1, parts.rdd.getNumPartitions())) + 1
+
+    def add(held: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for w in held.column("w").to_pylist():
+            total += np.frombuffer(w, "<f8")
+        return pa.table({"n": pa.array([sum(held.column("n").to_pylist())]), "w": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+    n, total = 0, np.zeros(size)
+    grouped = parts.groupBy((F.col("part") % groups).alias("g")).applyInArrow(add, "n long, w binary")
+    for row in grouped.toLocalIterator():
+        n, total = n + row.n, total + np.frombuffer(row.w, "<f8")
+    return n, total
+
+
+def train(rows: DataFrame, classes: Classes, sizes: np.ndarray, *, width: int = 16, window: int = 2, rounds: int = 6, batch: int = 1024, rate: float = 0.05) -> WindowNetwork:
+    """The network for a corpus; ``sizes``: how often each class occurs. Every position is a target once."""
     spark = rows.sparkSession
-    network = WindowNetwork(classes.n, width, window, seed)
+    path = session.scratch_path(spark, "segments")
+    segments(rows, classes, window, rounds).write.partitionBy("turn").parquet(path)
+    table = spark.read.schema("c binary, turn int").parquet(path)
+    network = WindowNetwork.of_counts(sizes, pair_counts(table, classes.n, window), width)
+    flat = network.flat().astype(float)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast((network.flat(), classes))
+        start = spark.sparkContext.broadcast(network)
 
-        def learn(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            flat, known = start.value
-            own, seen = WindowNetwork(known.n, width, window, seed).load(flat), 0
-            for part in by_bytes(batches, 1 << 20):
-                words, offsets = hashes(part.column("text").to_pylist())
-                text, at = laid_out(known.of(words), offsets, window)
-                mine = at[targets(part.column("doc_id").to_pylist(), offsets, turn, stride)]
-                seen += len(words)
-                for k in range(0, len(mine), batch):
-                    some = mine[k : k + batch]
-                    own.step(own.context(text, some), text[some], rate)
+            net, total, seen = start.value, None, 0
+            for text, at in unpacked(batches, window):
+                for k in range(0, len(at), batch):
+                    some = at[k : k + batch]
+                    found = net.gradient(net.context(text, some), text[some])
+                    total = found if total is None else [t + f for t, f in zip(total, (x.astype(float) for x in found))]
+                seen += len(at)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], ["g", "n", "w"])
-
-        def average(held: pa.Table) -> pa.Table:
-            n = held.column("n").to_numpy().astype(float)
-            total = sum(k * np.frombuffer(w, "<f4").astype(float) for k, w in zip(n, held.column("w").to_pylist()))
-            return pa.table({"g": held.column("g")[:1], "n": pa.array([int(n.sum())]), "w": pa.array([(total / n.sum()).astype("<f8").tobytes()], pa.binary())})
-
-        found = rows.mapInArrow(learn, "g int, n long, w binary").groupBy("g").applyInArrow(average, "g int, n long, w binary").toPandas()
-        if len(found):
-            n = found.n.to_numpy(float)
-            network.load((sum(k * np.frombuffer(w, "<f8") for k, w in zip(n, found.w)) / n.sum()).astype(np.float32))
+                flat = np.concatenate([t.ravel() for t in total]).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
+
+        mine = table.filter(F.col("turn") == turn).select("c")
+        n, total = summed(mine.mapInArrow(learn, "part int, n long, w binary"), len(flat))
+        start.unpersist()
+        if n:
+            step = total / n
+            first, second = 0.6 * first + 0.4 * step, 0.8 * second + 0.2 * step**2
+            flat += rate * (first / (1 - 0.6 ** (turn + 1))) / (np.sqrt(second / (1 - 0.8 ** (turn + 1))) + 1e-4)
+            network.load(flat)
+    session.drop_path(spark, path)
     return network
 
 
@@ -206,16 +293,17 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
     Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows and
     null ids are scored like others; an empty table gives an empty result; other columns are
     ignored. ``near_counts`` changes how counts reach the documents, not the result. The driver
-    gets that many words' counts and ``groups`` averages.
+    gets that many words' counts, the counts of class pairs, and a few sums of gradients at a time.
     """
     rows = id_text(docs, id_col, text_col)
     counts = session.stored(word_counts(rows), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(max(1, frequent, near_counts)).toPandas()
     top_h, top_n = top["h"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
     classes = Classes(top_h[:frequent], shared)
-    network = train(rows, classes, **training)
+    sizes = class_sizes(counts, classes)
+    network = train(rows, classes, sizes, **training)
     by = np.argsort(top_h)
-    log_size = np.log(np.maximum(class_sizes(counts, classes), 1))
+    log_size = np.log(np.maximum(sizes, 1))
     given = docs.sparkSession.sparkContext.broadcast((network, classes, log_size, top_h[by], np.log(top_n[by])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
