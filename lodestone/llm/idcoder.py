@@ -1,16 +1,18 @@
-"""Adaptive context-mixing arithmetic coder for token ids below 65,536.
-
-A stream is cut into blocks of ``block`` ids. Each block starts from a fresh model, has a
-checksum and can be decoded alone. Blocks advance side by side: one step codes one id in
-every block, as array operations over all of them.
-
-An id is coded as follows. Order 2 (the last two ids) and order 1 (the last id) each
-remember which id came last after their context, and how often that held. The bit "the id
-is the predicted one" has a probability from order 2, one from order 1 and one of order 0
-(how often predictions held so far), mixed by weights that move towards whichever said
-best. If it isn't, the id's magnitude goes through a binary tree whose bits mix the
-order-0 and order-1 (magnitude of the last id) statistics; the rest of its bits follow.
-All arithmetic is on integers, so that every machine decodes alike.
+"""Adaptive context-mixing range coder for token ids.
+
+A stream begins with a table over all its ids: the distinct ones with their frequencies
+(order 0), and for ids that mostly go on alike the id that follows most and how often it
+does (order 1). The rest is cut into blocks of ``block`` ids. Each block starts from
+that table and fresh adaptive states, has a checksum and can be decoded alone. Blocks
+advance side by side: one step codes one id in every block, as array operations over all.
+
+An id's probability mixes three predictions: what came last after the same two ids in this
+block (order 2), the table's successor of the last id (order 1), and the table's
+frequencies (order 0). The weights of the first two adapt after every id; they are kept
+by how often the order-2 guess has held, how sure the successor is, and whether both
+name the same id. The range coder (64 bits, carries into words already out, 32 bits at
+a time) takes the choice among the three, then the id by its frequency where order 0 is
+chosen. All arithmetic is on integers, so that every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -22,245 +24,283 @@ import numpy as np
 
 U = np.uint64
 SLOTS = 2048
-TOP = U(1 << 48)
-LEAST = U(1 << 34)
-HEAD = struct.Struct("<4sIIQ")
-MAGIC = b"IDC1"
-
-
-class Model:
-    """The statistics of ``lanes`` blocks that advance side by side."""
-
-    def __init__(self, lanes: int):
-        each = self.each = np.arange(lanes)
-        self.base = [each * SLOTS, each * SLOTS]
-        self.guess = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        # Chances (of 65,536) that a prediction holds: by order 2's state, order 1's state, and over all.
-        self.hit = [np.tile(np.array([200, 12000, 30000, 50000] * 2, np.int64), lanes), np.tile(np.array([200, 12000, 30000, 50000] * 2, np.int64), lanes), np.full(lanes, 8000, np.int64)]
-        self.weight = np.tile(np.array([[96], [96], [64]], np.int64), (1, lanes))
-        self.tree0 = np.full(lanes * 32, 32768, np.int64)
-        self.tree1 = np.full(lanes * 32 * 17, 32768, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.size = np.zeros(lanes, np.int64)
-
-    def predict(self):
-        """The predicted id of each block and the chance that it holds."""
-        at1 = self.base[1] + ((self.last * 40503 >> 4) & (SLOTS - 1))
-        at2 = self.base[0] + (((self.last * 40503 + self.before * 52711) >> 3) & (SLOTS - 1))
-        self.at = (at2, at1)
-        g2, g1, t2, t1 = self.guess[0][at2], self.guess[1][at1], self.trust[0][at2], self.trust[1][at1]
-        self.g, self.t = (g2, g1), (t2, t1)
-        agree = (g1 == g2) * 4
-        self.s = (self.each * 8 + t2 + agree, self.each * 8 + t1 + agree)
-        self.say = np.stack([self.hit[0][self.s[0]], self.hit[1][self.s[1]], self.hit[2]])
-        chance = np.clip((self.say * self.weight).sum(axis=0) >> 8, 64, 65472)
-        return np.where(t2 >= t1, g2, g1), chance
-
-    def learn_hit(self, held: np.ndarray) -> None:
-        target = held * 65535
-        for k in (0, 1):
-            self.hit[k][self.s[k]] += (target - self.say[k]) >> 5
-        self.hit[2] += (target - self.hit[2]) >> 6
-        right = np.where(held, self.say, 65536 - self.say)
-        best, worst = right.argmax(axis=0), right.argmin(axis=0)
-        move = (self.weight[worst, self.each] > 8) & (best != worst)
-        self.weight[best, self.each] += move
-        self.weight[worst, self.each] -= move
-
-    def learn_id(self, ids: np.ndarray, size: np.ndarray) -> None:
-        for k in (0, 1):
-            same = self.g[k] == ids
-            self.trust[k][self.at[k]] = np.where(same, np.minimum(self.t[k] + 1, 3), self.t[k] >> 1)
-            self.guess[k][self.at[k]] = np.where(same | (self.t[k] > 1), self.g[k], ids)
-        self.before, self.last, self.size = self.last, ids.astype(np.int64), size
-
-
-def bit_sizes() -> np.ndarray:
-    """Bits of every id."""
-    out = np.zeros(1 << 16, np.int64)
-    for k in range(16):
-        out[1 << k :] += 1
+#: Bits of the mixing weights and least bits of the frequencies.
+MIX, FREQ = 16, 20
+LOW = U(1 << 32)
+HEAD = struct.Struct("<4sIIQII")
+MAGIC = b"IDC2"
+#: Upper ends of the classes by which successors are told apart, and what each class begins with.
+SURE = np.array([0.05, 0.1, 0.2, 0.4, 0.7, 0.9])
+BEGIN = np.array([0, 4500, 9200, 18400, 36000, 52000, 62000], np.int64)
+LEAST_SEEN = 6
+
+
+class Table:
+    """Distinct ids with frequencies that sum to ``1 << bits``, and successors (-1: none) with their classes."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, successor: np.ndarray, sure: np.ndarray):
+        self.ids, self.counts, self.successor, self.sure = ids, counts, successor, sure
+        self.bits = bits_for(len(ids))
+        self.freq = scaled(counts, self.bits)
+        self.start = np.r_[0, np.cumsum(self.freq)[:-1]].astype(np.int64) if len(ids) else np.empty(0, np.int64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of a stream, and the stream as places in it."""
+        if not len(ids):
+            none = np.empty(0, np.int64)
+            return cls(none, none, none, none), none.astype(np.int32)
+        if int(ids.max()) < 1 << 22:
+            count = np.bincount(ids)
+            distinct = np.flatnonzero(count)
+            place = np.zeros(len(count), np.int32)
+            place[distinct] = np.arange(len(distinct))
+            rank, counts = place[ids], count[distinct]
+        else:
+            distinct, rank, counts = np.unique(ids, return_inverse=True, return_counts=True)
+            rank = rank.astype(np.int32)
+        n = len(distinct)
+        wide = np.uint32 if n < 1 << 16 else np.uint64
+        pairs = rank[:-1].astype(wide)
+        pairs *= wide(n)
+        pairs += rank[1:].astype(wide)
+        pairs.sort()
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
+        times, pair = np.diff(np.r_[first, len(pairs)]), pairs[first].astype(np.int64)
+        del pairs
+        successor, sure = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        if len(pair):
+            context = pair // n
+            group = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            best = np.maximum.reduceat(times << 32 | np.arange(len(times)), group)
+            seen = np.add.reduceat(times, group)
+            kind = np.searchsorted(SURE, (best >> 32) / seen, side="right")
+            good = (kind > 0) & (seen >= LEAST_SEEN)
+            of = context[group][good]
+            successor[of], sure[of] = (pair % n)[best[good] & 0xFFFFFFFF], kind[good]
+        return cls(distinct, np.minimum(counts, (1 << 32) - 1), successor, sure), rank
+
+    def packed(self) -> bytes:
+        """The table as columns: steps between ids, frequencies, and for each id with a successor its class and successor."""
+        steps = np.diff(self.ids, prepend=0)
+        named = self.sure > 0
+        columns = (shortest(steps), shortest(self.counts), self.sure.astype(np.uint8).tobytes(), shortest(self.successor[named]))
+        return zlib.compress(struct.pack("<I", len(self.ids)) + b"".join(columns), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Table:
+        raw = zlib.decompress(data)
+        (n,), at = struct.unpack_from("<I", raw), 4
+        steps, at = longest(raw, at, n)
+        counts, at = longest(raw, at, n)
+        sure = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+        named, _ = longest(raw, at + n, int((sure > 0).sum()))
+        successor = np.full(n, -1, np.int64)
+        successor[sure > 0] = named
+        return cls(np.cumsum(steps), counts, successor, sure)
+
+
+def bits_for(distinct: int) -> int:
+    return max(FREQ, min(28, distinct.bit_length() + 3))
+
+
+def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
+    """Frequencies that sum to ``1 << bits``, in proportion to counts and 1 at least."""
+    if not len(counts):
+        return np.empty(0, np.int64)
+    room, total = (1 << bits) - len(counts), int(counts.sum())
+    out = 1 + (counts.astype(float) * (room / total)).astype(np.int64)
+    out[int(counts.argmax())] += (1 << bits) - int(out.sum())
     return out
 
 
-SIZES = bit_sizes()
-
-
-class Coder:
-    """An interval [low, high] of 64 bits for each block; settled leading words go out or come in by 16 bits."""
-
-    def __init__(self, lanes: int):
-        self.low, self.high = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
-
-    def middle(self, chance: np.ndarray) -> np.ndarray:
-        return self.low + ((self.high - self.low) >> U(16)) * chance.astype(U)
-
-    def narrow(self, bit: np.ndarray, middle: np.ndarray, active: np.ndarray | None) -> None:
-        up = bit if active is None else bit & active
-        down = ~bit if active is None else ~bit & active
-        np.copyto(self.high, middle, where=up)
-        np.copyto(self.low, middle + U(1), where=down)
-
-    def settle(self) -> None:
-        while True:
-            # A narrow interval astride a word's edge is cut down to its larger side.
-            astride = np.flatnonzero((self.high - self.low < LEAST) & ((self.low ^ self.high) >= TOP))
-            if len(astride):
-                low, high = self.low[astride], self.high[astride]
-                edge = high & ~(TOP - U(1))
-                lower = edge - low > high - edge
-                self.high[astride] = np.where(lower, edge - U(1), high)
-                self.low[astride] = np.where(lower, low, edge)
-            rows = np.flatnonzero((self.low ^ self.high) < TOP)
-            if not len(rows):
-                return
-            self.shift(rows)
-            self.low[rows] <<= U(16)
-            self.high[rows] = self.high[rows] << U(16) | U(0xFFFF)
-
-
-class Encoder(Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.words, self.count = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(self, rows: np.ndarray) -> None:
-        if int(self.count[rows].max()) >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[rows, self.count[rows]] = (self.low[rows] >> U(48)).astype(np.uint16)
-        self.count[rows] += 1
-
-    def finish(self) -> list[bytes]:
-        """One word more names a point inside every interval: its own low end's word plus one, or the low end."""
-        out = []
-        for k, n in enumerate(self.count):
-            low = int(self.low[k])
-            tail = [(low >> s) & 0xFFFF for s in (48, 32, 16, 0)]
-            out.append(self.words[k, :n].astype("<u2").tobytes() + np.array(tail, "<u2").tobytes())
-        return out
-
-    def bit(self, bit, chance, active=None):
-        self.narrow(bit, self.middle(chance), active)
-        return bit
-
-    def rest(self, value, bits):
-        part = (self.high - self.low) >> bits.astype(U)
-        self.low = self.low + part * value.astype(U)
-        self.high = np.where(bits > 0, self.low + part - U(1), self.high)
-        return value
-
-
-class Decoder(Coder):
-    def __init__(self, data: list[bytes]):
-        super().__init__(len(data))
-        room = max(len(d) for d in data) // 2 + 8
-        self.words, self.count = np.zeros((len(data), room), np.uint64), np.full(len(data), 4, np.int64)
-        for k, d in enumerate(data):
-            words = np.frombuffer(d, "<u2")
-            self.words[k, : len(words)] = words
-        self.code = self.words[:, 0] << U(48) | self.words[:, 1] << U(32) | self.words[:, 2] << U(16) | self.words[:, 3]
-
-    def shift(self, rows: np.ndarray) -> None:
-        at = np.minimum(self.count[rows], self.words.shape[1] - 1)
-        self.code[rows] = self.code[rows] << U(16) | self.words[rows, at]
-        self.count[rows] += 1
-
-    def bit(self, _, chance, active=None):
-        middle = self.middle(chance)
-        bit = self.code <= middle
-        self.narrow(bit, middle, active)
-        return bit
-
-    def rest(self, _, bits):
-        part = (self.high - self.low) >> bits.astype(U)
-        value = np.where(bits > 0, np.minimum((self.code - self.low) // part, (U(1) << bits.astype(U)) - U(1)), U(0))
-        self.low = self.low + part * value
-        self.high = np.where(bits > 0, self.low + part - U(1), self.high)
-        return value.astype(np.int64)
-
-
-def run(coder: Coder, lanes: int, ids: np.ndarray | None, block: int) -> np.ndarray:
-    """Code (or, without ``ids``, decode) ``block`` ids of every lane."""
-    model = Model(lanes)
-    out = np.zeros((block, lanes), np.int64)
-    tree0, tree1, each = model.tree0, model.tree1, model.each
-    none = np.zeros(lanes, np.int64)
-    for step in range(block):
-        now = ids[step] if ids is not None else none
-        guess, chance = model.predict()
-        held = coder.bit(now == guess, chance)
-        missed = ~held
-        size = SIZES[now]
-        # The tree's four lower bits of the magnitude (16 stands as 0: its own id range 32,768 on).
-        node, at1 = np.ones(lanes, np.int64), (each * 17 + model.size) * 32
-        for shift in (3, 2, 1, 0):
-            p0, p1 = each * 32 + node, at1 + node
-            a, b = tree0[p0], tree1[p1]
-            bit = coder.bit((size >> shift & 1).astype(bool), np.clip((a + b) >> 1, 1024, 64512), missed)
-            move = bit * 65535
-            tree0[p0] = np.where(missed, a + ((move - a) >> 5), a)
-            tree1[p1] = np.where(missed, b + ((move - b) >> 4), b)
-            node = node * 2 + bit
-        size = node & 15
-        coder.settle()
-        whole = size + (size == 0) * 16  # 0 and 16 share a leaf
-        bits = np.where(missed, np.where(size == 0, 15, np.maximum(whole - 1, 0)), 0)
-        if ids is not None:
-            value = np.where(missed, now - np.where(size == 0, 0, 1 << (whole - 1)), 0)
-            big = (size == 0) & (now >= 32768)
-        else:
-            value = big = None
-        zero = missed & (size == 0)
-        if zero.any():
-            big = coder.bit(big if big is not None else zero, np.full(lanes, 65000), zero) & zero
-            if value is not None:
-                value = np.where(big, now - 32768, value)
-        else:
-            big = zero
-        value = coder.rest(value, bits)
-        coder.settle()
-        base = np.where(size == 0, big * 32768, 1 << np.maximum(whole - 1, 0))
-        now = np.where(missed, base + value, guess)
+def shortest(values: np.ndarray) -> bytes:
+    """Bytes of values in planes, most significant last: low planes press badly, high ones are nearly all zero."""
+    return b"".join((values >> shift & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24))
+
+
+def longest(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24, at + 4 * n
+
+
+class Mixer:
+    """Adaptive states of ``lanes`` blocks that advance side by side."""
+
+    def __init__(self, table: Table, lanes: int):
+        self.table, self.slot, self.state = table, np.arange(lanes) * SLOTS, np.arange(lanes) * 64
+        self.guess, self.trust = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int8)
+        # By trust of order 2 (4), class of order 1 (8) and agreement (2): chance that the order-2 guess holds, and that else the order-1 guess does.
+        two = np.repeat(np.array([0, 9000, 30000, 50000], np.int64), 8)
+        one = np.tile(np.r_[BEGIN, 0], 4)
+        self.two, self.one = np.tile(np.r_[two, np.minimum(two + 6000, 60000)], lanes), np.tile(np.r_[one, np.zeros(32, np.int64)], lanes)
+        # Before the first id there is no context: one place more in the successors.
+        self.successor, self.sure = np.r_[table.successor, -1], np.r_[table.sure, 0]
+        self.last = self.before = np.full(lanes, len(table.ids), np.int64)
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shares (of 65,536) of the order-2 and the order-1 guess; the rest is order 0's."""
+        self.at = self.slot + ((self.last * 40503 + self.before * 52711 >> 3) & (SLOTS - 1))
+        self.g2, self.t2 = self.guess[self.at], self.trust[self.at]
+        self.g1 = self.successor[self.last]
+        agree = self.g1 == self.g2
+        self.here = self.state + (self.t2 * 8 + self.sure[self.last] + 32 * (agree & (self.t2 > 0)))
+        self.p2, self.p1 = self.two[self.here], self.one[self.here]
+        a = np.where(self.t2 > 0, np.clip(self.p2, 64, 63000), 0)
+        b = (65400 - a) * self.p1 >> 16
+        return a, b
+
+    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
+        """``choice``: 0 where the order-2 guess was coded, 1 order 1, 2 order 0."""
+        held = choice == 0
+        self.two[self.here] = self.p2 + (((held << MIX) - self.p2) >> 5)
+        self.one[self.here] = np.where(held | (self.p1 == 0), self.p1, np.maximum(self.p1 + (((choice == 1) << MIX) - self.p1 >> 6), 1))
+        self.trust[self.at] = np.where(held, np.minimum(self.t2 + 1, 3), np.where(self.t2 > 1, self.t2 - 1, 1))
+        self.guess[self.at] = np.where(held | (self.t2 > 1), self.g2, ids)
+        self.before, self.last = self.last, ids
+
+
+def encoded_blocks(table: Table, ranks: np.ndarray) -> list[bytes]:
+    """The blocks (columns of ``ranks``) as bytes."""
+    steps, lanes = ranks.shape
+    mixer, room, bits = Mixer(table, lanes), steps // 2 + 64, U(table.bits)
+    low, wide = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
+    words, count, row = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
+    start0, freq0 = table.start.astype(U), table.freq.astype(U)
+
+    def carry(rows: np.ndarray) -> None:
+        at = count[rows] - 1
+        while len(rows):
+            words[rows, at] += np.uint32(1)
+            more = words[rows, at] == 0
+            rows, at = rows[more], at[more] - 1
+
+    def out() -> None:
+        nonlocal words
+        rows = np.flatnonzero(wide < LOW)
+        if len(rows):
+            if int(count[rows].max()) + 2 >= words.shape[1]:
+                words = np.concatenate([words, np.zeros_like(words)], axis=1)
+            words[rows, count[rows]] = (low[rows] >> U(32)).astype(np.uint32)
+            count[rows] += 1
+            low[rows] <<= U(32)
+            wide[rows] <<= U(32)
+
+    for step in range(steps):
+        now = ranks[step].astype(np.int64)
+        a, b = mixer.weights()
+        choice = np.where((now == mixer.g2) & (a > 0), 0, np.where((now == mixer.g1) & (b > 0), 1, 2))
+        begin = np.where(choice == 0, 0, np.where(choice == 1, a, a + b))
+        part = wide >> U(MIX)
+        add = part * begin.astype(U)
+        old = low.copy()
+        low += add
+        wide = part * np.where(choice == 0, a, np.where(choice == 1, b, 65536 - a - b)).astype(U)
+        over = np.flatnonzero(low < old)
+        if len(over):
+            carry(over)
+        out()
+        rows = np.flatnonzero(choice == 2)
+        part = wide[rows] >> bits
+        before = low[rows]
+        after = before + part * start0[now[rows]]
+        low[rows] = after
+        wide[rows] = part * freq0[now[rows]]
+        over = rows[after < before]
+        if len(over):
+            carry(over)
+        out()
+        mixer.learn(now, choice)
+    # One word more names a point inside every interval, which is at least a word wide.
+    point = low + (wide - U(1))
+    carry(row[point < low])
+    words[row, count] = (point >> U(32)).astype(np.uint32)
+    return [words[k, : n + 1].astype("<u4").tobytes() for k, n in enumerate(count.tolist())]
+
+
+def decoded_blocks(table: Table, data: list[bytes], steps: int) -> np.ndarray:
+    """Places in the table of all ids of the blocks, a column each."""
+    lanes, mixer, bits = len(data), Mixer(table, len(data)), U(table.bits)
+    room = max(len(d) for d in data) // 4 + 4
+    words = np.zeros((lanes, room), U)
+    for k, d in enumerate(data):
+        words[k, : len(d) // 4] = np.frombuffer(d, "<u4")
+    ends = np.arange(lanes) * room
+    words = words.ravel()
+    # ``ahead`` is how far the coded point lies above the interval's low end.
+    ahead, wide, at = words[ends] << U(32) | words[ends + 1], np.full(lanes, ~U(0), U), ends + 2
+    last = ends + room - 1
+    place = np.repeat(np.arange(len(table.ids), dtype=np.int32), table.freq)
+    start0, freq0 = table.start.astype(U), table.freq.astype(U)
+    out = np.zeros((steps, lanes), np.int32)
+
+    def take() -> None:
+        rows = np.flatnonzero(wide < LOW)
+        if len(rows):
+            ahead[rows] = ahead[rows] << U(32) | words[np.minimum(at[rows], last[rows])]
+            wide[rows] <<= U(32)
+            at[rows] += 1
+
+    for step in range(steps):
+        a, b = mixer.weights()
+        part = wide >> U(MIX)
+        value = (ahead // part).astype(np.int64)
+        ab = a + b
+        choice = (value >= a).astype(np.int8) + (value >= ab)
+        ahead -= part * np.where(choice == 0, 0, np.where(choice == 1, a, ab)).astype(U)
+        wide = part * np.where(choice == 0, a, np.where(choice == 1, b, 65536 - ab)).astype(U)
+        take()
+        now = np.where(choice == 0, mixer.g2, mixer.g1).astype(np.int64)
+        rows = np.flatnonzero(choice == 2)
+        part = wide[rows] >> bits
+        ids = place[np.minimum(ahead[rows] // part, U(len(place) - 1))]
+        ahead[rows] -= part * start0[ids]
+        wide[rows] = part * freq0[ids]
+        now[rows] = ids
+        take()
         out[step] = now
-        model.learn_hit(held)
-        model.learn_id(now.astype(np.uint16), SIZES[now])
+        mixer.learn(now, choice)
     return out
 
 
 def encode(ids: np.ndarray, block: int = 2048, lanes: int = 2048) -> bytes:
-    """A stream: header, then for every block its bytes' length and its ids' checksum, then the blocks."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids of 65,536 and more have no place in this format")
-    ids = np.ascontiguousarray(ids, np.uint16)
+    """A stream: header, table, for every block its bytes' length and its ids' checksum, then the blocks."""
+    if len(ids) and (int(ids.max()) >= 1 << 32 or int(ids.min()) < 0):
+        raise ValueError("ids are unsigned numbers of 32 bits")
+    table, ranks = Table.of(ids)
     blocks = -(-len(ids) // block)
-    padded = np.zeros(blocks * block, np.uint16)
-    padded[: len(ids)] = ids
-    rows = padded.reshape(blocks, block)
+    # The last block is filled up with what codes shortest after anything, the most frequent id.
+    filler = int(table.counts.argmax()) if len(table.counts) else 0
+    rows = np.r_[ranks, np.full(blocks * block - len(ids), filler, np.int32)].reshape(blocks, block)
+    del ranks
     data: list[bytes] = []
     for at in range(0, blocks, lanes):
-        part = rows[at : at + lanes]
-        coder = Encoder(len(part), block + 64)
-        run(coder, len(part), np.ascontiguousarray(part.T.astype(np.int64)), block)
-        data += coder.finish()
-    index = b"".join(struct.pack("<II", len(d), zlib.crc32(r.astype("<u2").tobytes())) for d, r in zip(data, rows))
-    return HEAD.pack(MAGIC, block, blocks, len(ids)) + index + b"".join(data)
+        data += encoded_blocks(table, np.ascontiguousarray(rows[at : at + lanes].T))
+    names = table.ids.astype("<u4")
+    index = b"".join(struct.pack("<II", len(d), zlib.crc32(names[r].tobytes())) for d, r in zip(data, rows))
+    packed = table.packed()
+    return HEAD.pack(MAGIC, block, blocks, len(ids), len(packed), zlib.crc32(packed)) + packed + index + b"".join(data)
 
 
 def decode(stream: bytes, lanes: int = 2048) -> np.ndarray:
-    """The ids; raises ValueError where a block fails its checksum."""
-    magic, block, blocks, n = HEAD.unpack_from(stream)
+    """The ids; raises ValueError where the table or a block fails its checksum."""
+    magic, block, blocks, n, size, check = HEAD.unpack_from(stream)
     if magic != MAGIC:
         raise ValueError("not an id stream")
-    index = np.frombuffer(stream, "<u4", 2 * blocks, HEAD.size).reshape(-1, 2)
-    starts = HEAD.size + 8 * blocks + np.r_[0, np.cumsum(index[:, 0], dtype=np.int64)]
+    packed, at = stream[HEAD.size : HEAD.size + size], HEAD.size + size
+    if zlib.crc32(packed) != check:
+        raise ValueError("the table fails its checksum")
+    if len(stream) < at + 8 * blocks:
+        raise ValueError("the stream is cut off")
+    table, index = Table.unpacked(packed), np.frombuffer(stream, "<u4", 2 * blocks, at).reshape(-1, 2)
+    starts = at + 8 * blocks + np.r_[0, np.cumsum(index[:, 0], dtype=np.int64)]
     if len(stream) < starts[-1]:
         raise ValueError("the stream is cut off")
-    out = np.zeros((blocks, block), np.uint16)
-    for at in range(0, blocks, lanes):
-        data = [stream[a:b] for a, b in zip(starts[at : at + lanes], starts[at + 1 : at + lanes + 1])]
-        out[at : at + len(data)] = run(Decoder(data), len(data), None, block).T
+    out, names = np.zeros((blocks, block), np.uint32), table.ids.astype("<u4")
+    for k in range(0, blocks, lanes):
+        data = [stream[a:b] for a, b in zip(starts[k : k + lanes], starts[k + 1 : k + lanes + 1])]
+        out[k : k + len(data)] = names[decoded_blocks(table, data, block)].T
     for k in range(blocks):
-        if zlib.crc32(out[k].astype("<u2").tobytes()) != index[k, 1]:
+        if zlib.crc32(out[k].astype("<u4").tobytes()) != index[k, 1]:
             raise ValueError(f"block {k} fails its checksum")
     return out.reshape(-1)[:n]

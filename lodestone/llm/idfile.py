@@ -8,7 +8,7 @@ can be in any store that Spark writes to; ``payload`` can be kept alone as a fil
 
 Texts are cut at blanks and line feeds, and between a letter and a full stop or comma,
 where this tokenizer never joins; distinct pieces go to the library in batches and a
-bounded per-worker table remembers their ids.
+per-worker table, bounded in bytes, remembers their ids.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestone import session
 from lodestone.llm import idcoder
-from lodestone.llm.arrowtext import by_bytes, id_text
+from lodestone.llm.arrowtext import by_bytes, id_text, record
 
 PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,])|[^ \n]+")
 #: Texts with the start of a special token's string are cut at blanks only.
@@ -34,38 +34,52 @@ HEAD = struct.Struct("<4sII")
 MAGIC = b"IDS1"
 SEGMENT = "part int, seq int, n_docs long, n_ids long, payload binary"
 SEGMENT_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-BACK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+BACK = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+SUMS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+#: Segments whose first places are sent to all executors at most, at 16 bytes each.
+MOST_BROADCAST = 1 << 20
 
 
 class IdTable:
-    """Ids, as 16-bit little-endian bytes, of pieces met lately; two generations."""
+    """Ids, as little-endian bytes of 16 bits (32 for vocabularies over 65,536), of pieces met lately.
+
+    Two generations of ``limit`` bytes each; pieces longer than ``LONG`` characters aren't kept.
+    """
+
+    LONG = 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the format holds 16-bit ids")
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def learn(self, pieces: set[str], limit: int) -> None:
+    def learn(self, pieces: set[str], limit: int) -> dict[str, bytes]:
+        """Ids of pieces that are too long to be kept; all others are in ``new`` afterwards."""
+        if self.size > limit:
+            self.old, self.new, self.size = self.new, {}, 0
         missing = pieces.difference(self.new)
-        if len(self.new) + len(missing) > limit:
-            self.old, self.new = self.new, {}
-            missing = pieces
         known = missing.intersection(self.old)
         self.new.update(zip(known, map(self.old.__getitem__, known)))
-        unknown = list(missing.difference(known))
+        unknown, long = list(missing.difference(known)), {}
         for at in range(0, len(unknown), 20_000):
             some = unknown[at : at + 20_000]
-            self.new.update((p, struct.pack(f"<{len(e.ids)}H", *e.ids)) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                (self.new if len(p) <= self.LONG else long)[p] = struct.pack(f"<{len(e.ids)}{self.kind}", *e.ids)
+        # A text object and a bytes object take about 100 bytes besides what they hold.
+        self.size += sum(map(len, missing)) - sum(map(len, long)) + 120 * (len(missing) - len(long))
+        return long
 
     def encode(self, texts: list[str], limit: int) -> list[bytes]:
         pieces = [(COARSE if "<|" in t else PIECES).findall(t) for t in texts]
-        self.learn(set().union(*pieces), limit)
-        get = self.new.__getitem__
+        if long := self.learn(set().union(*pieces), limit):
+            get = lambda p: long[p] if p in long else self.new[p]
+        else:
+            get = self.new.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
@@ -78,11 +92,11 @@ def load(path: str) -> IdTable:
     return _loaded[path]
 
 
-def pack_segment(ids: list[int | None], counts: list[int], data: bytes, block: int) -> bytes:
+def pack_segment(ids: list[int | None], counts: list[int], data: bytes, block: int, kind: str) -> bytes:
     named = np.array([i is not None for i in ids])
     index = np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(counts, "<i8").tobytes() + named.tobytes()
     pressed = zlib.compress(index, 6)
-    return HEAD.pack(MAGIC, len(pressed), zlib.crc32(pressed)) + pressed + idcoder.encode(np.frombuffer(data, "<u2"), block)
+    return HEAD.pack(MAGIC, len(pressed), zlib.crc32(pressed)) + pressed + idcoder.encode(np.frombuffer(data, "<u2" if kind == "H" else "<u4"), block)
 
 
 def unpack_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -98,7 +112,7 @@ def unpack_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     return [int(i) if k else None for i, k in zip(ids, named)], counts, idcoder.decode(payload[HEAD.size + size :])
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 4_000_000, block: int = 2048, table_limit: int = 300_000) -> None:
+def write(docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 2_000_000, block: int = 1024, table_bytes: int = 32 << 20) -> None:
     """Encode every whole text, append ``end_id``, and write segments in ascending order of ids.
 
     Null and empty texts are the end id alone; rows without an id come first; rows that
@@ -112,16 +126,16 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc
 
         table, part, seq = load(tokenizer_path), TaskContext.get().partitionId(), 0
         ids, counts, data, held = [], [], [], 0
-        end = struct.pack("<H", end_id)
+        end = struct.pack(f"<{table.kind}", end_id)
 
         def flush() -> pa.RecordBatch:
-            payload = pack_segment(ids, counts, b"".join(data), block)
+            payload = pack_segment(ids, counts, b"".join(data), block, table.kind)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], schema=SEGMENT_ARROW)
 
         for slice_ in by_bytes(batches, 1 << 20):
-            for doc, coded in zip(slice_.column("doc_id").to_pylist(), table.encode(slice_.column("text").to_pylist(), table_limit)):
+            for doc, coded in zip(slice_.column("doc_id").to_pylist(), table.encode(slice_.column("text").to_pylist(), table_bytes)):
                 ids.append(doc)
-                counts.append(len(coded) // 2 + 1)
+                counts.append(len(coded) // len(end) + 1)
                 data += [coded, end]
                 held += counts[-1]
             if held >= segment_ids:
@@ -133,37 +147,33 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, id_col: str = "doc
     rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(segments, SEGMENT).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ids are 16-bit little-endian."""
+def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; ids are 32-bit little-endian, or ``digests``: their ``ids_crc32``."""
     session.prepare(spark)
     files = spark.read.schema(SEGMENT).parquet(path)
+    schema = SUMS if digests else BACK
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, payload in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("payload")):
+            for base, payload in zip(batch.column("base").to_pylist(), batch.column("payload")):
                 ids, counts, tokens = unpack_segment(payload.as_py())
                 ends = np.cumsum(counts)
-                data = tokens.astype("<u2").tobytes()
-                for at in range(0, len(ids), 2000):
-                    to = min(len(ids), at + 2000)
-                    chunk = [data[2 * (e - c) : 2 * e] for e, c in zip(ends[at:to].tolist(), counts[at:to].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * (to - at), pa.int32()), pa.array([seq] * (to - at), pa.int32()), pa.array(ids[at:to], pa.int64()), pa.array(ends[at:to] - counts[at:to]), pa.array(counts[at:to]), pa.array(chunk, pa.binary())], schema=BACK)
+                data = memoryview(np.ascontiguousarray(tokens.astype("<u4", copy=False))).cast("B")
+                at = 0
+                while at < len(ids):
+                    # About 1 MB of ids at a time, one document at least.
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 18))))
+                    each = [data[4 * (e - c) : 4 * e] for e, c in zip(ends[at:to].tolist(), counts[at:to].tolist())]
+                    last = [zlib.crc32(x) for x in each] if digests else pa.array(each, pa.binary())
+                    yield record(schema, ids[at:to], base + ends[at:to] - counts[at:to], counts[at:to], last)
+                    at = to
 
     # Ids before a segment: those of earlier parts (a row a part) and of earlier segments of its part.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("of_part"))
     parts = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("before_part"))
     before = files.select("part", "seq", (F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("before_seq"))
     base = before.join(parts, "part").select("part", "seq", (F.col("before_part") + F.col("before_seq")).alias("base"))
-    found = files.select("part", "seq", "payload").mapInArrow(back, "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
-    return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
-
-
-def checksums(rows: DataFrame) -> DataFrame:
-    """``ids_crc32`` in place of ``ids``: over the ids as little-endian 32-bit integers."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    base = F.broadcast(base) if files.count() <= MOST_BROADCAST else base.hint("merge")
+    # Segments meet their places before they are decoded: compressed ids move, if any.
+    found = files.join(base, ["part", "seq"]).select("base", "payload")
+    return found.mapInArrow(back, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digests else 'ids binary'}")

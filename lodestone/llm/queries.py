@@ -48,7 +48,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.scratch_path(spark, "id-files")
     idfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return idfile.checksums(idfile.read(spark, path))
+    return idfile.read(spark, path, digests=True)
 
 
 def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.sampled_from([16, 64]))
+@given(st.one_of(st.lists(st.integers(0, 65535), max_size=300), st.lists(st.integers(0, 2**32 - 1), max_size=300)), st.sampled_from([16, 64]))
 def test_round_trip(ids, block):
     assert idcoder.decode(idcoder.encode(np.array(ids, np.int64), block)).tolist() == ids
 
@@ -29,12 +29,25 @@ def test_repeats_cost_little_and_damage_is_found():
         idcoder.decode(bytes(broken))
 
 
+def test_skewed_and_long_streams():
+    """Carries, certain successors, an id alone, more blocks than lanes, and less room than a static table of frequencies would take."""
+    rng = np.random.default_rng(3)
+    frequent = np.minimum(rng.zipf(1.3, 60_000), 49_000)
+    chains = np.where(rng.random(60_000) < 0.5, np.roll(frequent, 1) * 7919 % 5000, frequent)
+    for ids in (frequent, chains, np.zeros(5000, np.int64), np.arange(3000), np.r_[np.full(9000, 7), 2**31]):
+        stream = idcoder.encode(ids, block=256, lanes=64)
+        assert (idcoder.decode(stream, lanes=50) == ids).all()
+    p = np.unique(frequent, return_counts=True)[1] / len(frequent)
+    static = -(p * np.log2(p)).sum() * len(frequent) / 8
+    assert len(idcoder.encode(frequent)) < 1.15 * static
+
+
 def test_pieces_equal_the_library():
     table, library = idfile.IdTable(WORDS), Tokenizer.from_file(WORDS)
     rng = random.Random(5)
     odd = ["".join(rng.choice(" \n\tabE'.,1é́×ſΣß<|>s\xa0\x1c") for _ in range(rng.randint(0, 40))) for _ in range(800)]
     odd += ["don't., a<|endoftext|>.b x<|startoftext|>", "ΑΣ. ΣΑΣ, a×. ×,"] + [t or "" for t in texts()]
-    for text, got in zip(odd, table.encode(odd, 1000)):
+    for text, got in zip(odd, [x for k in range(0, len(odd), 100) for x in table.encode(odd[k : k + 100], 1000)]):
         assert np.frombuffer(got, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -44,7 +57,9 @@ def test_files_hold_every_document(spark, tmp_path):
     random.Random(1).shuffle(rows)
     path = str(tmp_path / "ids")
     idfile.write(frame(spark, rows).repartition(3), WORDS, path, segment_ids=3000, block=64)
-    got = {r.doc_id: r for r in idfile.checksums(idfile.read(spark, path)).collect()}
+    got = {r.doc_id: r for r in idfile.read(spark, path, digests=True).collect()}
+    whole = {r.doc_id: (r.start, r.n_tokens, zlib.crc32(r.ids)) for r in idfile.read(spark, path).collect()}
+    assert whole == {i: (r.start, r.n_tokens, r.ids_crc32) for i, r in got.items()}
     start = 0
     for i, text in sorted(rows):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -56,3 +71,12 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     idfile.write(frame(spark, []), WORDS, path)
     assert idfile.read(spark, path).count() == 0
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    path = str(tmp_path / "repeats")
+    rows = [(4, "a b"), (4, "c"), (None, "d e f"), (2, None), (4, "a b")]
+    idfile.write(frame(spark, rows), WORDS, path)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in idfile.read(spark, path).collect())
+    assert [r[1] for r in got] == [None, 2, 4, 4, 4] and sorted(r[2] for r in got) == [1, 2, 3, 3, 4]
+    assert [r[0] for r in got] == [sum(r[2] for r in got[:k]) for k in range(5)]
