@@ -1,16 +1,21 @@
 """Benchmark decontamination: items found in documents up to a share of word edits.
 
 Words are lower-cased runs of letters and digits. The CGK random walk copies a word
-sequence into one three times as long, standing still or stepping on by a coin that
-depends on the step and the word, so a few edits become few differing places. Sampling
-``bits`` places of it gives a table key; a window as long as an item is a candidate if it
-meets the item in any of the tables, whose number is set so that a window with the most
-edits allowed is met with probability ``recall`` (estimated by editing the items
-themselves). Candidates are verified by exact edit distance.
-
-Windows are only embedded where they can succeed: by the q-gram lemma a window within e
-edits of an item of m words shares all but 2 e of its different word pairs, so documents with
-fewer can't match. This loses nothing.
+sequence into a longer one, standing still or stepping on by a coin that depends on the step
+and the word, so a few edits become few differing places. Each table has a walk of its own
+and samples ``bits`` places of it, where walks haven't reached the end, as its key. Items of
+one length share an index of their keys in all tables, in which windows of that length are
+looked up; what they meet are the candidates, verified by exact edit distance.
+
+The number of tables is set for each item from edited copies of it, so that a window with the
+most edits allowed is met with probability ``recall``; a length has as many as its neediest
+item. An item that would need more than ``max_tables`` isn't left to chance: it is
+verified at every window that is looked up for its length.
+
+Windows are looked up only where any item of their length can be: by the q-gram lemma a
+window within e edits of an item of m words shares all but 2 e of its different word pairs.
+The count is over the pairs of all items of that length together, so it says nothing about
+which item it may be, and it loses nothing.
 """
 
 from __future__ import annotations
@@ -43,17 +48,91 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return rolling.window_hash(rolling.prefix_sums(words, 42), 42, 2)
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of equally long word sequences (one a row); 0 stands behind the end."""
+#: Of a walk over m words the places up to this many times m are sampled; a walk is at half its steps' number, so they lie inside.
+REACH = 1.6
+
+
+def steps(windows: np.ndarray, walks: np.ndarray, last: int) -> Iterator[np.ndarray]:
+    """Place by place, the words that each walk (a row) copies from each window (a row of ``windows``); 0 stands behind the end."""
     rows, m = windows.shape
-    padded = np.c_[windows, np.zeros(rows, np.uint64)]
-    at, each = np.zeros(rows, np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * m), np.uint64)
-    for j in range(3 * m):
-        here = out[:, j] = padded[each, at]
-        coin = rolling.mix(here ^ np.uint64((seed * 1_000_003 + j) * 2 + 1)) & np.uint64(1)
-        at = np.minimum(at + coin.astype(np.int64), m)
-    return out
+    padded = np.c_[windows, np.zeros(rows, np.uint64)].ravel()
+    base, at = np.arange(rows) * (m + 1), np.zeros((len(walks), rows), np.int64)
+    for j in range(last):
+        here = padded[base + at]
+        yield here
+        coin = rolling.mix(here ^ ((walks[:, None] + np.uint64(j)) * np.uint64(2) + np.uint64(1))) & np.uint64(1)
+        np.minimum(at + coin.astype(np.int64), m, out=at)
+
+
+def walk(windows: np.ndarray, seed: int) -> np.ndarray:
+    """CGK embedding of equally long word sequences, one a row."""
+    start = np.array([seed], np.uint64) * np.uint64(1_000_003)
+    return np.stack([here[0] for here in steps(windows, start, int(REACH * windows.shape[1]))], axis=1)
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy after random edits, filled up or cut to its old length as a window would be."""
+    out = list(words)
+    for _ in range(edits):
+        kind, at = int(rng.integers(3)), int(rng.integers(max(1, len(out))))
+        out[at : at + (kind != 1)] = [] if kind == 2 else [np.uint64(rng.integers(1 << 62))]
+    out += [np.uint64(x) for x in rng.integers(1 << 62, size=max(0, len(words) - len(out)))]
+    return np.array(out[: len(words)], np.uint64)
+
+
+def tables_needed(words: np.ndarray, edits: int, bits: int, recall: float, seed: int, copies: int = 24, walks: int = 16) -> int:
+    """Tables after which copies of an item with this many edits are met with probability ``recall``, on average over copies."""
+    rng = np.random.default_rng((seed, len(words)))
+    windows = np.stack([words, *(edited(words, edits, rng) for _ in range(copies))])
+    equal = np.stack([here[:, 1:] == here[:, :1] for here in steps(windows, np.arange(1, walks + 1, dtype=np.uint64) * np.uint64(7_368_787), int(REACH * len(words)))])
+    met = (equal.mean(axis=0) ** bits).mean(axis=0)  # of a table, by copy
+    low, high = 1, 1 << 20
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if (1 - (1 - met) ** middle).mean() >= recall else (middle + 1, high)
+    return low
+
+
+@dataclass
+class Length:
+    """The index of the items of one length."""
+
+    m: int
+    edits: int
+    items: list[int]  # numbers of the items
+    need: int  # pairs that a window close to any of them shares with them at least
+    mask: np.ndarray  # which of all pairs are theirs
+    tables: int
+    places: np.ndarray  # tables x bits
+    walks: np.ndarray
+    direct: list[int]  # items that no affordable number of tables would find
+    keys: np.ndarray | None = None  # sorted, of all items in all tables
+    owner: np.ndarray | None = None
+
+    def key(self, windows: np.ndarray) -> np.ndarray:
+        """Keys (tables x windows)."""
+        key = np.repeat(self.walks[:, None], len(windows), axis=1)
+        for j, here in enumerate(steps(windows, self.walks, int(self.places.max()) + 1)):
+            for k in range(self.places.shape[1]):
+                mine = np.flatnonzero(self.places[:, k] == j)
+                if len(mine):
+                    key[mine] = rolling.mix(key[mine] + here[mine] + np.uint64(k * 7919 + 1))
+        return key
+
+    def look_up(self, windows: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all that meet in a table, and of the direct items everywhere."""
+        found = [(np.repeat(np.arange(len(windows)), len(self.direct)), np.tile(np.array(self.direct, np.int64), len(windows)))]
+        for a in range(0, len(windows), chunk) if self.tables else ():
+            some = self.key(windows[a : a + chunk])
+            first, last = (np.searchsorted(self.keys, some.ravel(), side=side) for side in ("left", "right"))
+            hit = np.flatnonzero(last > first)
+            count = (last - first)[hit]
+            each = np.repeat(hit, count)
+            at = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            found.append((a + each % some.shape[1], self.owner[at]))
+        window, item = (np.concatenate(x) for x in zip(*found))
+        code = np.unique(window * (1 << 32) + item)
+        return code >> 32, code & 0xFFFFFFFF
 
 
 @dataclass
@@ -62,137 +141,82 @@ class Plan:
 
     ids: list[int]
     words: list[np.ndarray]
-    edits: list[int]
     pairs: np.ndarray  # hashes of all items' word pairs, in order
-    first: np.ndarray  # where each pair's items begin in owners, one more entry than pairs
-    owners: np.ndarray
-    bits: int
-    tables: int
-    seed: int
-    least: np.ndarray | None = None
+    lengths: list[Length]
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], rate: float, min_words: int, bits: int, recall: float, max_tables: int, seed: int) -> Plan:
         words, rows = word_ids([t for _, t in items])
         kept = [(i, words[a:b]) for (i, _), a, b in zip(items, rows, rows[1:]) if b - a >= min_words]
-        seqs = [w for _, w in kept]
-        edits = [int(rate * len(w)) for w in seqs]
-        owners: dict[int, set[int]] = {}
-        for n, w in enumerate(seqs):
-            for h in pair_hashes(w).tolist():
-                owners.setdefault(h, set()).add(n)
-        pairs = np.array(sorted(owners), np.uint64)
-        of_pair = [sorted(owners[h]) for h in pairs.tolist()]
-        first = np.r_[0, np.cumsum([len(x) for x in of_pair], dtype=np.int64)]
-        plan = cls([i for i, _ in kept], seqs, edits, pairs, first, np.array([n for x in of_pair for n in x], np.int64), bits, 1, seed)
-        plan.least = np.array([plan.least_pairs(n) for n in range(len(seqs))], np.int64)
-        plan.tables = min(max_tables, plan.tables_for(recall)) if kept else 1
+        own = [pair_hashes(w) for _, w in kept]
+        pairs = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+        by_length: dict[int, list[int]] = {}
+        for n, (_, w) in enumerate(kept):
+            by_length.setdefault(len(w), []).append(n)
+        plan = cls([i for i, _ in kept], [w for _, w in kept], pairs, [])
+        for m, numbers in sorted(by_length.items()):
+            edits = int(rate * m)
+            # An edit breaks two pairs at most; a window may begin inside a run of one pair, which costs one more.
+            need = max(1, min(len(np.unique(own[n])) for n in numbers) - 2 * edits - 1)
+            wanted = {n: tables_needed(plan.words[n], max(1, edits), bits, recall, seed) for n in numbers}
+            direct = [n for n in numbers if wanted[n] > max_tables]
+            tables = max((t for t in wanted.values() if t <= max_tables), default=0)
+            places = np.random.default_rng((seed, m)).integers(int(REACH * m), size=(tables, bits))
+            walks = (np.arange(tables, dtype=np.uint64) + np.uint64(seed + 1)) * np.uint64(1_000_003)
+            index = Length(m, edits, numbers, need, np.isin(pairs, np.concatenate([own[n] for n in numbers])), tables, places, walks, direct)
+            looked = [n for n in numbers if n not in set(direct)]
+            if looked:
+                key = index.key(np.stack([plan.words[n] for n in looked]))
+                order = np.argsort(key, axis=None)
+                index.keys, index.owner = key.ravel()[order], np.tile(np.array(looked, np.int64), tables)[order]
+            plan.lengths.append(index)
         return plan
 
-    def tables_for(self, recall: float) -> int:
-        """Tables after which a window with the most edits allowed is met with this probability, on average over edited items."""
-        rng = np.random.default_rng(self.seed)
-        same = []
-        for n in range(min(len(self.words), 64)):
-            w, e = self.words[n], max(1, self.edits[n])
-            edited = list(w)
-            for _ in range(e):
-                k, at = rng.integers(3), int(rng.integers(max(1, len(edited))))
-                if k == 0:
-                    edited[at : at + 1] = [np.uint64(rng.integers(1 << 62))]
-                elif k == 1:
-                    edited.insert(at, np.uint64(rng.integers(1 << 62)))
-                else:
-                    del edited[at : at + 1]
-            edited = np.array((edited + [np.uint64(1)] * len(w))[: len(w)], np.uint64)
-            a, b = walk(np.stack([w, edited]), self.seed + n)
-            same.append((a == b).mean())
-        met = np.array(same) ** self.bits
-        for tables in range(1, 4096):
-            if (1 - (1 - met) ** tables).mean() >= recall:
-                return tables
-        return 4096
-
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """Keys (tables x windows): ``bits`` sampled places of each table's own walk."""
-        rows, m = windows.shape
-        places = np.random.default_rng((self.seed, m)).integers(3 * m, size=(self.tables, self.bits))
-        padded = np.c_[windows, np.zeros(rows, np.uint64)].ravel()
-        base, at = np.arange(rows) * (m + 1), np.zeros((self.tables, rows), np.int64)
-        walks = (np.arange(self.tables, dtype=np.uint64) + np.uint64(self.seed + 1))[:, None] * np.uint64(1_000_003)
-        key = np.zeros((self.tables, rows), np.uint64)
-        for j in range(int(places.max()) + 1):
-            here = padded[base + at]
-            for k in range(self.bits):
-                mine = np.flatnonzero(places[:, k] == j)
-                if len(mine):
-                    key[mine] = rolling.mix(key[mine] + here[mine] + np.uint64(k * 7919 + 1))
-            coin = rolling.mix(here ^ ((walks + np.uint64(j)) * np.uint64(2) + np.uint64(1))) & np.uint64(1)
-            np.minimum(at + coin.astype(np.int64), m, out=at)
-        return key
-
-    def candidates(self, item: int, windows: np.ndarray) -> np.ndarray:
-        """Of each window: whether it meets the item in a table."""
-        mine, met = self.keys(self.words[item][None, :]), np.zeros(len(windows), bool)
-        for a in range(0, len(windows), 512):
-            met[a : a + 512] = (self.keys(windows[a : a + 512]) == mine).any(axis=0)
-        return met
-
-    def least_pairs(self, n: int) -> int:
-        """Different pairs, a run of one pair counting once, that a window within the edits allowed shares with an item.
-
-        An edit breaks two pairs at most; a window may begin inside a run, which costs one more.
-        """
-        return max(1, len(np.unique(pair_hashes(self.words[n]))) - 2 * self.edits[n] - 1)
-
-    def possible(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(document, item, where pairs stand in the document) for items whose pairs lie close enough together."""
+    def find(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item id, edits, start, end): the best place of every item in each of several documents."""
         grams = pair_hashes(words)
         if not len(grams) or not len(self.pairs):
             return []
         at = np.minimum(np.searchsorted(self.pairs, grams), len(self.pairs) - 1)
         hits = np.flatnonzero((self.pairs[at] == grams) & rolling.inside_rows(rows, len(grams), 2))
-        if not len(hits):
-            return []
-        count = (self.first[1:] - self.first[:-1])[at[hits]]
-        each = np.repeat(np.arange(len(hits)), count)
-        items = self.owners[self.first[at[hits]][each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)]
-        place = hits[each]
-        doc = np.searchsorted(rows, place, side="right") - 1
-        order = np.lexsort((place, doc * len(self.words) + items))
-        key, place, items, doc, pair = (doc * len(self.words) + items)[order], place[order], items[order], doc[order], at[hits][each][order]
-        run = np.r_[False, (key[1:] == key[:-1]) & (pair[1:] == pair[:-1]) & (place[1:] == place[:-1] + 1)]
-        key, place, items, doc = key[~run], place[~run], items[~run], doc[~run]
-        # Enough pairs inside the longest stretch that can match: the need-th next pair is near.
-        last = np.arange(len(key)) + self.least[items] - 1
-        reach = np.array([len(w) + e for w, e in zip(self.words, self.edits)], np.int64)[items]
-        inside = last < len(key)
-        last = np.minimum(last, len(key) - 1)
-        close = inside & (key[last] == key) & (place[last] - place <= reach)
-        out = []
-        for k in np.unique(key[close]):
-            a, b = np.searchsorted(key, [k, k + 1])
-            out.append((int(doc[a]), int(items[a]), place[a:b] - rows[doc[a]]))
-        return out
-
-    def find(self, n: int, words: np.ndarray, found: np.ndarray) -> tuple[int, int, int, int] | None:
-        """(item id, edits, start, end) of the best place of an item in a document, given where its pairs stand."""
-        m, e, need = len(self.words[n]), self.edits[n], int(self.least[n])
-        near = np.bincount(found, minlength=len(words) + 1)
-        sums = np.r_[0, np.cumsum(near)]
-        starts = np.arange(-e, max(1, len(words) - m + e + 1))
-        inside = sums[np.clip(starts + m + e, 0, len(words))] - sums[np.clip(starts - e, 0, len(words))]
-        starts = starts[inside >= need]
-        if not len(starts):
-            return None
-        padded = np.r_[np.zeros(e, np.uint64), words, np.zeros(m + e, np.uint64)]
-        met = starts[self.candidates(n, padded[(starts + e)[:, None] + np.arange(m)])]
-        best = None
-        for a, b in regions(met, m, e, len(words)):
-            edits, end = closest(self.words[n], words[a:b])
-            if edits <= e and (best is None or edits < best[1]):
-                best = (self.ids[n], edits, max(0, a + end - m), a + end)
-        return best
+        pair, doc, out = at[hits], np.searchsorted(rows, hits, side="right") - 1, []
+        for index in self.lengths:
+            mine = index.mask[pair]
+            windows, docs, starts = self.windows(index, words, rows, hits[mine], doc[mine])
+            if not len(docs):
+                continue
+            window, item = index.look_up(windows)
+            order = np.lexsort((starts[window], item, docs[window]))
+            window, item = window[order], item[order]
+            first = np.flatnonzero(np.r_[True, (docs[window][1:] != docs[window][:-1]) | (item[1:] != item[:-1])]) if len(window) else []
+            for a, b in zip(first, [*first[1:], len(window)]):
+                d, n = int(docs[window[a]]), int(item[a])
+                own, best = words[rows[d] : rows[d + 1]], None
+                for x, y in regions(starts[window[a:b]], index.m, index.edits, len(own)):
+                    edits, end = closest(self.words[n], own[x:y])
+                    if edits <= index.edits and (best is None or edits < best[2]):
+                        best = (d, self.ids[n], edits, max(0, x + end - index.m), x + end)
+                if best:
+                    out.append(best)
+        return sorted(out)
+
+    def windows(self, index: Length, words: np.ndarray, rows: np.ndarray, hits: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows with enough pairs in and about them, their documents, and where they start in those (from ``edits`` words before on)."""
+        m, e, need = index.m, index.edits, index.need
+        held, docs, starts = [], [], []
+        ahead = np.flatnonzero((hits[need - 1 :] - hits[: len(hits) - need + 1] <= m + 2 * e) & (doc[need - 1 :] == doc[: len(doc) - need + 1])) if len(hits) >= need else []
+        for d in np.unique(doc[ahead]) if len(ahead) else ():
+            own = words[rows[d] : rows[d + 1]]
+            sums = np.r_[0, np.cumsum(np.bincount(hits[slice(*np.searchsorted(doc, [d, d + 1]))] - rows[d], minlength=len(own) + 1))]
+            s = np.arange(-e, max(1, len(own) - m + e + 1))
+            s = s[sums[np.clip(s + m + e, 0, len(own))] - sums[np.clip(s - e, 0, len(own))] >= need]
+            padded = np.r_[np.zeros(e, np.uint64), own, np.zeros(m + e, np.uint64)]
+            held.append(padded[(s + e)[:, None] + np.arange(m)])
+            docs.append(np.full(len(s), d))
+            starts.append(s)
+        if not held:
+            return np.empty((0, m), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(held), np.concatenate(docs), np.concatenate(starts)
 
 
 def regions(starts: np.ndarray, m: int, e: int, n: int) -> list[tuple[int, int]]:
@@ -223,7 +247,7 @@ def closest(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, bits: int = 2, recall: float = 0.995, max_tables: int = 256, items_at_once: int = 20_000, seed: int = 9) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, bits: int = 2, recall: float = 0.995, max_tables: int = 512, items_at_once: int = 20_000, seed: int = 9) -> DataFrame:
     """(doc_id, item_id, edits, start_word, end_word) for every item that a document holds within ``rate`` edits a word.
 
     Items with fewer than ``min_words`` words, null items and null texts match nothing;
@@ -244,8 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
             for part in by_bytes(batches, 1 << 20):
                 words, offsets = word_ids(part.column("text").to_pylist())
                 ids = part.column("doc_id").to_pylist()
-                found = ((d, p.find(n, words[offsets[d] : offsets[d + 1]], at)) for d, n, at in p.possible(words, offsets))
-                out = [(ids[d], *hit) for d, hit in found if hit]
+                out = [(ids[d], *hit) for d, *hit in p.find(words, offsets)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["doc_id", "item_id", "edits", "start_word", "end_word"])
 
         one = rows.mapInArrow(search, "doc_id long, item_id long, edits long, start_word long, end_word long")
