@@ -88,6 +88,15 @@ class Thesaurus:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.index.items()), "key string, canonical string")
 
+    def expanded(self, rows: DataFrame, column: str, out: str) -> DataFrame:
+        """``rows`` with the terms of a column expanded: itself, its canonical name and all synonyms, lower-cased and in order."""
+        names = [(key, sorted({x.lower() for x in (canon, *self.records[canon][1])})) for key, canon in sorted(self.index.items())]
+        known = rows.sparkSession.createDataFrame(names, "__key string, __names array<string>")
+        known = F.broadcast(known) if len(names) <= MOST_BROADCAST else known
+        own = F.lower(F.trim(F.col(column)))
+        every = F.array_sort(F.array_union(F.coalesce("__names", F.array().cast("array<string>")), F.array(own)))
+        return rows.join(known, own == F.col("__key"), "left").withColumn(out, F.when(own != "", every).otherwise(F.array().cast("array<string>"))).drop("__key", "__names")
+
     def canonicalised(self, rows: DataFrame, column: str, out: str) -> DataFrame:
         """``rows`` with the canonical name of a column, or the name itself."""
         known = self.table(rows.sparkSession).withColumnRenamed("canonical", "__canonical")

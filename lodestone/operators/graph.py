@@ -51,11 +51,14 @@ def year_from(column: str, year: int | None) -> Column:
     return F.lit(True) if year is None else F.col(column).isNull() | (F.col(column) >= year)
 
 
-def neighbours(relations: DataFrame, types: Sequence[str]) -> DataFrame:
-    """(a, b) in both directions, distinct."""
-    some = relations.filter(F.col("type").isin(*types))
-    there = some.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def neighbours(relations: DataFrame, types: Sequence[str], around: DataFrame | None = None) -> DataFrame:
+    """(a, b) in both directions, distinct; ``around`` (column id): only those with a among its ids, cut down before anything is doubled."""
+    there = relations.filter(F.col("type").isin(*types)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    if around is not None:
+        ids = around.select(F.col("id").alias("a")).distinct()
+        there, back = there.join(ids, "a", "left_semi"), back.join(ids, "a", "left_semi")
+    return there.unionByName(back).distinct()
 
 
 def co_mentions(mentions: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

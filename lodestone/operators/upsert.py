@@ -12,13 +12,24 @@ from lodestone import session
 def one_per_key(rows: DataFrame, keys: Sequence[str], ord_col: str | None = None, last: bool = True) -> DataFrame:
     """The last (or first) row of each key by ``ord_col``; without an order the greatest row, so that the result is fixed."""
     rest = [c for c in rows.columns if c not in keys]
-    by = F.struct(*([ord_col] if ord_col else []), *rest)
+    # Maps have no order of their own; their text has.
+    orderable = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in rows.dtypes if c in rest]
+    by = F.struct(*([ord_col] if ord_col else []), *orderable)
     picked = rows.groupBy(*keys).agg((F.max_by if last else F.min_by)(F.struct(*rest), by).alias("r"))
     return picked.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest if c != ord_col))
 
 
-def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], rules: dict[str, str]) -> DataFrame:
-    """Full outer merge by key. Rules: new (overwrite), keep (first stays), max, or, coalesce (new unless null)."""
+def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], rules: dict[str, str], ord_col: str | None = None) -> DataFrame:
+    """Full outer merge by key. Rules: new (overwrite), keep (first stays), max, or, coalesce (new unless null).
+
+    Of new rows with one key the last by ``ord_col`` counts (without an order the greatest);
+    what only grows takes the most of all of them. Grouping and joining share one exchange.
+    """
+    grows = {c: {"max": F.max, "or": F.bool_or}[r] for c, r in rules.items() if r in ("max", "or") and c in new.columns}
+    picked = one_per_key(new, keys, ord_col)
+    if grows:
+        picked = picked.drop(*grows).join(new.groupBy(*keys).agg(*(f(c).alias(c) for c, f in grows.items())), list(keys))
+    new = picked
     both = old.withColumn("__old", F.lit(True)).alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), list(keys), "full_outer")
 
     def value(c: str) -> Column:
@@ -31,7 +42,7 @@ def merge(old: DataFrame, new: DataFrame, keys: Sequence[str], rules: dict[str,
 
 
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
-    return new.select(*old.columns).unionByName(old.join(new.select("doc_id"), "doc_id", "left_anti"))
+    return merge(old, new.select(*old.columns), ["doc_id"], {})
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -85,18 +96,30 @@ def split_failed(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename: what is read from ``path`` may be part of ``df``."""
+    """Write beside ``path`` and rename: what is read from ``path`` may be part of ``df``.
+
+    The old table is moved aside before the new one is moved in and deleted after that, so at
+    any moment a whole table is at ``path`` or at ``path.old``; ``recovered`` puts one back.
+    """
     spark: SparkSession = df.sparkSession
-    staging = f"{path}.new"
-    df.write.mode("overwrite").parquet(staging)
-    jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    session.drop_path(spark, path)
-    fs.rename(source, target)
+    recovered(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if session.exists(spark, path):
+        session.move(spark, path, f"{path}.old")
+    session.move(spark, f"{path}.new", path)
+    session.drop_path(spark, f"{path}.old")
     spark.catalog.refreshByPath(path)
 
 
+def recovered(spark: SparkSession, path: str) -> None:
+    """After a swap that broke off: the old table back in its place, or gone where the new one is."""
+    if session.exists(spark, f"{path}.old"):
+        if session.exists(spark, path):
+            session.drop_path(spark, f"{path}.old")
+        else:
+            session.move(spark, f"{path}.old", path)
+
+
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that break uniqueness."""
     return rows.groupBy(*keys).count().filter("count > 1")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestone import session
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; -1 where one is null, empty or zero, or where sizes differ."""
@@ -26,6 +31,47 @@ def vector_search(chunks: DataFrame, vector: Sequence[float], top_k: int, docume
     return found if documents is None else found.join(documents.select("doc_id", "title", "year"), "doc_id", "left")
 
 
+def search_many(chunks: DataFrame, questions: DataFrame, top_k: int, *, id_col: str = "chunk_id", question_col: str = "question_id", block: int = 512) -> DataFrame:
+    """(question_id, chunk_id, score): the ``top_k`` nearest chunks of every question (question_id, vector); ties by chunk id.
+
+    Exact, in blocks of ``block`` questions, which are what executors get at a time: one scan of
+    the chunks serves a block, as products of matrices, and each batch passes on its own best
+    ``top_k`` of every question. Chunks without a usable vector aren't found; questions of
+    another dimension, or zero, find nothing.
+    """
+    spark = session.prepare(chunks.sparkSession)
+    usable = lambda c: F.col(c).isNotNull() & (F.size(c) > 0)
+    asked = questions.filter(usable("vector")).select(F.col(question_col).cast("string").alias("q"), F.col("vector").cast("array<double>").alias("v"))
+    n = max(1, math.ceil(asked.count() / block))
+    kind, out = dict(chunks.dtypes)[id_col], None
+    for turn in range(n):
+        mine = asked.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == turn).orderBy("q").toPandas()
+        mine = mine[[any(v) for v in mine["v"]]]
+        by_size = {size: (some["q"].tolist(), np.stack(some["v"].tolist())) for size, some in mine.groupby(mine["v"].map(len))}
+        held = spark.sparkContext.broadcast({size: (q, v / np.linalg.norm(v, axis=1, keepdims=True)) for size, (q, v) in by_size.items()})
+
+        def search(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for size, some in frame.groupby(frame["embedding"].map(len)):
+                    if size not in held.value:
+                        continue
+                    names, vectors = held.value[size]
+                    rows = np.stack(some["embedding"].tolist()).astype(float)
+                    norms = np.linalg.norm(rows, axis=1)
+                    some, rows = some[norms > 0].reset_index(drop=True), rows[norms > 0] / norms[norms > 0, None]
+                    score = vectors @ rows.T
+                    order = np.lexsort((np.broadcast_to(some["id"].rank().to_numpy(), score.shape), -score), axis=1)[:, :top_k]
+                    question, place = np.nonzero(np.ones_like(order)) if order.size else (np.empty(0, int), np.empty(0, int))
+                    best = order[question, place]
+                    found = pd.DataFrame({"q": [names[k] for k in question], "id": some["id"].to_numpy()[best], "score": score[question, best]})
+                    yield found[found["score"].notna()]
+
+        rows = chunks.filter(usable("embedding")).select(F.col(id_col).alias("id"), "embedding").mapInPandas(search, f"q string, id {kind}, score double")
+        out = rows if out is None else out.unionByName(rows)
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return out.withColumn("n", place).filter(F.col("n") <= top_k).select(F.col("q").alias(question_col), F.col("id").alias(id_col), "score")
+
+
 def one_dimension(chunks: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose vector has the table's dimension, and the others with the reason."""
     fits = F.col("embedding").isNull() | (F.size("embedding") == dim)

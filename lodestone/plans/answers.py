@@ -45,20 +45,28 @@ def event(code: str, detail: str, level: int = logging.INFO) -> None:
     log.log(level, json.dumps({"event": code, "detail": detail[:500]}, ensure_ascii=False))
 
 
-def evidence(g: GraphTables, intent: terms.Intent, thesaurus: terms.Thesaurus, question: Sequence[float], top_k: int = 8) -> dict[str, DataFrame]:
+def evidence(g: GraphTables, intent: terms.Intent, thesaurus: terms.Thesaurus, question: Sequence[float] | None, top_k: int = 8, execute: Callable[..., dict[str, DataFrame]] = templates.execute) -> dict[str, DataFrame]:
     """Chunks (at most 12) from the graph and the vector search, and contradictions among the graph's nodes.
 
-    Without a template the vector side stands alone.
+    Without a template, or where planning it fails (SEARCH-006), the vector side stands alone;
+    without a vector (SEARCH-004) the graph does, in order of chunk ids; without both there are no chunks.
     """
-    hits = vector.vector_search(g.chunks, question, top_k)
+    hits = vector.vector_search(g.chunks, question, top_k) if question is not None else g.chunks.select("*", F.lit(0.0).alias("score")).limit(0)
+    found = None
+    if intent.template != "rag_fallback":
+        try:
+            found = execute(g, intent.template, **terms.parameters(intent, thesaurus))
+        except Exception as error:
+            event("SEARCH-006", f"{intent.template}: {error}", logging.WARNING)
     order = lambda rows: rows.select("chunk_id", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")).alias("rank"))
-    if intent.template == "rag_fallback":
+    if found is None:
         event("SEARCH-001", intent.question)
         picked, pairs, nodes = order(hits).select("chunk_id", F.col("rank").alias("position")), None, None
     else:
-        found = templates.execute(g, intent.template, **terms.parameters(intent, thesaurus))
         # The merge takes twelve at most, so the best twelve of the graph are enough for it.
-        ranked = vector.rank_graph_chunks(found["chunk_ids"].withColumn("ord", F.col("chunk_id")), hits, g.chunks, question).orderBy(F.desc("score"), "chunk_id").limit(12)
+        candidates = found["chunk_ids"].withColumn("ord", F.col("chunk_id"))
+        scored = vector.rank_graph_chunks(candidates, hits, g.chunks, question) if question is not None else candidates.withColumn("score", F.lit(0.0))
+        ranked = scored.orderBy(F.desc("score"), "chunk_id").limit(12)
         picked, pairs, nodes = vector.merge_with_quota(order(ranked), order(hits)), found["contradiction_pairs"], found["node_ids"]
     rows = picked.join(g.chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(g.documents.select("doc_id", "title", "year"), "doc_id", "left")
     rows = rows.select("position", "chunk_id", "doc_id", "title", "year", "text", text.quote(F.col("text")).alias("quote"))
@@ -80,13 +88,21 @@ def extract(rows: Sequence[dict], sentences: int = 2) -> str:
     return "\n".join(out)
 
 
-def answer(g: GraphTables, question: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], *, thesaurus: terms.Thesaurus | None = None, synthesise: Callable[[str, str], str] | None = None, top_k: int = 8) -> Answer:
-    """Route, collect evidence, synthesise (twice at most, else extracts) and cite."""
+def answer(g: GraphTables, question: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], *, thesaurus: terms.Thesaurus | None = None, synthesise: Callable[[str, str], str] | None = None, top_k: int = 8, most_nodes: int = 5000, most_pairs: int = 200) -> Answer:
+    """Route, collect evidence, synthesise (twice at most, else extracts) and cite.
+
+    The driver gets twelve chunks, and ``most_nodes`` and ``most_pairs`` at most of the rest, in order of their ids.
+    """
     thesaurus = thesaurus or terms.Thesaurus()
     intent = terms.route(question, thesaurus)
-    found = evidence(g, intent, thesaurus, list(embed([question])[0]), top_k)
+    try:
+        asked = list(embed([question])[0])
+    except Exception as error:  # a service may fail in any way
+        event("SEARCH-004", str(error), logging.WARNING)
+        asked = None
+    found = evidence(g, intent, thesaurus, asked, top_k)
     rows = [r.asDict() for r in found["chunks"].orderBy("position").collect()]
-    nodes = sorted(r.id for r in found["node_ids"].collect()) if found["node_ids"] is not None else []
+    nodes = [r.id for r in found["node_ids"].orderBy("id").limit(most_nodes).collect()] if found["node_ids"] is not None else []
     if not rows:
         return Answer(question, "в корпусе не найдено", False, node_ids=nodes)
     said = None
@@ -104,7 +120,7 @@ def answer(g: GraphTables, question: str, embed: Callable[[Sequence[str]], Seque
     if found["contradictions"] is not None:
         known = g.chunks.select("chunk_id", F.col("text")).join(found["contradictions"].select("chunk_id").distinct(), "chunk_id", "left_semi")
         pairs = found["contradictions"].join(known, "chunk_id", "left").join(g.documents.select("doc_id", "title", "year"), "doc_id", "left").withColumn("quote", text.quote(F.col("text")))
-        against = [(r.name_a or r.node_a_id, r.name_b or r.node_b_id, cite(r.asDict())) for r in pairs.orderBy("node_a_id", "node_b_id").collect()]
+        against = [(r.name_a or r.node_a_id, r.name_b or r.node_b_id, cite(r.asDict())) for r in pairs.orderBy("node_a_id", "node_b_id", "chunk_id").limit(most_pairs).collect()]
     return Answer(question, said, True, [cite(r) for r in rows], against, nodes)
 
 
@@ -119,8 +135,10 @@ def between_years(rows: DataFrame, first: int | None = None, last: int | None =
 
 
 def shown_nodes(nodes: DataFrame, types: Sequence[str] | None, most: int = 60) -> DataFrame:
+    """The ``most`` most mentioned nodes of the types, ties by id."""
     kept = nodes if types is None else nodes.filter(F.col("type").isin(*types))
-    return kept.limit(most)
+    rank = [F.desc_nulls_last("n_mentions")] if "n_mentions" in nodes.columns else []
+    return kept.orderBy(*rank, "id").limit(most)
 
 
 def shown_edges(edges: DataFrame, nodes: DataFrame, least: float = 0.0) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import logging
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lodestone import session
+from lodestone.operators import vector
 from lodestone.operators.graph import GraphTables
 from lodestone.plans import templates
 
@@ -38,7 +42,8 @@ def gap_cells(g: GraphTables, material_terms: Sequence[str], process_terms: Sequ
     if limit < 0:
         raise ValueError(f"ANALYTICS-002: a limit of {limit}")
     rows, order = ordered_cells(templates.gap_matrix(g, material_terms, process_terms, None), **topics)
-    cells = cap_per_material(rows, order, per_material).orderBy(*order).limit(limit)
+    # At most ``limit`` rows, read twice below: the pairs are made once.
+    cells = session.stored(cap_per_material(rows, order, per_material).orderBy(*order).limit(limit), "cells")
     out = cells.join(conditions(g, cells), ["material_id", "process_id"], "left")
     return out.select(F.col("material_name").alias("material"), F.col("process_name").alias("process"), F.coalesce("condition", F.lit("")).alias("condition"), F.col("n_sources").cast("long").alias("n_sources"), "material_id", "process_id")
 
@@ -63,3 +68,62 @@ def expert_key(title):
 def distinct_experts(items: DataFrame) -> DataFrame:
     """The first item (least ``ord``) of each expert."""
     return items.withColumn("n", F.row_number().over(W.partitionBy(expert_key(F.col("title"))).orderBy("ord"))).filter("n = 1").drop("n")
+
+
+#: The kinds of recommendations in the order in which they are shown.
+KINDS = ("similar_case", "expert", "adjacent_topic")
+RECOMMENDATION = "kind string, place int, id string, title string, reason string, score double"
+
+
+def _tolerant(spark, code: str, branch: Callable[[], DataFrame]) -> DataFrame:
+    """What a branch gives, worked out here so that its failure is known; a failed branch gives nothing and leaves a line in the log."""
+    try:
+        return session.stored(branch(), "recommended")
+    except Exception as error:
+        logging.getLogger("lodestone").warning(json.dumps({"event": code, "detail": str(error)[:500]}, ensure_ascii=False))
+        return spark.createDataFrame([], RECOMMENDATION)
+
+
+def recommendations(g: GraphTables, question: Sequence[float] | Callable[[], Sequence[float]] | None, cited: DataFrame, node_ids: DataFrame, top_k: int = 3, pool: int = 40) -> DataFrame:
+    """(kind, place, id, title, reason, score): up to ``top_k`` of each kind for an answer that cites ``cited`` (chunk_id, doc_id).
+
+    Similar cases are the best chunks of documents that aren't cited among the ``pool`` nearest
+    (ANALYTICS-003 where the vector side fails), experts are told apart by the parts of their
+    names, adjacent topics are neighbours of ``node_ids`` (ANALYTICS-004 where a query fails).
+    One kind's failure leaves the others.
+    """
+    spark = cited.sparkSession
+    if top_k < 0:
+        raise ValueError(f"ANALYTICS-002: a limit of {top_k}")
+
+    def of(rows: DataFrame, kind: str, order: list, key: str, title: str, reason: str, score: str) -> DataFrame:
+        place = F.row_number().over(W.orderBy(*order))  # over top_k rows
+        return rows.select(F.lit(kind).alias("kind"), place.alias("place"), F.col(key).cast("string").alias("id"), F.col(title).alias("title"), F.col(reason).cast("string").alias("reason"), F.col(score).cast("double").alias("score"))
+
+    def similar() -> DataFrame:
+        asked = question() if callable(question) else question
+        if asked is None:
+            raise ValueError("no vector of the question")
+        hits = vector.vector_search(g.chunks, asked, pool).select("chunk_id", "doc_id", "score")
+        best = vector.best_per_document(hits, cited, top_k).join(g.documents.select("doc_id", "title", "year"), "doc_id", "left")
+        return of(best, KINDS[0], [F.desc("score"), "chunk_id"], "doc_id", "title", "chunk_id", "score")
+
+    def experts() -> DataFrame:
+        # Twice as many, for names that turn out to be one person's.
+        found = templates.recommendation_expert(g, cited.select("chunk_id"), cited.select("doc_id"), node_ids, 2 * top_k)
+        order = [F.desc("n_matched_sources"), F.desc("n_mentions"), "id"]
+        found = distinct_experts(found.withColumn("title", F.col("name")).withColumn("ord", F.row_number().over(W.orderBy(*order)))).orderBy("ord").limit(top_k)
+        return of(found, KINDS[1], ["ord"], "id", "name", "n_matched_sources", "n_mentions")
+
+    def adjacent() -> DataFrame:
+        found = adjacent_topics(templates.recommendation_adjacent(g, node_ids), top_k).withColumn("preferred", F.col("type").isin("Material", "Process", "Property"))
+        return of(found, KINDS[2], [F.desc("preferred"), F.desc("n_mentions"), "id"], "id", "name", "via_name", "n_mentions")
+
+    return _tolerant(spark, "ANALYTICS-003", similar).unionByName(_tolerant(spark, "ANALYTICS-004", experts)).unionByName(_tolerant(spark, "ANALYTICS-004", adjacent))
+
+
+def grouped(items: DataFrame) -> DataFrame:
+    """(kind, items): recommendations by kind in the fixed order; kinds without any don't occur, unknown kinds come last."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)), F.lit(len(KINDS) + 1))
+    found = items.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("place", "id", "title", "reason", "score"))).alias("items"))
+    return found.orderBy(rank, "kind")

@@ -102,14 +102,14 @@ def I7_gap_cell_context(spark, sf_dir):
 _THEMES = "SELECT e.id AS node_id, name, type AS entity_type, coalesce(doc_geographies, '') AS doc_geographies FROM g_entities e LEFT JOIN ds ON ds.id = e.id WHERE type IN ('Material', 'Process') AND n_mentions >= 2 ORDER BY n_mentions DESC, e.id LIMIT 5000"
 
 
-@query(sql(f", {_DS} {_THEMES}", "l_quantity >= 50"))
+@query(sql(f", {_DS} {_THEMES}"))
 def I8_geography_themes(spark, sf_dir):
-    return templates.geography_themes(project(spark, sf_dir, 50), 2).withColumn("doc_geographies", F.array_join("doc_geographies", ","))
+    return templates.geography_themes(project(spark, sf_dir), 2).withColumn("doc_geographies", F.array_join("doc_geographies", ","))
 
 
-@query(sql(f", {_DS}, t AS ({_THEMES}) SELECT node_id, name, doc_geographies AS side FROM t WHERE doc_geographies IN ('ru', 'foreign')", "l_quantity >= 50"))
+@query(sql(f", {_DS}, t AS ({_THEMES}) SELECT node_id, name, doc_geographies AS side FROM t WHERE doc_geographies IN ('ru', 'foreign')"))
 def E15_only_one_side(spark, sf_dir):
-    return gaps.only_here(templates.geography_themes(project(spark, sf_dir, 50), 2))
+    return gaps.only_here(templates.geography_themes(project(spark, sf_dir), 2))
 
 
 _KEPT = f"kept AS (SELECT * FROM g_entities WHERE id IN ({IDS}) ORDER BY n_mentions DESC, id LIMIT 4)"

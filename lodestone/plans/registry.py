@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import catalog, data_queries, graph_queries  # noqa: F401  (they register themselves)
+from lodestone.plans import catalog, data_queries, graph_queries, more_queries  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict:

@@ -1,5 +1,6 @@
-"""The parametrised graph queries. Each set of collected values is aggregated by node on its own and joined back,
-so no branch multiplies another; every limit has a total order."""
+"""The parametrised graph queries. Nodes are ranked and limited by their own columns first; then each set of collected
+values is aggregated by node on its own and joined back, so no branch multiplies another and only the rows that are
+returned collect anything. Every limit has a total order."""
 
 from __future__ import annotations
 
@@ -33,9 +34,8 @@ def _ranked(rows: DataFrame, down: Sequence[str], limit: int, *ties: str) -> Dat
 
 def desalination_methods(g: GraphTables, process_terms: Sequence[str], param_terms: Sequence[str] = (), limit: int = 30) -> DataFrame:
     """Processes by name with what they relate to (all types but contradictions), constraints and chunks."""
-    p = named(g.of_type("Process"), process_terms)
-    links = neighbours(g.relations, [t for t in RELATION_TYPES if t != CONTRADICTS])
-    related = links.join(p.select(F.col("id").alias("a")), "a").join(g.entities.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
+    p = _ranked(named(g.of_type("Process"), process_terms), ("is_tech_solution", "confidence", "n_mentions"), limit, "id")
+    related = neighbours(g.relations, [t for t in RELATION_TYPES if t != CONTRADICTS], p).join(g.entities.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b")
     related = related.groupBy(F.col("a").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("b").alias("id"), F.col("b_name").alias("name")))).alias("related"))
     out = p.join(related, "id", "left").join(constraint_sets(g, p, param_terms), "id", "left").join(chunk_sets(g, p), "id", "left")
     out = out.select(F.col("id").alias("node_id"), *NODE, or_empty("related", "array<struct<id:string,name:string>>"), or_empty("constraints", CONSTRAINT), or_empty("chunk_ids"))
@@ -46,8 +46,9 @@ def desalination_methods(g: GraphTables, process_terms: Sequence[str], param_ter
 def catholyte_circulation(g: GraphTables, material_terms: Sequence[str], param_terms: Sequence[str] = (), limit: int = 30) -> DataFrame:
     """A row for each material found and process that practises it; constraints and chunks are the process's."""
     m = named(g.of_type("Material"), material_terms).select(F.col("id").alias("material_id"), F.col("name").alias("material_name"))
-    pairs = neighbours(g.relations, PRACTICE).join(m.withColumn("a", F.col("material_id")), "a")
+    pairs = neighbours(g.relations, PRACTICE, m.select(F.col("material_id").alias("id"))).join(m.withColumn("a", F.col("material_id")), "a")
     rows = pairs.withColumnRenamed("b", "id").drop("a").join(g.of_type("Process"), "id")
+    rows = _ranked(rows, ("is_tech_solution", "confidence", "n_mentions"), limit, "id", "material_id")
     p = rows.select("id").distinct()
     out = rows.join(constraint_sets(g, p, param_terms), "id", "left").join(chunk_sets(g, p), "id", "left")
     out = out.select(F.col("id").alias("node_id"), *NODE, "material_id", "material_name", or_empty("constraints", CONSTRAINT), or_empty("chunk_ids"), F.array("id", "material_id").alias("node_ids"))
@@ -60,7 +61,8 @@ def experiments_publications_by_topic(g: GraphTables, material_terms: Sequence[s
     e = g.of_type("Experiment", "Publication")
     met = co_mentions(g.mentions, m, e).join(m.select(F.col("id").alias("a"), F.col("name").alias("material")), "a")
     met = met.join(g.chunks.select("chunk_id", "doc_id"), "chunk_id", "left").join(g.documents.select("doc_id", "year"), "doc_id", "left").filter(year_from("year", year))
-    sets = met.groupBy(F.col("b").alias("id")).agg(set_of("material", "materials"), set_of("year", "years"), set_of("chunk_id", "chunk_ids"))
+    e = _ranked(e.join(met.select(F.col("b").alias("id")).distinct(), "id", "left_semi"), ("confidence", "n_mentions"), limit, "id")
+    sets = met.join(e.select(F.col("id").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(set_of("material", "materials"), set_of("year", "years"), set_of("chunk_id", "chunk_ids"))
     out = e.join(sets, "id").select(F.col("id").alias("node_id"), "name", F.col("type").alias("entity_kind"), "confidence", "n_mentions", "materials", "years", "chunk_ids", F.array("id").alias("node_ids"))
     return _ranked(out, ("confidence", "n_mentions"), limit, "node_id")
 
@@ -70,7 +72,7 @@ def mine_water_injection(g: GraphTables, process_terms: Sequence[str], material_
     processes = g.of_type("Process")
     met = co_mentions(g.mentions, named(g.of_type("Material"), material_terms), processes).select(F.col("b").alias("id"))
     ids = named(processes, process_terms).select("id").unionByName(met).distinct()
-    p = processes.join(ids, "id", "left_semi")
+    p = _ranked(processes.join(ids, "id", "left_semi"), ("is_tech_solution", "confidence", "n_mentions"), limit, "id")
     out = p.join(document_sets(g, p).drop("doc_ids"), "id", "left").join(constraint_sets(g, p, param_terms), "id", "left").join(chunk_sets(g, p), "id", "left")
     out = out.select(F.col("id").alias("node_id"), *NODE, or_empty("doc_geographies"), or_empty("constraints", CONSTRAINT), or_empty("chunk_ids"), F.array("id").alias("node_ids"))
     return _ranked(out, ("is_tech_solution", "confidence", "n_mentions"), limit, "node_id")
@@ -78,7 +80,7 @@ def mine_water_injection(g: GraphTables, process_terms: Sequence[str], material_
 
 def compare_ru_foreign(g: GraphTables, terms: Sequence[str], limit: int = 50) -> DataFrame:
     """Entities of any type by name, in order of their geography."""
-    n = named(g.entities, terms)
+    n = named(g.entities, terms).orderBy(F.col("geography").asc_nulls_last(), F.col("confidence").desc_nulls_last(), F.col("n_mentions").desc_nulls_last(), "id").limit(limit)
     out = n.join(document_sets(g, n), "id", "left").join(chunk_sets(g, n), "id", "left")
     out = out.select(F.col("id").alias("node_id"), "name", "name_en", F.col("type").alias("entity_type"), F.col("geography").alias("node_geography"), or_empty("doc_geographies"), or_empty("doc_ids"), "confidence", "n_mentions", or_empty("chunk_ids"), F.array("id").alias("node_ids"))
     return out.orderBy(F.col("node_geography").asc_nulls_last(), F.col("confidence").desc_nulls_last(), F.col("n_mentions").desc_nulls_last(), "node_id").limit(limit)
@@ -92,7 +94,7 @@ def gap_pairs(g: GraphTables, materials: DataFrame, processes: DataFrame) -> Dat
     """
     m = materials.select(F.col("id").alias("material_id"), F.col("name").alias("material_name"), F.coalesce("n_mentions", F.lit(0)).cast("long").alias("material_n_mentions"))
     p = processes.select(F.col("id").alias("process_id"), F.col("name").alias("process_name"), F.coalesce("n_mentions", F.lit(0)).cast("long").alias("process_n_mentions"))
-    linked = neighbours(g.relations, PRACTICE).select(F.col("a").alias("material_id"), F.col("b").alias("process_id"))
+    linked = neighbours(g.relations, PRACTICE, materials).select(F.col("a").alias("material_id"), F.col("b").alias("process_id"))
     met = co_mentions(g.mentions, materials, processes).groupBy(F.col("a").alias("material_id"), F.col("b").alias("process_id")).agg(F.countDistinct("chunk_id").alias("n_sources"), set_of("chunk_id", "chunk_ids"))
     pairs = m.crossJoin(p).join(linked, ["material_id", "process_id"], "left_anti").join(met, ["material_id", "process_id"], "left")
     return pairs.select("material_id", "material_name", "process_id", "process_name", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), or_empty("chunk_ids"), F.array("material_id", "process_id").alias("node_ids"), "material_n_mentions", "process_n_mentions")
@@ -124,7 +126,7 @@ def number_text(column: str):
 
 def geography_themes(g: GraphTables, min_mentions: int = 3, limit: int = 5000) -> DataFrame:
     """Materials and processes with enough mentions, and the geographies of their documents."""
-    n = g.of_type("Material", "Process").filter(F.col("n_mentions") >= min_mentions)
+    n = g.of_type("Material", "Process").filter(F.col("n_mentions") >= min_mentions).orderBy(F.desc("n_mentions"), "id").limit(limit)
     out = n.join(document_sets(g, n).drop("doc_ids"), "id", "left").orderBy(F.desc("n_mentions"), "id").limit(limit)
     return out.select(F.col("id").alias("node_id"), "name", F.col("type").alias("entity_type"), or_empty("doc_geographies"))
 
@@ -156,7 +158,7 @@ def recommendation_expert(g: GraphTables, chunk_ids: DataFrame, doc_ids: DataFra
     by_chunk = mine.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
     by_doc = mine.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*by_chunk.columns)
     matched = by_chunk.unionByName(by_doc).distinct()
-    near = neighbours(g.relations, RELATION_TYPES).join(node_ids.select(F.col("id").alias("b")).distinct(), "b", "left_semi").select(F.col("a").alias("id"))
+    near = neighbours(g.relations, RELATION_TYPES, node_ids).select(F.col("b").alias("id"))
     found = experts.join(matched.select(F.col("entity_id").alias("id")).unionByName(near).distinct(), "id", "left_semi")
     sets = matched.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("doc_id").alias("n"), set_of("chunk_id", "sample_chunk_ids"))
     out = found.join(sets, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n_matched_sources"), or_empty("sample_chunk_ids"), F.coalesce("n_mentions", F.lit(0)).cast("long").alias("n_mentions"))
@@ -166,7 +168,7 @@ def recommendation_expert(g: GraphTables, chunk_ids: DataFrame, doc_ids: DataFra
 def recommendation_adjacent(g: GraphTables, node_ids: DataFrame) -> DataFrame:
     """Neighbours of the nodes by relation or shared chunk, without the nodes; all of them, for ranking before any limit."""
     ids = node_ids.select("id").distinct()
-    near = neighbours(g.relations, RELATION_TYPES).join(ids.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+    near = neighbours(g.relations, RELATION_TYPES, ids).select("a", "b")
     mine = g.mentions.join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select(F.col("entity_id").alias("a"), "chunk_id")
     met = mine.join(g.mentions.select(F.col("entity_id").alias("b"), "chunk_id"), "chunk_id").select("a", "b")
     pairs = near.unionByName(met).distinct().join(ids.select(F.col("id").alias("b")), "b", "left_anti")

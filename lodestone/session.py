@@ -96,6 +96,19 @@ def _file(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file(spark, path)
+    return files.exists(target)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename, or fail: a store may refuse without an error of its own."""
+    source, files = _file(spark, path)
+    target, _ = _file(spark, to)
+    if files.exists(target) or not files.rename(source, target):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file of any store that Spark reads."""
     target, files = _file(spark, path)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import subprocess
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodestone import session
 from lodestone.functions import text
+from lodestone.functions.chunking import without_boilerplate
 
 # Schemas of the tables, extensions and namespaces.
 CONSTRAINT = "struct<param:string,op:string,value:double,value_max:double,unit:string,norm_value:double,norm_unit:string,source_text:string>"
@@ -35,13 +38,15 @@ def read_jsonl(spark: SparkSession, path: str, kind: str, strict: bool = True, l
     rows = spark.read.schema(T._parse_datatype_string(SCHEMAS[kind])).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     if limit is None:
         return rows
-    numbered = rows.withColumn("row_ord", F.monotonically_increasing_id())
-    return numbered.orderBy("row_ord").limit(limit).drop("row_ord")
+    return with_order(rows).orderBy("row_ord").limit(limit).drop("row_ord")
 
 
 def with_order(rows: DataFrame) -> DataFrame:
-    """``row_ord``: rising with the place of a row in its input."""
-    return rows.withColumn("row_ord", F.monotonically_increasing_id())
+    """``row_ord`` of rows just read from files: file, where its part of the file begins, and place in it.
+
+    It rises with the place of a row in its input, however files are dealt to tasks.
+    """
+    return rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("row_ord"))
 
 
 def invalid(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
@@ -79,34 +84,82 @@ def _slides(archive: zipfile.ZipFile) -> list[str]:
 READERS = {".docx": _word, ".docm": _word, ".pptx": _slides}
 
 
-def convert(content: bytes, ext: str) -> tuple[str | None, str, str, str, str | None]:
-    """(text, title, author, created, error) of an office file; PDF and old Word files need a backend that isn't part of this."""
+#: (pages or paragraphs, title, author, created) of a file's bytes.
+Backend = Callable[[bytes], tuple[list[str], str, str, str]]
+
+
+def legacy_word(program: str = "soffice", seconds: int = 120) -> Backend:
+    """A backend for old Word files by an office program on the executors: converted to a new one, then read as such."""
+
+    def read(content: bytes) -> tuple[list[str], str, str, str]:
+        with tempfile.TemporaryDirectory() as folder:
+            with open(f"{folder}/in.doc", "wb") as f:
+                f.write(content)
+            subprocess.run([program, "--headless", "--convert-to", "docx", "--outdir", folder, f"{folder}/in.doc"], check=True, timeout=seconds, capture_output=True)
+            with zipfile.ZipFile(f"{folder}/in.docx") as archive:
+                return _word(archive), *_core(archive)
+
+    return read
+
+
+def pdf_pages(content: bytes) -> tuple[list[str], str, str, str]:
+    """A backend for PDF by the ``pypdf`` library, where it is installed; a page each."""
+    import pypdf
+
+    reader = pypdf.PdfReader(io.BytesIO(content))
+    if reader.is_encrypted:
+        raise ValueError("encrypted")
+    meta = reader.metadata or {}
+    return [p.extract_text() or "" for p in reader.pages], *(str(meta.get(k) or "").strip() for k in ("/Title", "/Author", "/CreationDate"))
+
+
+def convert(content: bytes, ext: str, backends: dict[str, Backend] | None = None) -> tuple[list[str] | None, str, str, str, str | None]:
+    """(pages, title, author, created, error) of a file; formats without a reader of ours need a backend, which may fail in any way."""
+    if backend := (backends or {}).get(ext):
+        try:
+            return *backend(content), None
+        except Exception as error:
+            return None, "", "", "", f"INGEST-001: {type(error).__name__}: {error}"[:300]
     if ext not in READERS:
         return None, "", "", "", f"INGEST-001: no reader for {ext or 'files without extension'}"
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             lines = [x for x in READERS[ext](archive) if x.strip()]
-            return "\n".join(lines), *_core(archive), None
+            return ["\n".join(lines)], *_core(archive), None
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
         return None, "", "", "", f"INGEST-001: {error}"
 
 
-def documents(found: DataFrame, this_year: int, least_chars: int = 200) -> DataFrame:
-    """Converted, cleaned documents with metadata, and ``error`` (code, reason) on those that failed or are too short."""
+#: Formats whose texts are pages with running headers.
+PAGED = (".pdf",)
+
+
+def documents(found: DataFrame, this_year: int, least_chars: int = 200, backends: dict[str, Backend] | None = None) -> DataFrame:
+    """Converted, cleaned documents with metadata, and ``error`` (code, reason) on those that failed or are too short.
+
+    Running headers and footers go from paged formats. ``backends`` by extension read what this module can't.
+    """
     session.prepare(found.sparkSession)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [convert(bytes(c), e) for c, e in zip(frame["content"], frame["ext"])]
-            yield frame.drop(columns="content").assign(**{k: [o[i] for o in out] for i, k in enumerate(("raw", "meta_title", "author", "created", "failure"))})
+            out = [convert(bytes(c), e, backends) for c, e in zip(frame["content"], frame["ext"])]
+            yield frame.drop(columns="content").assign(**{k: [o[i] for o in out] for i, k in enumerate(("pages", "meta_title", "author", "created", "failure"))})
 
     columns = "path string, rel_path string, source_folder string, ext string, doc_id string, supported boolean"
-    rows = found.mapInPandas(read, f"{columns}, raw string, meta_title string, author string, created string, failure string")
+    rows = found.mapInPandas(read, f"{columns}, pages array<string>, meta_title string, author string, created string, failure string")
+    if any(ext in (backends or {}) for ext in PAGED):
+        rows = session.stored(rows, "converted")  # read twice, converted once
+        pages = rows.filter(F.col("ext").isin(*PAGED) & F.col("pages").isNotNull()).select("doc_id", F.posexplode("pages").alias("page", "text"))
+        rows = rows.join(without_boilerplate(pages).withColumnRenamed("text", "body"), "doc_id", "left")
+    else:
+        rows = rows.withColumn("body", F.lit(None).cast("string"))
+    rows = rows.withColumn("raw", F.coalesce("body", F.array_join("pages", "\n")))
     clean = F.coalesce(text.clean_whitespace(F.col("raw")), F.lit(""))
     rows = rows.withColumn("text", clean).withColumn("stem", F.regexp_extract("rel_path", r"([^/]+?)(\.[^./]*)?$", 1))
     failed = F.when(F.col("failure").isNotNull(), F.struct(F.lit("INGEST-001").alias("code"), F.col("failure").alias("reason")))
     short = F.when(F.length("text") < least_chars, F.struct(F.lit("INGEST-002").alias("code"), F.concat(F.length("text").cast("string"), F.lit(" characters")).alias("reason")))
-    made = F.when(F.col("created").rlike("^[0-9]{4}"), F.substring("created", 1, 4).cast("int"))
+    made = text.year_of_pdf_date(F.col("created"))
     return rows.select("doc_id", F.col("rel_path").alias("path"), text.title(F.col("meta_title"), F.col("stem")).alias("title"), text.split_authors(F.col("author")).alias("authors"), text.year(F.col("stem"), made, F.col("text"), this_year).alias("year"), text.detect_lang(F.col("text")).alias("lang"), F.lit("unknown").alias("geography"), "source_folder", F.lit(True).alias("is_core"), "text", F.coalesce(failed, short).alias("error"))
 
 

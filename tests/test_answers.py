@@ -1,9 +1,13 @@
+import dataclasses
+
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import terms
 from lodestone.functions.terms import Thesaurus
 from lodestone.operators import build, providers
 from lodestone.operators.graph import GraphTables
-from lodestone.plans import answers
+from lodestone.plans import answers, gaps
 from lodestone.sources import catalog
 
 
@@ -38,6 +42,39 @@ def test_fallbacks(spark):
     assert not answers.answer(none, "Что угодно", providers.hashed_words).found
 
 
+def test_one_side_of_the_evidence_may_fail(spark):
+    g = graph(spark)
+    intent = terms.route("Методы опреснения воды")
+
+    def broken(*_, **__):
+        raise RuntimeError("no graph today")
+
+    alone = answers.evidence(g, intent, Thesaurus(), providers.hashed_words(["вода"])[0], 2, execute=broken)
+    assert alone["chunks"].count() == 2 and alone["node_ids"] is None and alone["contradictions"] is None
+    graph_only = answers.answer(g, "Методы опреснения воды", broken)
+    assert graph_only.found and {c.chunk_id for c in graph_only.citations} == {"d0#0", "d1#0"}
+    assert not answers.answer(g, "Сколько стоит обед?", broken).found
+
+
+def test_recommendations_tolerate_a_failed_branch(spark):
+    g = graph(spark)
+    experts = spark.createDataFrame([("expert:1", "Expert", "A. Ivanov", "", "ru", False, 0.9, 2), ("expert:2", "Expert", "Ivanov A", "", "ru", False, 0.9, 1), ("property:x", "Property", "x", "", "ru", False, 0.9, 9)], g.entities.schema)
+    g = dataclasses.replace(g, entities=g.entities.unionByName(experts), mentions=g.mentions.unionByName(spark.createDataFrame([("expert:1", "d0#0"), ("expert:2", "d0#0"), ("property:x", "d0#0")], g.mentions.schema)))
+    cited, nodes = spark.createDataFrame([("d0#0", "d0")], "chunk_id string, doc_id string"), spark.createDataFrame([("process:a",)], "id string")
+    whole = gaps.recommendations(g, providers.hashed_words(["Прочее. Текст."])[0], cited, nodes)
+    rows = [(r.kind, [x.id for x in r["items"]]) for r in gaps.grouped(whole).collect()]
+    assert rows == [("similar_case", ["d1"]), ("expert", ["expert:1"]), ("adjacent_topic", ["property:x", "process:b", "expert:1"])]
+
+    def service():
+        raise RuntimeError("refused")
+
+    assert [r.kind for r in gaps.grouped(gaps.recommendations(g, service, cited, nodes)).collect()] == ["expert", "adjacent_topic"]
+    broken = dataclasses.replace(g, relations=spark.createDataFrame([("a",)], "source_id string"))
+    assert [r.kind for r in gaps.grouped(gaps.recommendations(broken, providers.hashed_words(["a"])[0], cited, nodes)).collect()] == ["similar_case"]
+    with pytest.raises(ValueError, match="ANALYTICS-002"):
+        gaps.recommendations(g, None, cited, nodes, -1)
+
+
 def test_embedding_isolates_bad_texts(spark):
     def service(texts):
         if any("bad" in t for t in texts):

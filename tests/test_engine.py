@@ -2,11 +2,13 @@
 
 import glob
 import os
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.functions import chunking, constraints, terms, text
 from lodestone.operators import upsert, vector
 from lodestone.plans import gaps, registry, templates
@@ -176,6 +178,48 @@ def test_swap_and_stream(spark, tmp_path):
     assert not glob.glob(f"{table}.new")
 
 
+def test_one_row_of_each_key_after_a_merge(spark):
+    schema = "id string, name string, n_mentions long, confidence double, is_tech_solution boolean"
+    old = spark.createDataFrame([("a", "A", 1, 0.1, False)], schema)
+    new = spark.createDataFrame([("a", "x", 2, 0.9, False), ("a", "y", 7, 0.2, True), ("b", "p", 3, 0.3, False), ("b", "q", 1, 0.5, False)], schema)
+    rows = sorted(map(tuple, upsert.upsert_entities(old, new).collect()))
+    assert rows == [("a", "A", 7, 0.9, True), ("b", "q", 3, 0.5, False)]
+    chunks = "chunk_id string, text string, embedding array<float>"
+    twice = spark.createDataFrame([("c", "one", None), ("c", "two", [1.0])], chunks)
+    assert [r.text for r in upsert.upsert_chunks(spark.createDataFrame([], chunks), twice).collect()] == ["two"]
+    docs = spark.createDataFrame([("d", 1), ("d", 2)], "doc_id string, year int")
+    assert [tuple(r) for r in upsert.upsert_documents(spark.createDataFrame([("d", 0), ("e", 5)], docs.schema), docs).orderBy("doc_id").collect()] == [("d", 2), ("e", 5)]
+
+
+def test_a_swap_that_broke_off(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.swap_in(spark.range(3), path)
+    session.move(spark, path, f"{path}.old")  # as if the process had ended between the two renames
+    upsert.recovered(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    upsert.swap_in(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and not glob.glob(f"{path}.*")
+    with pytest.raises(OSError):
+        session.move(spark, str(tmp_path / "nothing"), path)
+
+
+def test_search_of_many_questions_equals_one_by_one(spark):
+    rng = random.Random(3)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    chunks = spark.createDataFrame([(f"c{i:02d}", vec()) for i in range(40)] + [("x", None), ("y", [0.0] * 4), ("z", [1.0])], "chunk_id string, embedding array<double>").repartition(3)
+    asked = [(f"q{i}", vec()) for i in range(7)] + [("other", [2.0]), ("zero", [0.0] * 4)]
+    got = {}
+    for r in vector.search_many(chunks, spark.createDataFrame(asked, "question_id string, vector array<double>"), 3, block=2).collect():
+        got.setdefault(r.question_id, []).append((round(r.score, 9), r.chunk_id))
+    assert set(got) == {q for q, v in asked if any(v)}
+    for q, v in asked[:7]:
+        if any(v):
+            want = [round(r.score, 9) for r in vector.vector_search(chunks.filter("chunk_id not in ('x', 'y', 'z')"), v, 3).collect()]
+            assert sorted((s for s, _ in got[q]), reverse=True) == want
+    assert got["other"] == [(1.0, "z")]
+    assert vector.search_many(chunks, spark.createDataFrame([], "question_id string, vector array<double>"), 3).count() == 0
+
+
 def test_bad_geography_is_an_error(spark):
     docs = spark.createDataFrame([("d", "unknown")], "doc_id string, geography string")
     with pytest.raises(Exception, match="GRAPH-006"):
@@ -213,6 +257,37 @@ def test_office_files(spark, tmp_path):
     assert rows["Papers/b.pptx"].error.code == "INGEST-002" and rows["Papers/c.docx"].error.code == "INGEST-001" and len(rows) == 3
 
 
+def test_injected_backends_and_pages(spark, tmp_path):
+    folder = tmp_path / "corpus" / "Papers"
+    folder.mkdir(parents=True)
+    for name in ("a_2001.pdf", "b.pdf", "c.doc"):
+        (folder / name).write_bytes(name.encode())
+
+    def pages(content):
+        if content.startswith(b"b"):
+            raise ValueError("encrypted")
+        return [f"Journal of Water {k}\nThis is the body of page number {k}, which says enough to be kept as a text of its own.\n{k}" for k in range(1, 6)], "Document", "A, B", "D:20030405"
+
+    found = corpus.files(spark, str(tmp_path / "corpus"), ("Papers",))
+    rows = {r.path: r for r in corpus.documents(found, 2026, backends={".pdf": pages, ".doc": corpus.legacy_word("no-such-program")}).collect()}
+    good = rows["Papers/a_2001.pdf"]
+    assert "Journal" not in good.text and good.text.count("body of page") == 5 and (good.title, good.authors, good.year) == ("a 2001", ["A", "B"], 2001)
+    assert rows["Papers/b.pdf"].error.code == "INGEST-001" and "encrypted" in rows["Papers/b.pdf"].error.reason
+    assert rows["Papers/c.doc"].error.code == "INGEST-001"
+
+
+def test_limit_by_the_order_of_lines(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 5000)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"doc_id": "{first + k}", "text": "{"x" * (k % 50)}", "n_chars": 1}}\n' for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several parts a file
+    try:
+        got = [int(r.doc_id) for r in corpus.read_jsonl(spark, str(tmp_path), "texts", limit=5003).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == list(range(5003))
+
+
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "chunks.jsonl"
     path.write_text('{"chunk_id": "a#0", "doc_id": "a", "text": "x", "start": 0, "end": 1, "lang": "en"}\n{"chunk_id": "b#0", "doc_id": "b"}\nbroken\n')
