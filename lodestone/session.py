@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -54,8 +55,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+#: Folders of intermediate tables made in this process, and the session that made them.
+_made: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def made() -> set[str]:
+    """Folders of intermediate tables that are there."""
+    return set(_made)
+
+
+def drop_since(spark: SparkSession, before: set[str], *keep: str) -> None:
+    """Delete intermediate tables made since ``before`` but those to ``keep``."""
+    for path in made() - before - set(keep):
+        drop_path(spark, path)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete the intermediate tables of this process; results that read them must have been written by then. Also done at its end."""
+    while _made:
+        path, spark = _made.popitem()
+        with contextlib.suppress(Exception):  # a table may be gone, or the store with the session
+            drop_path(spark, path)
 
 
 #: Spark's setting that deletes a plan's shuffle files when it has run.
@@ -85,15 +112,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _made.pop(path, None)
+    target, files = _file(spark, path)
+    files.delete(target, True)
 
 
 def _file(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, context = jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc
+    return target, target.getFileSystem(context.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
