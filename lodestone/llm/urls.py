@@ -118,6 +118,23 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-margin))
 
 
+def ruled(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(url, label): URLs that rules decide, as labelled ones."""
+    _, verdict = rule_column(rules)
+    return with_parts(pages, id_col, url_col).select("url", verdict.alias("label")).filter("label is not null")
+
+
+def held_out(labelled: DataFrame, percent: int = 20, **given) -> DataFrame:
+    """How the trees do on labelled URLs that they haven't seen: (label, verdict, n).
+
+    A URL is held out by its hash, so repeated ones are all on one side. ``given`` goes to ``judge``.
+    """
+    side = F.pmod(F.xxhash64("url"), F.lit(100)) < percent
+    asked = labelled.filter(side).select(F.struct("url", "label").alias("page_id"), "url")
+    found = judge(asked, (), labelled.filter(~side), **given)
+    return found.groupBy(F.col("page_id.label").alias("label"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", fit_rows: int = 20_000, most_broadcast: int = 100_000, threshold: float = 0.5) -> DataFrame:
     """Per page: host, path, rule (or null), block score of the trees, verdict (the rule's, else the trees').
 

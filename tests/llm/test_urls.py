@@ -44,3 +44,14 @@ def test_trees_learn(spark):
 
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
+
+
+def test_held_out_urls(spark):
+    """Labels that the lexical features tell: most held-out URLs get theirs; every one is judged once."""
+    rng = np.random.default_rng(3)
+    rows = [(f"http://{'win' if bad else 'news'}{rng.integers(40)}.example.{'biz' if bad else 'org'}/{'/'.join(str(rng.integers(10**6)) for _ in range(3)) if bad else 'a-story-of-' + 'x' * int(rng.integers(20))}", "block" if bad else "allow") for bad in (rng.random(900) < 0.4)]
+    rows = list(dict.fromkeys(rows))
+    found = {(r.label, r.verdict): r.n for r in urls.held_out(spark.createDataFrame(rows, "url string, label string")).collect()}
+    right, total = sum(n for (a, b), n in found.items() if a == b), sum(found.values())
+    assert 0.1 * len(rows) < total < 0.3 * len(rows) and right >= 0.95 * total
+    assert set(urls.ruled(spark.createDataFrame([(1, "http://a.org/x"), (2, "http://a.com/de/"), (3, "http://a.net/"), (4, None)], "page_id long, url string"), URL_RULES).collect()) == {("http://a.org/x", "allow"), ("http://a.com/de/", "block")}
