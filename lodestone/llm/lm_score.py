@@ -128,33 +128,46 @@ class WindowNetwork:
         k = self.window
         return np.stack([classes[at + d] for d in (*range(-k, 0), *range(1, k + 1))], axis=1)
 
-    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.zeros((len(around), self.out.shape[1]), np.float32)
-        for d in range(around.shape[1]):
-            hidden += self.near[d][around[:, d]]
-        logits = hidden @ self.out.T + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return hidden, logits
+    def powers(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each position: what its context adds up to, and a one; the exponentials of all classes' logits, and by how much these were lowered."""
+        hidden = np.empty((len(around), self.out.shape[1] + 1), np.float32)
+        hidden[:, -1] = 1
+        np.take(self.near[0], around[:, 0], axis=0, out=hidden[:, :-1])
+        for d in range(1, around.shape[1]):
+            hidden[:, :-1] += self.near[d][around[:, d]]
+        logits = hidden @ np.c_[self.out, self.bias].T
+        lower = np.zeros(len(around), np.float32)
+        if len(logits) and logits.max() > 60:
+            lower = logits.max(axis=1)
+            logits -= lower[:, None]
+        return hidden, np.exp(logits, out=logits), lower
 
     def score(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, logits = self.logits(around)
-        picked = logits[np.arange(len(target)), target]
-        np.exp(logits, out=logits)
-        return picked - np.log(logits.sum(axis=1))
+        hidden, power, lower = self.powers(around)
+        picked = np.einsum("ij,ij->i", hidden[:, :-1], self.out[target]) + self.bias[target]
+        return picked - lower - np.log(power @ np.ones(power.shape[1], np.float32))
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        """Of the summed log-probability, by all weights."""
-        hidden, logits = self.logits(around)
-        p = np.exp(logits, out=logits)
-        p *= -1 / p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] += 1
-        back, near = p @ self.out, np.zeros_like(self.near)
+        """Of the summed log-probability, by all weights. Probabilities aren't written out: their sums scale the smaller factors."""
+        hidden, power, _ = self.powers(around)
+        back = power @ np.c_[self.out, np.ones(len(self.out), np.float32)]
+        share = hidden / back[:, -1:]
+        out = -(power.T @ share)
+        add_rows(out, target, hidden)
+        back = self.out[target] - back[:, :-1] / back[:, -1:]
+        near = np.zeros_like(self.near)
         for d in range(around.shape[1]):
-            order = np.argsort(around[:, d], kind="stable")
-            held = around[order, d]
-            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-            near[d][held[first]] = np.add.reduceat(back[order], first, axis=0)
-        return [near, p.T @ hidden, p.sum(axis=0)]
+            add_rows(near[d], around[:, d], back)
+        return [near, out[:, :-1], out[:, -1]]
+
+
+def add_rows(to: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row at its place; places of 16 bits are sorted by radix."""
+    place = place.astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    held = place[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    to[held[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 def laid_out(classes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +246,7 @@ def summed(parts: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return n, total
 
 
-def train(rows: DataFrame, classes: Classes, sizes: np.ndarray, *, width: int = 16, window: int = 2, rounds: int = 6, batch: int = 1024, rate: float = 0.05) -> WindowNetwork:
+def train(rows: DataFrame, classes: Classes, sizes: np.ndarray, *, width: int = 16, window: int = 2, rounds: int = 6, batch: int = 2048, rate: float = 0.05) -> WindowNetwork:
     """The network for a corpus; ``sizes``: how often each class occurs. Every position is a target once."""
     spark = rows.sparkSession
     path = session.scratch_path(spark, "segments")
@@ -295,7 +308,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
     ignored. ``near_counts`` changes how counts reach the documents, not the result. The driver
     gets that many words' counts, the counts of class pairs, and a few sums of gradients at a time.
     """
-    rows = id_text(docs, id_col, text_col)
+    with session.tidy(docs.sparkSession):
+        return _score(id_text(docs, id_col, text_col), frequent, shared, near_counts, **training)
+
+
+def _score(rows: DataFrame, frequent: int, shared: int, near_counts: int, **training) -> DataFrame:
     counts = session.stored(word_counts(rows), "words")
     top = counts.orderBy(F.desc("n"), "h").limit(max(1, frequent, near_counts)).toPandas()
     top_h, top_n = top["h"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
@@ -304,7 +321,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
     network = train(rows, classes, sizes, **training)
     by = np.argsort(top_h)
     log_size = np.log(np.maximum(sizes, 1))
-    given = docs.sparkSession.sparkContext.broadcast((network, classes, log_size, top_h[by], np.log(top_n[by])))
+    given = rows.sparkSession.sparkContext.broadcast((network, classes, log_size, top_h[by], np.log(top_n[by])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -316,8 +333,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
             own = known.of(words)
             text, at = laid_out(own, offsets, net.window)
             found = np.zeros(len(at))
-            for k in range(0, len(at), 512):
-                found[k : k + 512] = net.score(net.context(text, at[k : k + 512]), text[at[k : k + 512]])
+            for k in range(0, len(at), 2048):
+                found[k : k + 2048] = net.score(net.context(text, at[k : k + 2048]), text[at[k : k + 2048]])
             found -= log_size[own]
             place = np.minimum(np.searchsorted(near, words), len(near) - 1)
             rare = near[place] != words
