@@ -62,6 +62,23 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def at_least(counts: DataFrame, most: int, least: int) -> tuple[int, int]:
+    """Two bounds of counts: no more than ``most`` words reach the first, and ``least`` words or all reach the second.
+
+    Words are counted by powers of two to the quarter, so the driver gets some hundred rows at any size;
+    a plain limit would send it that many words of every partition.
+    """
+    found = counts.groupBy(F.floor(4 * F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n"), F.max("n").alias("top")).orderBy(F.desc("b")).collect()
+    bound, enough, seen = (found[0].top + 1 if found else 1), 1, 0
+    for row in found:
+        if seen < least:
+            enough = row.n
+        seen += row.words
+        if seen <= most:
+            bound = row.n
+    return bound, enough if seen >= least else 1
+
+
 class Classes:
     """Word hash to class: 0 is the edge of a text, then the frequent words, then the shared classes."""
 
@@ -314,14 +331,16 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
 
 def _score(rows: DataFrame, frequent: int, shared: int, near_counts: int, **training) -> DataFrame:
     counts = session.stored(word_counts(rows), "words")
-    top = counts.orderBy(F.desc("n"), "h").limit(max(1, frequent, near_counts)).toPandas()
-    top_h, top_n = top["h"].to_numpy(np.int64).view(U), top["n"].to_numpy(np.int64)
-    classes = Classes(top_h[:frequent], shared)
+    bound, enough = at_least(counts, near_counts, frequent)
+    top = counts.filter(F.col("n") >= enough).orderBy(F.desc("n"), "h").limit(max(1, frequent)).toPandas()
+    classes = Classes(top["h"].to_numpy(np.int64).view(U)[:frequent], shared)
+    near = counts.filter(F.col("n") >= bound).toPandas()
+    near_h, near_n = near["h"].to_numpy(np.int64).view(U), near["n"].to_numpy(np.int64)
     sizes = class_sizes(counts, classes)
     network = train(rows, classes, sizes, **training)
-    by = np.argsort(top_h)
+    by = np.argsort(near_h)
     log_size = np.log(np.maximum(sizes, 1))
-    given = rows.sparkSession.sparkContext.broadcast((network, classes, log_size, top_h[by], np.log(top_n[by])))
+    given = rows.sparkSession.sparkContext.broadcast((network, classes, log_size, near_h[by], np.log(near_n[by])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -336,8 +355,8 @@ def _score(rows: DataFrame, frequent: int, shared: int, near_counts: int, **trai
             for k in range(0, len(at), 2048):
                 found[k : k + 2048] = net.score(net.context(text, at[k : k + 2048]), text[at[k : k + 2048]])
             found -= log_size[own]
-            place = np.minimum(np.searchsorted(near, words), len(near) - 1)
-            rare = near[place] != words
+            place = np.minimum(np.searchsorted(near, words), max(0, len(near) - 1))
+            rare = near[place] != words if len(near) else np.ones(len(words), bool)
             found[~rare] += log_n[place[~rare]]
             total = np.diff(np.r_[0.0, np.cumsum(found)][offsets])
             n = np.diff(offsets)

@@ -139,3 +139,13 @@ def test_edges(spark):
     assert [(got[i].n_tokens, got[i].mean_log_prob) for i in (1, 2, 3)] == [(0, None)] * 3
     assert got[4].n_tokens == 1 and got[None].log_prob < 0
     assert lm_score.score(frame(spark, [])).count() == 0
+
+
+def test_bounds_of_counts(spark):
+    counts = spark.createDataFrame([(h, n) for h, n in enumerate([100, 90, 50, 50, 9, 8, 3, 1, 1, 1])], "h long, n long")
+    for most in range(12):
+        for least in (0, 1, 3, 9, 50):
+            bound, enough = lm_score.at_least(counts, most, least)
+            assert counts.filter(f"n >= {bound}").count() <= most
+            assert counts.filter(f"n >= {enough}").count() >= min(least, 10)
+    assert lm_score.at_least(counts.limit(0), 5, 5) == (1, 1)
