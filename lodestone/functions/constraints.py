@@ -52,7 +52,8 @@ SPAN_DASH = rf"(?:от\s+)?({NUMBER})\s*[-–—−]\s*({NUMBER})\s*({UNIT})"
 SINGLE = rf"([<>≤≥])?\s*({NUMBER})\s*({UNIT})"
 #: Any case, and Unicode letters, digits and blanks.
 FLAGS = "(?iU)"
-OPEN, CLOSE = "\u0001", "\u0002"
+#: Marks around a hit and between its fields, and the kinds of hits.
+OPEN, CLOSE, FIELD, RANGE, ONE = "\u0001", "\u0002", "\u0003", "R", "S"
 
 CONSTRAINT = "param string, op string, value double, value_max double, unit string, norm_value double, norm_unit string, source_text string"
 
@@ -75,17 +76,23 @@ def has_constraint(text: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """A text cut at its hits: what stands before the first one, the hit, what stands behind it, and so on."""
-    spans = F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), f"{FLAGS}{SPAN_WORDS}|{SPAN_DASH}", f"{OPEN}$0{CLOSE}")
-    marked = F.regexp_replace(spans, f"{FLAGS}{SINGLE}(?![^{OPEN}]*{CLOSE})", f"{OPEN}$0{CLOSE}")
+    """A text cut at its hits: what stands before the first one, the hit, what stands behind it, and so on.
+
+    A hit is written as its fields: kind, lower number, upper number or sign, unit, and itself.
+    """
+    fields = lambda kind, *groups: OPEN + FIELD.join((kind, *groups, "$0")) + CLOSE
+    plain = F.translate(text, OPEN + CLOSE + FIELD, "   ")
+    # Groups of the form that didn't match are empty.
+    spans = F.regexp_replace(plain, f"{FLAGS}{SPAN_WORDS}|{SPAN_DASH}", fields(RANGE, "$1$4", "$2$5", "$3$6"))
+    marked = F.regexp_replace(spans, f"{FLAGS}{SINGLE}(?![^{OPEN}]*{CLOSE})", fields(ONE, "$2", "$1", "$3"))
     return F.split(marked, f"[{OPEN}{CLOSE}]")
 
 
 def hits(cut: Column) -> Column:
-    """Of ``pieces``: array of struct(start, piece), a hit and how many characters stand before it."""
-    before = lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))
-    odd = F.when(F.size(cut) > 1, F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)))
-    return F.transform(odd, lambda i: F.struct(before(i).alias("start"), F.get(cut, i).alias("piece")))
+    """Of ``pieces``: array of struct(start, fields), a hit and how many characters stand before it."""
+    sizes = F.transform(cut, lambda p, i: F.length(F.when(i % 2 == 1, F.substring_index(p, FIELD, -1)).otherwise(p)))
+    found = F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.struct(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, x: n + x).alias("start"), F.split(p, FIELD).alias("fields"))))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def sentence_before(text: Column, at: Column, reach: int) -> Column:
@@ -121,20 +128,13 @@ def constraint_table(chunks: DataFrame) -> DataFrame:
     """One row for each constraint of (chunk_id, text), numbered in ``ord`` by where they stand; null and blank texts give none."""
     found = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").filter(has_constraint(F.col("text")))
     cut = found.withColumn("cut", pieces(F.col("text")))
-    rows = cut.select("chunk_id", "text", F.posexplode(hits(F.col("cut"))).alias("ord", "hit")).select("chunk_id", "ord", "text", "hit.start", "hit.piece")
-    text, piece, start = F.col("text"), F.col("piece"), F.col("start")
-    form = F.when(piece.rlike(rf"{FLAGS}\A{SPAN_WORDS}\z"), 0).when(piece.rlike(rf"{FLAGS}\A{SPAN_DASH}\z"), 1).otherwise(2)
-    part = lambda pattern, k: F.regexp_extract(piece, rf"{FLAGS}\A{pattern}\z", k)
-    by_form = lambda *columns: F.when(F.col("form") == 0, columns[0]).when(F.col("form") == 1, columns[1]).otherwise(columns[2])
-    rows = rows.withColumn("form", form)
-    rows = rows.withColumns({
-        "low": by_form(part(SPAN_WORDS, 1), part(SPAN_DASH, 1), part(SINGLE, 2)),
-        "high": by_form(part(SPAN_WORDS, 2), part(SPAN_DASH, 2), F.lit(None)),
-        "raw_unit": by_form(*(part(p, 3) for p in (SPAN_WORDS, SPAN_DASH, SINGLE))),
-        "sign": by_form(F.lit(""), F.lit(""), part(SINGLE, 1)),
-        # A range is looked up from its start on, a single number from the number on.
-        "at": start + F.when(F.col("form") == 2, F.length(F.regexp_extract(piece, r"(?U)\A[<>≤≥]?\s*", 0))).otherwise(0),
-    })
+    rows = cut.select("chunk_id", "text", F.posexplode(hits(F.col("cut"))).alias("ord", "hit")).select("chunk_id", "ord", "text", "hit.start", "hit.fields")
+    text, start, field = F.col("text"), F.col("start"), lambda k: F.get("fields", F.lit(k))
+    single = F.col("kind") == ONE
+    rows = rows.select("chunk_id", "ord", "text", "start", field(0).alias("kind"), field(1).alias("low"), field(2).alias("second"), field(3).alias("raw_unit"), field(4).alias("piece"))
+    # A range is looked up from its start on, a single number from the number on.
+    rows = rows.withColumns({"sign": F.when(single, F.col("second")).otherwise(""), "high": F.when(~single, F.col("second")), "at": start + F.when(single, F.instr("piece", F.col("low")) - 1).otherwise(0)})
+    piece = F.col("piece")
     rows = rows.withColumn("known", F.coalesce(*(F.when(F.col("raw_unit").rlike(rf"{FLAGS}\A(?:{p})\z"), F.lit(k)) for k, (p, _, _) in enumerate(UNITS))))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("known"))
     # Columns of their own, so that what several expressions read is worked out once.
@@ -147,7 +147,7 @@ def constraint_table(chunks: DataFrame) -> DataFrame:
     named = F.get(F.array(F.lit(""), *(F.lit(n) for _, n in PARAMETERS)), F.col("lead_last"))
     of_name = F.when(F.col("lead_last") == free[0], F.concat(F.lit("содержание "), F.regexp_extract("lead", rf"(?iUs)\A.*(?:{free[1]})", 1))).otherwise(named)
     signed = F.coalesce(*(F.when(F.col("sign") == sign, F.lit(op)) for sign, op in SIGNS.items()))
-    op = F.when(F.col("form") < 2, "range").when(F.col("sign") != "", signed).otherwise(F.get(F.array(*map(F.lit, ["=", *phrases])), F.col("near_last")))
+    op = F.when(~single, "range").when(F.col("sign") != "", signed).otherwise(F.get(F.array(*map(F.lit, ["=", *phrases])), F.col("near_last")))
     first = F.greatest(start - BEFORE, F.lit(0))
     return rows.select(
         "chunk_id", "ord", of_name.alias("param"), op.alias("op"), parse_number(F.col("low")).alias("value"), parse_number(F.col("high")).alias("value_max"),
