@@ -247,7 +247,7 @@ def closest(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, bits: int = 2, recall: float = 0.995, max_tables: int = 512, items_at_once: int = 20_000, seed: int = 9) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, bits: int = 2, recall: float = 0.999, max_tables: int = 512, items_at_once: int = 20_000, seed: int = 9) -> DataFrame:
     """(doc_id, item_id, edits, start_word, end_word) for every item that a document holds within ``rate`` edits a word.
 
     Items with fewer than ``min_words`` words, null items and null texts match nothing;
