@@ -71,5 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = session.stored(stage(spark, docs, sf_dir), f"stage{k}")
+        done = session.stored(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            session.drop_path(spark, docs.path)
+        docs = done
     return docs

@@ -28,10 +28,15 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         # Small star: what a node and its smaller neighbours share is the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = session.stored(small, "links")
-        before, mark = mark, digest(edges)
+        # Links only get fewer, so as many files as the last round's number needs will do.
+        before, path = mark, edges.path
+        edges = session.stored(small.coalesce(1 + before[0] // 500_000), "links")
+        session.drop_path(edges.sparkSession, path)
+        mark = digest(edges)
         if mark == before:
             break
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found.path = edges.path
+    return found

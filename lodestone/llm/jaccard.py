@@ -201,7 +201,7 @@ def alone(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, short_list: int, hot_least: int, hot_limit: int) -> DataFrame:
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, session.made()
     staged, n = staging.stage(docs, id_col, text_col)
     hot = spark.sparkContext.broadcast(frequent(staged, k, hot_least, hot_limit))
     every = staging.bucketed(prefixes(staged, hot, k, percent), "prefixes", n, "doc_id", ["doc_id"], dealt=True)
@@ -285,6 +285,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sho
     # What the result reads is small and stored; the rest goes.
     slim = session.stored(every.select("doc_id", "n", "d1", "d2"), "sizes")
     staging.discard(staged, every, *written)
+    session.drop_since(spark, before, slim.path, nodes.path, now.path)
     result = slim.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").join(now, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))

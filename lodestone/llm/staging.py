@@ -25,13 +25,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def partitions(df: DataFrame) -> int:
-    """As many partitions as the scan of ``df`` has, so they keep their size as the input grows.
+    """As many partitions as the scan of ``df`` has, so they keep their size as the input grows, and no fewer than Spark's shuffles have.
 
-    Not fewer than Spark's shuffles have, below which it would deal the buckets out again,
-    unless the input is so small that this costs less than many empty tasks.
+    With fewer, rows dealt out by a shuffle would go to several buckets in every task, a file each.
     """
-    spark, scan = df.sparkSession, max(1, df.rdd.getNumPartitions())
-    return max(scan, min(8 * scan, int(spark.conf.get("spark.sql.shuffle.partitions"))), spark.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return max(1, df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,8 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str) -> bool:
     """Whether an id, or its lack, stands in several rows."""
-    return not docs.groupBy(F.col(id_col).cast("long")).count().filter("count > 1").isEmpty()
+    with session.tidy(docs.sparkSession):
+        return not docs.groupBy(F.col(id_col).cast("long")).count().filter("count > 1").isEmpty()
 
 
 def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,13 +123,16 @@ def with_unique_ids(docs: DataFrame, id_col: str, text_col: str, operator: Calla
     """What ``operator`` (rows, id column) makes of the rows with an id.
 
     Where ids repeat, each row is a document of its own under a number in its place, and the
-    numbers in the columns ``ids`` of the result are turned back into ids.
+    numbers in the columns ``ids`` of the result are turned back into ids. Shuffle files of
+    whatever the operator runs on its way go at once.
     """
     given = docs.filter(F.col(id_col).isNotNull())
-    if not repeats(given, id_col):
-        return operator(given, id_col)
-    rows = numbered(given, id_col, text_col)
-    out = operator(rows, ROW)
+    again = repeats(given, id_col)
+    with session.tidy(docs.sparkSession):
+        rows = numbered(given, id_col, text_col) if again else given
+        out = operator(rows, ROW if again else id_col)
+    if not again:
+        return out
     columns = out.columns
     for c in ids:
         names = rows.select(F.col(ROW).alias(c), F.col(id_col).cast("long").alias("__id"))
