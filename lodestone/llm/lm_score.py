@@ -247,7 +247,11 @@ def pair_counts(table: DataFrame, classes: int, window: int) -> np.ndarray:
 
 
 def summed(parts: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """The sum of rows (n, w: doubles as bytes): first in groups of about the root of their number, then on the driver, row by row."""
+    """The sum of rows (n, w: doubles as bytes): first in groups of about the root of their number, then on the driver.
+
+    The groups are collected at once: an iterator over them goes on after its plan counts as run,
+    when ``session.tidy`` has deleted the shuffle files, and every row would be worked out again.
+    """
     groups = math.isqrt(max(1, parts.rdd.getNumPartitions())) + 1
 
     def add(held: pa.Table) -> pa.Table:
@@ -258,7 +262,7 @@ def summed(parts: DataFrame, size: int) -> tuple[int, np.ndarray]:
 
     n, total = 0, np.zeros(size)
     grouped = parts.groupBy((F.col("part") % groups).alias("g")).applyInArrow(add, "n long, w binary")
-    for row in grouped.toLocalIterator():
+    for row in grouped.collect():
         n, total = n + row.n, total + np.frombuffer(row.w, "<f8")
     return n, total
 
@@ -323,7 +327,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fr
     Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows and
     null ids are scored like others; an empty table gives an empty result; other columns are
     ignored. ``near_counts`` changes how counts reach the documents, not the result. The driver
-    gets that many words' counts, the counts of class pairs, and a few sums of gradients at a time.
+    gets that many words' counts, the counts of class pairs, and in each round about as many sums of gradients as the root of the number of partitions.
     """
     with session.tidy(docs.sparkSession):
         return _score(id_text(docs, id_col, text_col), frequent, shared, near_counts, **training)

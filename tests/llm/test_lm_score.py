@@ -1,8 +1,10 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodestone import session
 from lodestone.llm import lm_score
 from tests.llm.corpus import frame
 
@@ -121,6 +123,22 @@ def test_rare_words_are_predicted_not_their_classes(spark, near_counts):
     assert np.isclose(got[201].mean_log_prob, got[201].log_prob) and got[0].n_tokens == 40
 
 
+def test_gradients_are_worked_out_once_where_shuffle_files_go(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def part(batches):
+        from pyspark import TaskContext
+
+        runs.add(1)
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([2], pa.int64()), pa.array([np.array([1.0, 0.5]).tobytes()], pa.binary())], ["part", "n", "w"])
+
+    with session.tidy(spark):
+        n, total = lm_score.summed(spark.range(0, 90, 1, 9).mapInArrow(part, "part int, n long, w binary"), 2)
+    assert n == 18 and total.tolist() == [9.0, 4.5] and runs.value == 9
+
+
 def test_scores_are_conditional_log_probabilities():
     net = lm_score.WindowNetwork(7, 4, 2, 1)
     around = np.array([[0, 1, 2, 3], [4, 5, 6, 0]])
