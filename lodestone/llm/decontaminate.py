@@ -52,16 +52,22 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
 REACH = 1.6
 
 
-def steps(windows: np.ndarray, walks: np.ndarray, last: int) -> Iterator[np.ndarray]:
-    """Place by place, the words that each walk (a row) copies from each window (a row of ``windows``); 0 stands behind the end."""
+def steps(windows: np.ndarray, walks: np.ndarray, last: int, lasts: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Place by place, the words that each walk (a row) copies from each window (a row of ``windows``); 0 stands behind the end.
+
+    ``lasts``: the last place that is wanted of each walk, in descending order; walks past it are left out.
+    """
     rows, m = windows.shape
     padded = np.c_[windows, np.zeros(rows, np.uint64)].ravel()
-    base, at = np.arange(rows) * (m + 1), np.zeros((len(walks), rows), np.int64)
-    for j in range(last):
-        here = padded[base + at]
+    end = np.arange(rows) * (m + 1) + m
+    at, salt = np.tile(end - m, (len(walks), 1)), walks[:, None] * np.uint64(2) + np.uint64(1)
+    going = np.searchsorted(-lasts, -np.arange(last), side="right") if lasts is not None else np.full(last, len(walks))
+    for j, n in enumerate(going.tolist()):
+        at, salt = at[:n], salt[:n]
+        here = padded[at]
         yield here
-        coin = rolling.mix(here ^ ((walks[:, None] + np.uint64(j)) * np.uint64(2) + np.uint64(1))) & np.uint64(1)
-        np.minimum(at + coin.astype(np.int64), m, out=at)
+        at += (rolling.mix_in_place(here ^ (salt + np.uint64(2 * j))) & np.uint64(1)).view(np.int64)
+        np.minimum(at, end, out=at)
 
 
 def walk(windows: np.ndarray, seed: int) -> np.ndarray:
@@ -111,12 +117,17 @@ class Length:
 
     def key(self, windows: np.ndarray) -> np.ndarray:
         """Keys (tables x windows)."""
-        key = np.repeat(self.walks[:, None], len(windows), axis=1)
-        for j, here in enumerate(steps(windows, self.walks, int(self.places.max()) + 1)):
-            for k in range(self.places.shape[1]):
-                mine = np.flatnonzero(self.places[:, k] == j)
+        lasts = self.places.max(axis=1)
+        order = np.argsort(-lasts, kind="stable")
+        places, walks = self.places[order], self.walks[order]
+        held = np.repeat(walks[:, None], len(windows), axis=1)
+        for j, here in enumerate(steps(windows, walks, int(lasts.max()) + 1, lasts[order])):
+            for k in range(places.shape[1]):
+                mine = np.flatnonzero(places[:, k] == j)
                 if len(mine):
-                    key[mine] = rolling.mix(key[mine] + here[mine] + np.uint64(k * 7919 + 1))
+                    held[mine] = rolling.mix(held[mine] + here[mine] + np.uint64(k * 7919 + 1))
+        key = np.empty_like(held)
+        key[order] = held
         return key
 
     def look_up(self, windows: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +244,22 @@ def regions(starts: np.ndarray, m: int, e: int, n: int) -> list[tuple[int, int]]
 
 def closest(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """Least edits from ``item`` to any stretch of ``words``, and where that stretch ends."""
-    column = list(range(len(item) + 1))
-    best = (column[-1], 0)
-    pattern = item.tolist()
+    # Myers: a bit for each row of the table of edits, set where a value is one more (or less) than the one above it.
+    bits: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        bits[w] = bits.get(w, 0) | 1 << i
+    edits = len(item)
+    full, top = (1 << edits) - 1, 1 << edits >> 1
+    more, less, best = full, 0, (edits, 0)
     for end, word in enumerate(words.tolist(), 1):
-        diagonal, left = 0, 0
-        for i, w in enumerate(pattern, 1):
-            up = column[i]
-            left = diagonal if w == word else 1 + min(diagonal, up, left)
-            diagonal, column[i] = up, left
-        if left < best[0]:
-            best = (left, end)
+        same = bits.get(word, 0)
+        across = ((same & more) + more ^ more) | same
+        up, down = less | full & ~(across | more), more & across
+        edits += bool(up & top) - bool(down & top)
+        up, down, down_or_same = up << 1 & full, down << 1 & full, same | less
+        more, less = down | full & ~(down_or_same | up), up & down_or_same
+        if edits < best[0]:
+            best = (edits, end)
     return best
 
 

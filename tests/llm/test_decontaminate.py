@@ -121,3 +121,21 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], ITEMS)
     assert d.leaks(frame(spark), empty).count() == 0
     assert d.leaks(frame(spark, []), spark.createDataFrame([(1, "a b c d e f", 1)], ITEMS)).count() == 0
+
+
+def test_closest_equals_the_table_of_edits():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        item, words = (rng.integers(rng.integers(1, 9), size=rng.integers(0, most)).astype(np.uint64) for most in (90, 60))
+        edits, end = d.closest(item, words)
+        by_end = [len(item), *(min(distance(item.tolist(), words[k:e].tolist()) for k in {0, max(0, e - 2 * len(item))}) for e in range(1, len(words) + 1))]
+        assert edits == min(by_end) and end == by_end.index(edits)
+
+
+def test_walks_that_end_early_give_the_same_keys():
+    rng = np.random.default_rng(4)
+    windows = rng.integers(1 << 62, size=(30, 12)).astype(np.uint64)
+    walks, lasts = np.arange(1, 6, dtype=np.uint64), np.array([18, 11, 11, 4, 0])
+    whole = list(d.steps(windows, walks, 19))
+    for j, here in enumerate(d.steps(windows, walks, 19, lasts)):
+        assert len(here) == (lasts >= j).sum() and (here == whole[j][: len(here)]).all()
