@@ -220,6 +220,14 @@ def test_search_of_many_questions_equals_one_by_one(spark):
     assert vector.search_many(chunks, spark.createDataFrame([], "question_id string, vector array<double>"), 3).count() == 0
 
 
+def test_search_with_a_block_of_no_questions(spark):
+    """Equal names fall into one block, so the other two are empty."""
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([("q", [0.0, 1.0])] * 3, "question_id string, vector array<double>")
+    found = vector.search_many(chunks, asked, 1, block=1).collect()
+    assert {(r.question_id, r.chunk_id, r.score) for r in found} == {("q", "b", 1.0)}
+
+
 def test_bad_geography_is_an_error(spark):
     docs = spark.createDataFrame([("d", "unknown")], "doc_id string, geography string")
     with pytest.raises(Exception, match="GRAPH-006"):
