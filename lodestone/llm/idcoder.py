@@ -12,7 +12,9 @@ frequencies (order 0). The weights of the first two adapt after every id; they a
 by how often the order-2 guess has held, how sure the successor is, and whether both
 name the same id. The range coder (64 bits, carries into words already out, 32 bits at
 a time) takes the choice among the three, then the id by its frequency where order 0 is
-chosen. All arithmetic is on integers, so that every machine decodes alike.
+chosen. The range is refilled once an id (twice where a stream has so many distinct ids
+that one refill would leave it too small). All arithmetic that decides is on integers, so
+that every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ SLOTS = 2048
 MIX, FREQ = 16, 20
 LOW = U(1 << 32)
 HEAD = struct.Struct("<4sIIQII")
-MAGIC = b"IDC2"
+MAGIC = b"IDC3"
 #: Upper ends of the classes by which successors are told apart, and what each class begins with.
 SURE = np.array([0.05, 0.1, 0.2, 0.4, 0.7, 0.9])
 BEGIN = np.array([0, 4500, 9200, 18400, 36000, 52000, 62000], np.int64)
@@ -124,49 +126,60 @@ def longest(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24, at + 4 * n
 
 
+#: Least and most that the weights of the order-2 and the order-1 guess come to, and how fast they adapt.
+TWO, ONE = (64, 63000, 5), (64, 65535, 6)
+
+
 class Mixer:
     """Adaptive states of ``lanes`` blocks that advance side by side."""
 
     def __init__(self, table: Table, lanes: int):
-        self.table, self.slot, self.state = table, np.arange(lanes) * SLOTS, np.arange(lanes) * 64
-        self.guess, self.trust = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int8)
-        # By trust of order 2 (4), class of order 1 (8) and agreement (2): chance that the order-2 guess holds, and that else the order-1 guess does.
+        self.slot, self.state = np.arange(lanes) * SLOTS, np.arange(lanes) * 64
+        # A guess (-2: none yet, which is no id and no successor) and two bits of trust in it.
+        self.guess = np.full(lanes * SLOTS, -8, np.int32)
+        # By trust of order 2 (4), class of order 1 (8) and agreement (2): chance that the order-2 guess holds (16 bits), and above it that else the order-1 guess does.
         two = np.repeat(np.array([0, 9000, 30000, 50000], np.int64), 8)
         one = np.tile(np.r_[BEGIN, 0], 4)
-        self.two, self.one = np.tile(np.r_[two, np.minimum(two + 6000, 60000)], lanes), np.tile(np.r_[one, np.zeros(32, np.int64)], lanes)
-        # Before the first id there is no context: one place more in the successors.
-        self.successor, self.sure = np.r_[table.successor, -1], np.r_[table.sure, 0]
+        two, one = np.r_[two, np.minimum(two + 6000, 60000)], np.r_[one, np.zeros(32, np.int64)]
+        self.chances = np.tile(np.maximum(two, TWO[0]) | np.maximum(one, ONE[0]) << 16, lanes)
+        # Before the first id there is no context: one place more in the successors. Below them, in three bits, their classes.
+        self.successor = np.r_[table.successor, -1] << 3 | np.r_[table.sure, 0]
         self.last = self.before = np.full(lanes, len(table.ids), np.int64)
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shares (of 65,536) of the order-2 and the order-1 guess; the rest is order 0's."""
+        """Shares (of 65,536) of the order-2 guess, and of both guesses; the rest is order 0's."""
         self.at = self.slot + ((self.last * 40503 + self.before * 52711 >> 3) & (SLOTS - 1))
-        self.g2, self.t2 = self.guess[self.at], self.trust[self.at]
-        self.g1 = self.successor[self.last]
-        agree = self.g1 == self.g2
-        self.here = self.state + (self.t2 * 8 + self.sure[self.last] + 32 * (agree & (self.t2 > 0)))
-        self.p2, self.p1 = self.two[self.here], self.one[self.here]
-        a = np.where(self.t2 > 0, np.clip(self.p2, 64, 63000), 0)
-        b = (65400 - a) * self.p1 >> 16
-        return a, b
-
-    def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        """``choice``: 0 where the order-2 guess was coded, 1 order 1, 2 order 0."""
-        held = choice == 0
-        self.two[self.here] = self.p2 + (((held << MIX) - self.p2) >> 5)
-        self.one[self.here] = np.where(held | (self.p1 == 0), self.p1, np.maximum(self.p1 + (((choice == 1) << MIX) - self.p1 >> 6), 1))
-        self.trust[self.at] = np.where(held, np.minimum(self.t2 + 1, 3), np.where(self.t2 > 1, self.t2 - 1, 1))
-        self.guess[self.at] = np.where(held | (self.t2 > 1), self.g2, ids)
+        self.held = self.guess.take(self.at)
+        self.g2, self.t2 = self.held >> 2, self.held & 3
+        next_ = self.successor.take(self.last, mode="wrap")
+        self.g1 = next_ >> 3
+        self.here = self.state + (next_ & 7) + ((self.t2 << 3) + ((self.g1 == self.g2).view(np.int8) << 5))
+        self.chance = self.chances.take(self.here)
+        self.p2, self.p1 = self.chance & 65535, self.chance >> 16
+        return self.p2, self.p2 + ((65400 - self.p2) * self.p1 >> 16)
+
+    def learn(self, ids: np.ndarray, by_two: np.ndarray, by_one: np.ndarray) -> None:
+        """``by_two``, ``by_one``: where the order-2 guess was coded, and the order-1 guess; else order 0."""
+        step_two = np.where(by_two, TWO[1], TWO[0]) - self.p2 >> TWO[2]
+        step_one = np.where(by_one, ONE[1], ONE[0]) - self.p1 >> ONE[2]
+        step_one[by_two] = 0
+        self.chances[self.here] = self.chance + step_two + (step_one << 16)
+        self.guess[self.at] = np.where(by_two, self.held + (self.t2 < 3), np.where(self.t2 > 1, self.held - 1, ids << 2 | 1))
         self.before, self.last = self.last, ids
 
 
+def steps_of(table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the ids' parts of order 0, and last the whole of it, for ids that a guess has named."""
+    return np.r_[table.start, 0].astype(U), np.r_[table.freq, 1 << table.bits].astype(U)
+
+
 def encoded_blocks(table: Table, ranks: np.ndarray) -> list[bytes]:
     """The blocks (columns of ``ranks``) as bytes."""
     steps, lanes = ranks.shape
     mixer, room, bits = Mixer(table, lanes), steps // 2 + 64, U(table.bits)
     low, wide = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
     words, count, row = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
-    start0, freq0 = table.start.astype(U), table.freq.astype(U)
+    (start0, freq0), whole, twice = steps_of(table), len(table.ids), table.bits > FREQ
 
     def carry(rows: np.ndarray) -> None:
         at = count[rows] - 1
@@ -175,42 +188,40 @@ def encoded_blocks(table: Table, ranks: np.ndarray) -> list[bytes]:
             more = words[rows, at] == 0
             rows, at = rows[more], at[more] - 1
 
-    def out() -> None:
-        nonlocal words
+    def out(add: np.ndarray) -> None:
+        nonlocal words, low
+        low = low + add
+        over = np.flatnonzero(low < add)
+        if len(over):
+            carry(over)
         rows = np.flatnonzero(wide < LOW)
         if len(rows):
-            if int(count[rows].max()) + 2 >= words.shape[1]:
+            at, some = count[rows], low[rows]
+            if int(at.max()) + 2 >= words.shape[1]:
                 words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[rows, count[rows]] = (low[rows] >> U(32)).astype(np.uint32)
-            count[rows] += 1
-            low[rows] <<= U(32)
+            words[rows, at] = some >> U(32)
+            count[rows] = at + 1
+            low[rows] = some << U(32)
             wide[rows] <<= U(32)
 
     for step in range(steps):
         now = ranks[step].astype(np.int64)
-        a, b = mixer.weights()
-        choice = np.where((now == mixer.g2) & (a > 0), 0, np.where((now == mixer.g1) & (b > 0), 1, 2))
-        begin = np.where(choice == 0, 0, np.where(choice == 1, a, a + b))
+        a, ab = mixer.weights()
+        by_two = now == mixer.g2
+        by_one = (now == mixer.g1) & ~by_two
+        guessed = by_two | by_one
+        begin = np.where(guessed, a * by_one, ab)
+        end = np.where(guessed, np.where(by_two, a, ab), 65536)
         part = wide >> U(MIX)
-        add = part * begin.astype(U)
-        old = low.copy()
-        low += add
-        wide = part * np.where(choice == 0, a, np.where(choice == 1, b, 65536 - a - b)).astype(U)
-        over = np.flatnonzero(low < old)
-        if len(over):
-            carry(over)
-        out()
-        rows = np.flatnonzero(choice == 2)
-        part = wide[rows] >> bits
-        before = low[rows]
-        after = before + part * start0[now[rows]]
-        low[rows] = after
-        wide[rows] = part * freq0[now[rows]]
-        over = rows[after < before]
-        if len(over):
-            carry(over)
-        out()
-        mixer.learn(now, choice)
+        add, wide = part * begin.view(U), part * (end - begin).view(U)
+        if twice:
+            out(add)
+            add = U(0)
+        place = np.where(guessed, whole, now)
+        part = wide >> bits
+        wide = part * freq0.take(place)
+        out(add + part * start0.take(place))
+        mixer.learn(now, by_two, by_one)
     # One word more names a point inside every interval, which is at least a word wide.
     point = low + (wide - U(1))
     carry(row[point < low])
@@ -230,36 +241,43 @@ def decoded_blocks(table: Table, data: list[bytes], steps: int) -> np.ndarray:
     # ``ahead`` is how far the coded point lies above the interval's low end.
     ahead, wide, at = words[ends] << U(32) | words[ends + 1], np.full(lanes, ~U(0), U), ends + 2
     last = ends + room - 1
-    place = np.repeat(np.arange(len(table.ids), dtype=np.int32), table.freq)
-    start0, freq0 = table.start.astype(U), table.freq.astype(U)
+    place = np.repeat(np.arange(len(table.ids)), table.freq)
+    (start0, freq0), whole, twice = steps_of(table), len(table.ids), table.bits > FREQ
     out = np.zeros((steps, lanes), np.int32)
 
     def take() -> None:
         rows = np.flatnonzero(wide < LOW)
         if len(rows):
-            ahead[rows] = ahead[rows] << U(32) | words[np.minimum(at[rows], last[rows])]
+            here = at[rows]
+            ahead[rows] = ahead[rows] << U(32) | words[np.minimum(here, last[rows])]
             wide[rows] <<= U(32)
-            at[rows] += 1
+            at[rows] = here + 1
 
     for step in range(steps):
-        a, b = mixer.weights()
+        a, ab = mixer.weights()
         part = wide >> U(MIX)
-        value = (ahead // part).astype(np.int64)
-        ab = a + b
-        choice = (value >= a).astype(np.int8) + (value >= ab)
-        ahead -= part * np.where(choice == 0, 0, np.where(choice == 1, a, ab)).astype(U)
-        wide = part * np.where(choice == 0, a, np.where(choice == 1, b, 65536 - ab)).astype(U)
-        take()
-        now = np.where(choice == 0, mixer.g2, mixer.g1).astype(np.int64)
-        rows = np.flatnonzero(choice == 2)
-        part = wide[rows] >> bits
-        ids = place[np.minimum(ahead[rows] // part, U(len(place) - 1))]
-        ahead[rows] -= part * start0[ids]
-        wide[rows] = part * freq0[ids]
-        now[rows] = ids
+        upto_two, upto_one = part * a.view(U), part * ab.view(U)
+        by_two, by_none = ahead < upto_two, ahead >= upto_one
+        begin = np.where(by_none, upto_one, np.where(by_two, U(0), upto_two))
+        wide = np.where(by_none, part << U(MIX), np.where(by_two, upto_two, upto_one)) - begin
+        ahead = ahead - begin
+        if twice:
+            take()
+        part = wide >> bits
+        # The quotient of floats may be one off at an edge of a part; that shows, and whole numbers settle it.
+        ids = place.take((ahead / part).astype(np.int64), mode="clip")
+        now = np.where(by_none, ids, whole)
+        rest, wide = ahead - part * start0.take(now), part * freq0.take(now)
+        off = np.flatnonzero((rest >= wide) & by_none)
+        if len(off):
+            ids[off] = place.take((ahead[off] // part[off]).astype(np.int64), mode="clip")
+            rest[off] = ahead[off] - part[off] * start0[ids[off]]
+            wide[off] = part[off] * freq0[ids[off]]
+        ahead = rest
         take()
+        now = np.where(by_none, ids, np.where(by_two, mixer.g2, mixer.g1))
         out[step] = now
-        mixer.learn(now, choice)
+        mixer.learn(now, by_two, ~(by_two | by_none))
     return out
 
 

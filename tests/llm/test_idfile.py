@@ -51,6 +51,36 @@ def test_pieces_equal_the_library():
         assert np.frombuffer(got, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_texts_are_cut_as_arrays_and_equal_the_library():
+    """Neighbours of every class, capitals, odd blanks, signs and digits; a small table that is emptied again and again; long pieces among short ones."""
+    library, rng = Tokenizer.from_file(WORDS), random.Random(11)
+    kinds = [chr(c) for c in range(256)], "'stremvldSTREMVLD .1-", "aÀÉéßÞþÿ×÷ªµº.'0 \n", "ab\x85\xa0\t\x1c\u0301.É́ "
+    odd = ["".join(rng.choice(kind) for _ in range(rng.randint(0, 40))) for kind in kinds for _ in range(500)] + ["x" * 3000 + "'s " + "É" * 100, "é" * 70, "", " \n "]
+    rng.shuffle(odd)
+    for limit in (1000, 1 << 20):
+        table = idfile.IdTable(WORDS)
+        for k in range(0, len(odd), 150):
+            counts, ids = table.coded(odd[k : k + 150], limit)
+            want = [library.encode(t, add_special_tokens=False).ids for t in odd[k : k + 150]]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    # Letters apart from signs and digits, whatever their case, are few pieces to ask the library for.
+    pieces, counts = idfile.cut([b"The end(the END).The 12\xc9t\xe9", b"", b"don't"])
+    assert pieces.to_pylist() == [b"the", b"end", b"(", b"the", b"end", b").", b"the", b"1", b"2", b"\xe9t\xe9", b"don", b"'t"] and counts.tolist() == [10, 0, 2]
+    with pytest.raises(ValueError):
+        idfile.IdTable(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_coder_is_exact_where_parts_are_narrow():
+    """More distinct ids than one refill of the range allows, and parts so narrow that quotients of floats can miss their edges."""
+    rng = np.random.default_rng(8)
+    many = np.arange(1 << 18) * 5
+    skewed = np.r_[np.zeros(200_000, np.int64), rng.integers(0, 1 << 17, 60_000)]
+    rng.shuffle(skewed)
+    for ids in (many, skewed, rng.integers(0, 1 << 32, 20_000)):
+        assert (idcoder.decode(idcoder.encode(ids, block=512)) == ids).all()
+    assert idcoder.Table.of(many)[0].bits > idcoder.FREQ
+
+
 def test_files_hold_every_document(spark, tmp_path):
     library = Tokenizer.from_file(WORDS)
     rows = list(enumerate(texts()))
