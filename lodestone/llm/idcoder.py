@@ -126,8 +126,13 @@ def longest(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24, at + 4 * n
 
 
-#: Least and most that the weights of the order-2 and the order-1 guess come to, and how fast they adapt.
-TWO, ONE = (64, 63000, 5), (64, 65535, 6)
+#: Numbers that each step needs, as numpy's own, which saves turning them into such at every use.
+HASH_LAST, HASH_BEFORE, SLOT_MASK, BITS_OF_TRUST, THREE, SEVEN, HALF, LOW_HALF, MOST_GUESSED = map(np.int64, (40503, 52711, SLOTS - 1, 2, 3, 7, 16, 65535, 65400))
+#: The least that the weights of the order-2 and the order-1 guess come to, how far above it they go, and how fast they adapt.
+TWO_LEAST, TWO_SPAN, TWO_RATE, ONE_LEAST, ONE_SPAN, ONE_RATE = map(np.int64, (64, 62936, 5, 64, 65471, 6))
+#: Steps of trust, by trust: where the guess didn't hold, and (4 more) where it did.
+TRUSTED = np.array([0, 0, -1, -1, 1, 1, 1, 0], np.int64)
+ALL, UMIX = np.int64(1 << MIX), U(MIX)
 
 
 class Mixer:
@@ -141,30 +146,58 @@ class Mixer:
         two = np.repeat(np.array([0, 9000, 30000, 50000], np.int64), 8)
         one = np.tile(np.r_[BEGIN, 0], 4)
         two, one = np.r_[two, np.minimum(two + 6000, 60000)], np.r_[one, np.zeros(32, np.int64)]
-        self.chances = np.tile(np.maximum(two, TWO[0]) | np.maximum(one, ONE[0]) << 16, lanes)
+        self.chances = np.tile(np.maximum(two, TWO_LEAST) | np.maximum(one, ONE_LEAST) << 16, lanes)
         # Before the first id there is no context: one place more in the successors. Below them, in three bits, their classes.
         self.successor = np.r_[table.successor, -1] << 3 | np.r_[table.sure, 0]
         self.last = self.before = np.full(lanes, len(table.ids), np.int64)
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Shares (of 65,536) of the order-2 guess, and of both guesses; the rest is order 0's."""
-        self.at = self.slot + ((self.last * 40503 + self.before * 52711 >> 3) & (SLOTS - 1))
-        self.held = self.guess.take(self.at)
-        self.g2, self.t2 = self.held >> 2, self.held & 3
+        at = self.last * HASH_LAST
+        at += self.before * HASH_BEFORE
+        at >>= THREE
+        at &= SLOT_MASK
+        at += self.slot
+        self.at, self.held = at, self.guess.take(at)
+        held = self.held.astype(np.int64)
+        self.g2, self.t2 = held >> BITS_OF_TRUST, held & THREE
         next_ = self.successor.take(self.last, mode="wrap")
-        self.g1 = next_ >> 3
-        self.here = self.state + (next_ & 7) + ((self.t2 << 3) + ((self.g1 == self.g2).view(np.int8) << 5))
-        self.chance = self.chances.take(self.here)
-        self.p2, self.p1 = self.chance & 65535, self.chance >> 16
-        return self.p2, self.p2 + ((65400 - self.p2) * self.p1 >> 16)
+        self.g1 = next_ >> THREE
+        here = (self.g1 == self.g2).astype(np.int64)
+        here <<= BITS_OF_TRUST
+        here += self.t2
+        here <<= THREE
+        next_ &= SEVEN
+        here += next_
+        here += self.state
+        self.here, self.chance = here, self.chances.take(here)
+        self.p2, self.p1 = self.chance & LOW_HALF, self.chance >> HALF
+        both = MOST_GUESSED - self.p2
+        both *= self.p1
+        both >>= HALF
+        both += self.p2
+        return self.p2, both
 
     def learn(self, ids: np.ndarray, by_two: np.ndarray, by_one: np.ndarray) -> None:
-        """``by_two``, ``by_one``: where the order-2 guess was coded, and the order-1 guess; else order 0."""
-        step_two = np.where(by_two, TWO[1], TWO[0]) - self.p2 >> TWO[2]
-        step_one = np.where(by_one, ONE[1], ONE[0]) - self.p1 >> ONE[2]
-        step_one[by_two] = 0
-        self.chances[self.here] = self.chance + step_two + (step_one << 16)
-        self.guess[self.at] = np.where(by_two, self.held + (self.t2 < 3), np.where(self.t2 > 1, self.held - 1, ids << 2 | 1))
+        """``by_two``, ``by_one``: all bits set where the order-2 guess was coded, and the order-1 guess; else order 0."""
+        step = by_one & ONE_SPAN
+        step -= self.p1
+        step += ONE_LEAST
+        step >>= ONE_RATE
+        step &= ~by_two
+        step <<= HALF
+        self.chance += step
+        step = by_two & TWO_SPAN
+        step -= self.p2
+        step += TWO_LEAST
+        step >>= TWO_RATE
+        self.chance += step
+        self.chances[self.here] = self.chance
+        # Trust goes up to 3 by what held, else down; a guess that had 1 at most gives way to the id.
+        guess = TRUSTED.take(self.t2 - (by_two << BITS_OF_TRUST)) + self.held
+        fresh = (self.t2 < BITS_OF_TRUST) & (by_two == 0)
+        np.copyto(guess, ids << BITS_OF_TRUST | 1, where=fresh)
+        self.guess[self.at] = guess
         self.before, self.last = self.last, ids
 
 
@@ -179,7 +212,7 @@ def encoded_blocks(table: Table, ranks: np.ndarray) -> list[bytes]:
     mixer, room, bits = Mixer(table, lanes), steps // 2 + 64, U(table.bits)
     low, wide = np.zeros(lanes, U), np.full(lanes, ~U(0), U)
     words, count, row = np.zeros((lanes, room), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
-    (start0, freq0), whole, twice = steps_of(table), len(table.ids), table.bits > FREQ
+    (start0, freq0), whole, twice = steps_of(table), np.int64(len(table.ids)), table.bits > FREQ
 
     def carry(rows: np.ndarray) -> None:
         at = count[rows] - 1
@@ -207,17 +240,18 @@ def encoded_blocks(table: Table, ranks: np.ndarray) -> list[bytes]:
     for step in range(steps):
         now = ranks[step].astype(np.int64)
         a, ab = mixer.weights()
-        by_two = now == mixer.g2
-        by_one = (now == mixer.g1) & ~by_two
-        guessed = by_two | by_one
-        begin = np.where(guessed, a * by_one, ab)
-        end = np.where(guessed, np.where(by_two, a, ab), 65536)
-        part = wide >> U(MIX)
-        add, wide = part * begin.view(U), part * (end - begin).view(U)
+        # All bits set where true: as fast as a product, and much faster than a choice by truth values that no one can foresee.
+        by_two = -(now == mixer.g2).astype(np.int64)
+        by_one = -(now == mixer.g1).astype(np.int64) & ~by_two
+        by_none = ~(by_two | by_one)
+        begin = (a & by_one) | (ab & by_none)
+        size = (a & by_two) | ((ab - a) & by_one) | ((ALL - ab) & by_none)
+        part = wide >> UMIX
+        add, wide = part * begin.view(U), part * size.view(U)
         if twice:
             out(add)
             add = U(0)
-        place = np.where(guessed, whole, now)
+        place = (now & by_none) | (whole & ~by_none)
         part = wide >> bits
         wide = part * freq0.take(place)
         out(add + part * start0.take(place))
@@ -242,7 +276,7 @@ def decoded_blocks(table: Table, data: list[bytes], steps: int) -> np.ndarray:
     ahead, wide, at = words[ends] << U(32) | words[ends + 1], np.full(lanes, ~U(0), U), ends + 2
     last = ends + room - 1
     place = np.repeat(np.arange(len(table.ids)), table.freq)
-    (start0, freq0), whole, twice = steps_of(table), len(table.ids), table.bits > FREQ
+    (start0, freq0), whole, twice = steps_of(table), np.int64(len(table.ids)), table.bits > FREQ
     out = np.zeros((steps, lanes), np.int32)
 
     def take() -> None:
@@ -255,29 +289,32 @@ def decoded_blocks(table: Table, data: list[bytes], steps: int) -> np.ndarray:
 
     for step in range(steps):
         a, ab = mixer.weights()
-        part = wide >> U(MIX)
+        part = wide >> UMIX
         upto_two, upto_one = part * a.view(U), part * ab.view(U)
-        by_two, by_none = ahead < upto_two, ahead >= upto_one
-        begin = np.where(by_none, upto_one, np.where(by_two, U(0), upto_two))
-        wide = np.where(by_none, part << U(MIX), np.where(by_two, upto_two, upto_one)) - begin
+        none = ahead >= upto_one
+        by_two, by_none = -(ahead < upto_two).astype(np.int64), -none.astype(np.int64)
+        by_one = ~(by_two | by_none)
+        begin = (upto_one & by_none.view(U)) | (upto_two & by_one.view(U))
+        wide = ((part << UMIX) & by_none.view(U)) | (upto_one & by_one.view(U)) | (upto_two & by_two.view(U))
+        wide -= begin
         ahead = ahead - begin
         if twice:
             take()
         part = wide >> bits
         # The quotient of floats may be one off at an edge of a part; that shows, and whole numbers settle it.
         ids = place.take((ahead / part).astype(np.int64), mode="clip")
-        now = np.where(by_none, ids, whole)
+        now = (ids & by_none) | (whole & ~by_none)
         rest, wide = ahead - part * start0.take(now), part * freq0.take(now)
-        off = np.flatnonzero((rest >= wide) & by_none)
+        off = np.flatnonzero((rest >= wide) & none)
         if len(off):
             ids[off] = place.take((ahead[off] // part[off]).astype(np.int64), mode="clip")
             rest[off] = ahead[off] - part[off] * start0[ids[off]]
             wide[off] = part[off] * freq0[ids[off]]
         ahead = rest
         take()
-        now = np.where(by_none, ids, np.where(by_two, mixer.g2, mixer.g1))
+        now = (ids & by_none) | (mixer.g2 & by_two) | (mixer.g1 & by_one)
         out[step] = now
-        mixer.learn(now, by_two, ~(by_two | by_none))
+        mixer.learn(now, by_two, by_one)
     return out
 
 
