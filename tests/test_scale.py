@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import vector
 from lodestone.operators.graph import GraphTables
 from lodestone.plans import gaps, templates
 
@@ -52,3 +53,16 @@ def test_the_gap_matrix_with_a_limit_and_its_totals(g):
         assert [tuple(r) for r in found.collect()] == [tuple(r) for r in whole.orderBy(*order).limit(most).select(found.columns).collect()]
     counts = whole.groupBy("material_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.count_if(F.col("n_sources") == 0).alias("n_unseen"), F.max("n_sources").alias("most"))
     assert sorted(map(tuple, templates.gap_totals(g, *templates.gap_lists(g, ["ring"], ["way"])).collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_search_of_many_sends_no_question_through_the_driver(spark):
+    """Copies of a vector have equal scores in any block, and ties go by the chunk's id."""
+    rng = random.Random(8)
+    some = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(7)]
+    chunks = spark.createDataFrame([(i, some[i % 7]) for i in range(9000)], "chunk_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", some[i % 7]) for i in range(50)], "question_id string, vector array<float>")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = vector.search_many(chunks, asked, 3, block=8)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    got = sorted((int(r.question_id[1:]), -r.score, r.chunk_id) for r in found.collect())
+    assert [(q, c) for q, _, c in got] == [(q, q % 7 + 7 * k) for q in range(50) for k in range(3)]
