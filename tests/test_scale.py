@@ -1,13 +1,16 @@
 """Steps that must not grow faster than their tables: the same rows as the plain way, from few rows."""
 
+import dataclasses
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import vector
+from lodestone.functions import terms
+from lodestone.operators import build, graph as gr, vector
 from lodestone.operators.graph import GraphTables
-from lodestone.plans import gaps, templates
+from lodestone.plans import gaps, projection, templates
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +69,55 @@ def test_search_of_many_sends_no_question_through_the_driver(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
     got = sorted((int(r.question_id[1:]), -r.score, r.chunk_id) for r in found.collect())
     assert [(q, c) for q, _, c in got] == [(q, q % 7 + 7 * k) for q in range(50) for k in range(3)]
+
+
+def test_documents_are_counted_as_their_sets_are(g):
+    nodes = g.of_type("Material", "Process")
+    sets = {r.id: (len(r.doc_ids), r.doc_geographies) for r in gr.document_sets(g, nodes).collect()}
+    assert {r.id: (r.n_docs, r.doc_geographies) for r in gr.document_counts(g, nodes, "Material", "Process").collect()} == sets
+
+
+@pytest.mark.parametrize("year,limit", [(None, None), (None, 1), (2006, None)])
+def test_chunks_of_a_topic_are_those_of_its_rows(g, year, limit):
+    some = dataclasses.replace(g, entities=g.entities.withColumn("type", F.when(F.col("type") == "Expert", "Experiment").otherwise(F.col("type"))))
+    found = templates.execute(some, "experiments_publications_by_topic", material_terms=["ring 1", "ring 2"], year=year, limit=limit)
+    want = {c for r in found["rows"].collect() for c in r.chunk_ids}
+    assert want and sorted(r.chunk_id for r in found["chunk_ids"].collect()) == sorted(want)
+
+
+def test_processes_by_a_shared_chunk_without_a_limit(g):
+    met = {r.b for r in gr.co_mentions(g.mentions, gr.named(g.of_type("Material"), ["ring 1"]), g.of_type("Process")).collect()}
+    want = met | {r.id for r in gr.named(g.of_type("Process"), ["way 3"]).collect()}
+    assert sorted(r.node_id for r in templates.mine_water_injection(g, ["way 3"], ["ring 1"], limit=None).collect()) == sorted(want)
+
+
+def test_every_expert_without_a_limit(spark, g):
+    found = templates.recommendation_expert(g, g.chunks, projection.frame(spark, "doc_id", []), projection.frame(spark, "id", []), None)
+    docs = {r.id: len(r.doc_ids) for r in gr.document_sets(g, g.of_type("Expert")).collect()}
+    assert docs and {r.id: r.n_matched_sources for r in found.collect()} == docs
+
+
+def test_context_of_all_chunks_is_that_of_each(g):
+    plain = lambda rows: sorted(map(repr, rows.collect()))
+    assert plain(templates.gap_cell_context(g, None)) == plain(templates.gap_cell_context(g, g.chunks))
+
+
+def test_plans_know_that_a_few_ids_are_few(spark):
+    for values in ([], ["a", "b"]):
+        rows = projection.frame(spark, "id", values)
+        assert [r.id for r in rows.collect()] == values
+        assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1000
+
+
+def test_relations_to_names_that_are_given(spark):
+    records = spark.sql("SELECT 1 AS row_ord, 'd' AS doc_id, 'c' AS chunk_id, array(named_struct('name', 'a'), named_struct('name', 'b')) AS entities, array(named_struct('source', 'a', 'target', 'b', 'type', 'T')) AS relations")
+    kept = lambda names: [r.kept for r in build.marked_relations(records, terms.Thesaurus(), names).collect()]
+    assert kept(None) == [True] and kept(spark.sql("SELECT 1 AS row_ord, 'a' AS name")) == [False]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_types_not_asked_for_are_not_read(spark):
+    g = projection.project(spark, "/root/testdata/sf0.001")
+    optimized = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert optimized(g.mentions_of("Process")) == 1
+    assert optimized(g.of_type("Expert").select("id", "name")) == 1 and optimized(g.of_type("Expert")) == 2
