@@ -91,13 +91,18 @@ def merged_in_chunk(extractions: DataFrame, thesaurus) -> DataFrame:
     return base.join(said, ["row_ord", "canon"], "left").join(given, ["row_ord", "canon"], "left").select("row_ord", "chunk_id", "ord", F.col("canon").alias("name"), "type", "synonyms", "attrs")
 
 
-def kept_relations(extractions: DataFrame, thesaurus) -> tuple[DataFrame, DataFrame]:
-    """Relations with canonical ends that are both among the record's entities, and the dropped ones (EXTRACT-003)."""
-    names = thesaurus.canonicalised(extractions.select("row_ord", F.explode("entities.name").alias("name")).withColumn("name", F.trim("name")), "name", "canon").select("row_ord", "canon").distinct()
+def marked_relations(extractions: DataFrame, thesaurus, names: DataFrame | None = None) -> DataFrame:
+    """Relations with canonical ends and ``kept``: whether both are among the record's entities; ``names`` (row_ord, name): those entities, where they aren't the records' own."""
+    names = extractions.select("row_ord", F.explode("entities.name").alias("name")) if names is None else names
+    names = thesaurus.canonicalised(names.withColumn("name", F.trim("name")), "name", "canon").select("row_ord", "canon").distinct()
     said = extractions.select("row_ord", "doc_id", "chunk_id", F.explode("relations").alias("r")).select("row_ord", "doc_id", "chunk_id", "r.*")
     for end in ("source", "target"):
         said = thesaurus.canonicalised(said.withColumn(end, F.trim(end)), end, f"{end}_canon").withColumn(end, F.col(f"{end}_canon")).drop(f"{end}_canon")
         said = said.join(names.select("row_ord", F.col("canon").alias(end), F.lit(True).alias(f"{end}_known")), ["row_ord", end], "left")
-    fine = F.coalesce("source_known", F.lit(False)) & F.coalesce("target_known", F.lit(False))
-    good = said.filter(fine).drop("source_known", "target_known")
-    return good, said.filter(~fine).select("doc_id", "chunk_id", "source", "target", "type", F.lit("EXTRACT-003").alias("code"))
+    return said.withColumn("kept", F.coalesce("source_known", F.lit(False)) & F.coalesce("target_known", F.lit(False))).drop("source_known", "target_known")
+
+
+def kept_relations(extractions: DataFrame, thesaurus) -> tuple[DataFrame, DataFrame]:
+    """Relations with canonical ends that are both among the record's entities, and the dropped ones (EXTRACT-003)."""
+    said = marked_relations(extractions, thesaurus)
+    return said.filter("kept").drop("kept"), said.filter(~F.col("kept")).select("doc_id", "chunk_id", "source", "target", "type", F.lit("EXTRACT-003").alias("code"))
